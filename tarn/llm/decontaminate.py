@@ -161,10 +161,10 @@ def _by_scan(docs: DataFrame, items: DataFrame, key: list[str], text: str, windo
     def scan(batches):
         index = _Index(sent.value, window, gram)
         for batch in batches:
-            for i, j, words in word_chunks(batch.column(text), ALNUM, LOWER):
+            for i, j, words in word_chunks(batch.column("_text"), ALNUM, LOWER):
                 yield _answer(batch.slice(i, j - i), key, _summary(words, index.occurrences(words)))
 
-    return docs.select(*key, text).mapInArrow(scan, f"{_kept(docs, key)}, {FOUND}")
+    return docs.select(*key, F.col(text).alias("_text")).mapInArrow(scan, f"{_kept(docs, key)}, {FOUND}")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, key: list[str], text: str, window: int, gram: int) -> DataFrame:
@@ -185,11 +185,11 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, key: list[str], text: str, wi
     lengths = sorted(r.n for r in prints.select("n").distinct().collect())  # at most ``window`` numbers
     id1, id2 = "_doc_hash", "_doc_size"
     kinds = "_doc_hash bigint, _doc_size int"
-    base = docs.select(*key, text, F.xxhash64(text).alias(id1), F.coalesce(F.octet_length(text), F.lit(-1)).alias(id2))
+    base = docs.select(*key, F.col(text).alias("_text"), F.xxhash64(text).alias(id1), F.coalesce(F.octet_length(text), F.lit(-1)).alias(id2))
 
     def doc_rows(batches):
         for batch in batches:
-            for i, _, words in word_chunks(batch.column(text), ALNUM, LOWER):
+            for i, _, words in word_chunks(batch.column("_text"), ALNUM, LOWER):
                 a, b = (batch.column(c).to_numpy()[i:] for c in (id1, id2))
                 for n in lengths:
                     h, pos = winnow(words, n, gram)
@@ -197,13 +197,13 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, key: list[str], text: str, wi
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[d], b[d], np.full(len(h), n, np.int32), h.view(np.int64), (pos - words.first[d]).astype(np.int32))], [id1, id2, "n", "h", "pos"])
 
     # equal texts have equal windows: everything up to the last join is done once for each text
-    texts = base.groupBy(id1, id2).agg(F.first(text).alias(text))
+    texts = base.groupBy(id1, id2).agg(F.first("_text").alias("_text"))
     met = texts.mapInArrow(doc_rows, f"{kinds}, n int, h bigint, pos int").join(prints, ["n", "h"], "left_semi").groupBy(id1, id2).agg(F.collect_list(F.struct("n", "pos")).alias("hits"))
 
     def extended(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                for _, _, words in word_chunks(pa.array([row[text]], pa.string()), ALNUM, LOWER):
+                for _, _, words in word_chunks(pa.array([row["_text"]], pa.string()), ALNUM, LOWER):
                     by = defaultdict(list)
                     for hit in row["hits"]:
                         by[hit["n"]].append(hit["pos"])
@@ -213,17 +213,17 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, key: list[str], text: str, wi
                         m = len(starts)
                         yield pa.RecordBatch.from_arrays([pa.array([row[id1]] * m, pa.int64()), pa.array([row[id2]] * m, pa.int32()), pa.array([n] * m, pa.int32()), pa.array(full), pa.array(starts.astype(np.int32)), pa.array([_surface(words, i, n) for i in starts.tolist()], pa.binary())], [id1, id2, "n", "h", "start", "surface"])
 
-    near = texts.join(met, [id1, id2]).select(id1, id2, text, "hits").mapInArrow(extended, f"{kinds}, n int, h bigint, start int, surface binary")
+    near = texts.join(met, [id1, id2]).select(id1, id2, "_text", "hits").mapInArrow(extended, f"{kinds}, n int, h bigint, start int, surface binary")
     found = near.join(windows, ["n", "h", "surface"]).groupBy(id1, id2).agg(F.collect_list(F.struct("n", "start", "names")).alias("_found"))
 
     def finish(batches):
         for batch in batches:
             found = batch.column("_found")
-            for i, j, words in word_chunks(batch.column(text), ALNUM, LOWER):
+            for i, j, words in word_chunks(batch.column("_text"), ALNUM, LOWER):
                 hits = ((int(words.first[d]) + x["start"], x["n"], set(x["names"])) for d in range(j - i) for x in found[i + d].as_py() or ())
                 yield _answer(batch.slice(i, j - i), key, _summary(words, hits))
 
-    return base.join(found, [id1, id2], "left").select(*key, text, "_found").mapInArrow(finish, f"{_kept(docs, key)}, {FOUND}")
+    return base.join(found, [id1, id2], "left").select(*key, "_text", "_found").mapInArrow(finish, f"{_kept(docs, key)}, {FOUND}")
 
 
 def digest(found: DataFrame) -> DataFrame:

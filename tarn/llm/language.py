@@ -29,6 +29,7 @@ PER_LANGUAGE = 400
 PER_DOCUMENT = 1_000
 ALPHABET = 250
 SEGMENT = 512
+MOST_LITERALS = 1_000
 
 
 def automaton(text: list[int], symbols: int) -> np.ndarray:
@@ -166,9 +167,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rates = {r["lang"]: 2 * per_language / r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     if not rates:
         return {}
-    spark = docs.sparkSession
-    rate = spark.createDataFrame([(k, int(min(1.0, v) * (1 << 30))) for k, v in sorted(rates.items())], "lang string, rate long")
-    some = known.join(rate, "lang").filter(dice < F.col("rate")).select("lang", dice.alias("dice"), "id", F.substring("body", 1, PER_DOCUMENT).alias("body"))
+    share = [(k, int(min(1.0, v) * (1 << 30))) for k, v in sorted(rates.items())]
+    if len(share) <= MOST_LITERALS:
+        # a literal: texts needn't move to meet a few numbers
+        rate = F.element_at(F.create_map(*(F.lit(x) for pair in share for x in pair)), F.col("lang"))
+        some = known.filter(dice < rate)
+    else:
+        some = known.join(docs.sparkSession.createDataFrame(share, "lang string, rate long"), "lang").filter(dice < F.col("rate"))
+    some = some.select("lang", dice.alias("dice"), "id", F.substring("body", 1, PER_DOCUMENT).alias("body"))
     out: dict[str, str] = {}
     for r in sorted(some.collect(), key=lambda r: (r["lang"], r["dice"], r["id"], r["body"] or "")):
         if r["body"] and len(out.get(r["lang"], "")) < reference:

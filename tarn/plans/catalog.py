@@ -405,3 +405,46 @@ def sample_weights(spark, d):
     """SPL-09."""
     w = F.when(F.col("y") == 5, 1.5).when(F.col("y") == 2, 1.3).otherwise(1.0)
     return rounded(T.predictions(spark, d).groupBy(F.col("y").alias("cls")).agg(F.count("*").alias("n"), F.sum(w).alias("weight")))
+
+
+@query("SELECT fold, count(*) AS n, count_if(y = 5 AND a = 2) AS slouching_as_forward, count_if(y = 2 AND a = 5) AS forward_as_slouching FROM (" + _SQL_PRED.split("AS (", 1)[1].split("FROM orders)")[0] + " FROM orders) GROUP BY fold")
+def specific_confusions(spark, d):
+    """EVL-13."""
+    y, a = F.col("y"), F.col("a")
+    return T.predictions(spark, d).groupBy("fold").agg(F.count("*").alias("n"), F.count_if((y == 5) & (a == 2)).alias("slouching_as_forward"), F.count_if((y == 2) & (a == 5)).alias("forward_as_slouching"))
+
+
+@query(_SQL_PRED + _SQL_CLASS.replace("fold, ", "") + ", x AS (SELECT cls, max(CASE WHEN model = 'a' THEN f1 END) AS fa, max(CASE WHEN model = 'b' THEN f1 END) AS fb FROM c GROUP BY cls) SELECT cls, round(fa - fb, 6) AS delta, CASE WHEN fa > fb THEN 'a' WHEN fb > fa THEN 'b' ELSE 'tie' END AS advantage FROM x")
+def model_advantage(spark, d):
+    """EVL-08, EVL-12."""
+    c = evaluate.per_class(_models(spark, d), "model")
+    one = lambda m: F.max(F.when(F.col("model") == m, F.col("f1"))).alias(m)
+    x = c.groupBy("cls").agg(one("a"), one("b"))
+    return x.select("cls", F.round(F.col("a") - F.col("b"), 6).alias("delta"), F.when(F.col("a") > F.col("b"), "a").when(F.col("b") > F.col("a"), "b").otherwise("tie").alias("advantage"))
+
+
+@query("SELECT c_custkey, k AS fold, CASE WHEN c_nationkey % 5 = k THEN 'test' ELSE 'train' END AS role FROM customer, range(5) r(k)")
+def fold_manifest(spark, d):
+    """JOI-11, A9: the long form is an explode of five numbers, not a join."""
+    c = T.read(spark, d, "customer").select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    return c.select("c_custkey", F.col("k").cast("bigint").alias("fold"), F.when(F.col("c_nationkey") % 5 == F.col("k"), "test").otherwise("train").alias("role"))
+
+
+@query("SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('sample:' || doc_id), doc_id) <= 25")
+def sample_per_class(spark, d):
+    """SPL-06, ORD-07: 25 rows a class in seeded order. A limit per class is the feature; partial ranks drop the rest before the shuffle."""
+    w = Window.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("sample:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id")
+    return T.read(spark, d, "documents").select("lang", "doc_id").withColumn("nth", F.row_number().over(w)).filter("nth <= 25").drop("nth")
+
+
+@query("SELECT l_partkey AS part, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, part LIMIT 10")
+def top_ten(spark, d):
+    """AGG-02, AGG-16: a top-k report with ties in order of the key."""
+    return T.read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "part").limit(10)
+
+
+@query("SELECT event_id, coalesce(trunc(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE))::INT, 0) AS k, upper(trim(event_type)) AS kind, split_part(event_type || '_x', '_', 1) AS head, TRY_CAST(event_type AS DOUBLE) IS NULL AS bad FROM events")
+def safe_casts(spark, d):
+    """STR-05, STR-06, STR-09."""
+    k = F.get_json_object("props", "$.k").try_cast("double")
+    return T.read(spark, d, "events").select("event_id", F.coalesce(k.cast("int"), F.lit(0)).alias("k"), F.upper(F.trim("event_type")).alias("kind"), F.split(F.concat("event_type", F.lit("_x")), "_")[0].alias("head"), F.col("event_type").try_cast("double").isNull().alias("bad"))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def select_target(cands: DataFrame, width: int = 1920, height: int = 1080, least: float = 0.22) -> DataFrame:
-    """FEA-16 and ORD-04: the best-scored candidate of each image (ties: lowest index), target only from ``least`` on.
-    Aggregates structs instead of ranking, so candidates are combined before the shuffle."""
+def target_score(width: int = 1920, height: int = 1080) -> Column:
+    """FEA-16: .35 area + .30 centre + .25 torso + .10 mean confidence, to nine digits."""
     w, h = F.greatest(F.lit(1.0), "w"), F.greatest(F.lit(1.0), "h")
     ratio = w * h / F.lit(float(width * height))
     area = F.least(F.lit(1.0), ratio / 0.22) * F.when(ratio < 0.05, 0.2).otherwise(1.0)
     dx, dy = F.abs(F.col("cx") - width / 2) / (width / 2), F.abs(F.col("cy") - height / 2) / (height / 2)
     centre = F.greatest(F.lit(0.0), 1 - F.sqrt(dx * dx + dy * dy))
-    score = 0.35 * area + 0.30 * centre + 0.25 * F.col("torso_joints") / 4 + 0.10 * F.col("mean_kpt")
-    best = cands.select("image_id", "cand", "conf", F.round(score, 9).alias("score")).groupBy("image_id").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("cand")).alias("i"))).alias("b"), F.max(F.struct("conf", (-F.col("cand")).alias("i"))).alias("c"))
+    return F.round(0.35 * area + 0.30 * centre + 0.25 * F.col("torso_joints") / 4 + 0.10 * F.col("mean_kpt"), 9)
+
+
+def select_target(cands: DataFrame, width: int = 1920, height: int = 1080, least: float = 0.22) -> DataFrame:
+    """FEA-16 and ORD-04: the best-scored candidate of each image (ties: lowest index), target only from ``least`` on.
+    Aggregates structs instead of ranking, so candidates are combined before the shuffle."""
+    best = cands.select("image_id", "cand", "conf", target_score(width, height).alias("score")).groupBy("image_id").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("cand")).alias("i"))).alias("b"), F.max(F.struct("conf", (-F.col("cand")).alias("i"))).alias("c"))
     ok = F.col("b.score") >= least
     return best.select("image_id", "n", ok.alias("has_target"), F.when(ok, -F.col("b.i")).otherwise(-1).alias("cand"), F.col("b.score").alias("score"), (-F.col("c.i")).alias("by_conf"))
 
@@ -37,14 +41,27 @@ def curation_flags(df: DataFrame) -> DataFrame:
     return df.withColumn("decision", decision)
 
 
-def detection_status(cands: DataFrame) -> DataFrame:
-    """QC-10: status of each image from the number of its candidates and whether confidence and size agree on the pick."""
-    best = cands.groupBy("image_id").agg(F.count("*").alias("n"), F.max_by(F.struct("cand", "mean_kpt", "torso_joints"), F.struct("conf", -F.col("cand"))).alias("c"), F.max_by("cand", F.struct((F.col("w") * F.col("h")), -F.col("cand"))).alias("big"))
+def detection_status(cands: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
+    """QC-10, ORD-06: status of each image from the number of its candidates and whether the surest one is also first by the prior
+    2 * area - distance from the centre + torso joints / 2. Candidates are combined before the shuffle."""
+    dx, dy = F.col("cx") / (width / 2) - 1, F.col("cy") / (height / 2) - 1
+    prior = F.round(2 * F.col("w") * F.col("h") / (width * height) - F.sqrt(dx * dx + dy * dy) + 0.5 * F.col("torso_joints"), 9)
+    best = cands.groupBy("image_id").agg(F.count("*").alias("n"), F.max_by(F.struct("cand", "mean_kpt", "torso_joints"), F.struct("conf", -F.col("cand"))).alias("c"), F.max_by("cand", F.struct(prior, -F.col("cand"))).alias("likely"))
     low = (F.col("c.mean_kpt") < 0.30) | (F.col("c.torso_joints") < 2)
-    status = F.when((F.col("n") == 1) & low, "single_low_keypoints").when(F.col("n") == 1, "single_ok").when(F.col("c.cand") == F.col("big"), "multi_aligned").otherwise("wrong_person_risk")
+    status = F.when((F.col("n") == 1) & low, "single_low_keypoints").when(F.col("n") == 1, "single_ok").when(F.col("c.cand") == F.col("likely"), "multi_aligned").otherwise("wrong_person_risk")
     return best.select("image_id", "n", status.alias("status"))
 
 
+def selector_benchmark(cands: DataFrame, width: int = 1920, height: int = 1080, least: float = 0.22) -> DataFrame:
+    """QC-11: how often the surest candidate and the selected one are right (area from 0.08 on, at most 0.65 off the centre), wrong or missing; mean keypoints of the right ones."""
+    area, off = F.col("w") * F.col("h") / (width * height), F.abs(F.col("cx") / (width / 2) - 1)
+    c = cands.select("image_id", (-F.col("cand")).alias("i"), "conf", target_score(width, height).alias("score"), ((area >= 0.08) & (off <= 0.65)).alias("right"), F.col("mean_kpt").alias("kpt"))
+    best = c.groupBy("image_id").agg(F.max(F.struct("conf", "i", "score", "right", "kpt")).alias("c"), F.max(F.struct("score", "i", "right", "kpt")).alias("s"))
+    pick = lambda name, p, ok: F.struct(F.lit(name).alias("method"), F.when(ok, F.col(f"{p}.right")).alias("right"), F.col(f"{p}.kpt").alias("kpt"))
+    each = best.select(F.explode(F.array(pick("surest", "c", F.lit(True)), pick("selected", "s", F.col("s.score") >= least))).alias("p")).select("p.*")
+    return each.groupBy("method").agg(F.count("*").alias("n"), F.count_if("right").alias("right"), F.count_if(~F.col("right")).alias("wrong"), F.count_if(F.col("right").isNull()).alias("none"), F.avg(F.when(F.col("right"), F.col("kpt"))).alias("kpt"))
+
+
 def representatives(df: DataFrame, cluster: str, *order) -> DataFrame:
     """ORD-03: top row of each cluster by a composite key."""
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(cluster).orderBy(*order))).filter("nth = 1").drop("nth")

@@ -2,41 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.operators import dedup, evaluate, pose, quality, relational
+from tarn.plans.registry import QUERIES, SQL, Query, query, rounded
 from tarn.sources import tables as T
 from tarn.streaming import tracker
 
 FLAGSHIP = "pose2d_by_class"
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return dict(SQL)
 
 
 # --- pose -----------------------------------------------------------------------------------------------------------
@@ -144,8 +126,8 @@ def target_person(spark, d):
     return rounded(quality.select_target(T.detections(spark, d)))
 
 
-@query(_SQL_CAND + """, b AS (SELECT image_id, count(*) AS n, arg_max({'cand': cand, 'kpt': kpt, 'torso': torso}, [conf, -cand]) AS c, arg_max(cand, [w * h, -cand]) AS big FROM c GROUP BY image_id),
-t AS (SELECT CASE WHEN n = 1 AND (c.kpt < 0.30 OR c.torso < 2) THEN 'single_low_keypoints' WHEN n = 1 THEN 'single_ok' WHEN c.cand = big THEN 'multi_aligned' ELSE 'wrong_person_risk' END AS status FROM b)
+@query(_SQL_CAND + """, b AS (SELECT image_id, count(*) AS n, arg_max({'cand': cand, 'kpt': kpt, 'torso': torso}, [conf, -cand]) AS c, arg_max(cand, [round(2 * w * h / 2073600.0::DOUBLE - sqrt(power(cx / 960 - 1, 2) + power(cy / 540 - 1, 2)) + 0.5::DOUBLE * torso, 9), -cand]) AS likely FROM c GROUP BY image_id),
+t AS (SELECT CASE WHEN n = 1 AND (c.kpt < 0.30 OR c.torso < 2) THEN 'single_low_keypoints' WHEN n = 1 THEN 'single_ok' WHEN c.cand = likely THEN 'multi_aligned' ELSE 'wrong_person_risk' END AS status FROM b)
 SELECT status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM t GROUP BY status""")
 def detection_status(spark, d):
     """QC-10, AGG-04."""
@@ -448,3 +430,6 @@ def safe_casts(spark, d):
     """STR-05, STR-06, STR-09."""
     k = F.get_json_object("props", "$.k").try_cast("double")
     return T.read(spark, d, "events").select("event_id", F.coalesce(k.cast("int"), F.lit(0)).alias("k"), F.upper(F.trim("event_type")).alias("kind"), F.split(F.concat("event_type", F.lit("_x")), "_")[0].alias("head"), F.col("event_type").try_cast("double").isNull().alias("bad"))
+
+
+from tarn.plans import audits, learning, live, vision  # noqa: E402, F401  (they register their queries)

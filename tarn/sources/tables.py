@@ -56,3 +56,25 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("stream"), "ts", "event_id", (320 + v % 20 - 10).alias("cx"), (100 + v % 8 - 4).alias("w"),
         F.when(F.col("event_type") != "error", 60 + v % 12 - 6).alias("head"),
     )
+
+
+def pairs(spark: SparkSession, sf_dir: str, joints=range(17)) -> DataFrame:
+    """One row a capture with both views: pixel joints {a,b}_x{j}, _y{j}, _c{j}, box {a,b}_left, _top, _w, _h and {a,b}_has (a target was found).
+    One shuffle on the capture; the arrays are taken apart after it."""
+    even = F.col("vec_id") % 2 == 0
+    one = read(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 2).alias("capture_id")).agg(
+        F.max(F.when(even, F.col("label"))).alias("label"), F.max(F.when(even, F.col("embedding"))).alias("a"), F.max(F.when(~even, F.col("embedding"))).alias("b"),
+    )
+    cols = []
+    for p in "ab":
+        e = lambda i, p=p: F.get(p, F.lit(i)).cast("double")
+        cols += [c for j in joints for c in ((960 + 900 * e(3 * j)).alias(f"{p}_x{j}"), (540 + 500 * e(3 * j + 1)).alias(f"{p}_y{j}"), (e(3 * j + 2) + 0.5).alias(f"{p}_c{j}"))]
+        cols += [(300 + 900 * F.abs(e(51))).alias(f"{p}_left"), (100 + 400 * F.abs(e(52))).alias(f"{p}_top"), (200 + 1500 * F.abs(e(53))).alias(f"{p}_w"), (300 + 1000 * F.abs(e(54))).alias(f"{p}_h"), F.coalesce(e(55) > -0.25, F.lit(False)).alias(f"{p}_has")]
+    return one.select("capture_id", F.when(F.col("label") == 9, "reject").otherwise(label("label")).alias("posture"), *cols)
+
+
+def boxed(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """Named joints {name}_x, {name}_y and a box box_x, box_y, box_w, box_h (its width is 0 in some rows)."""
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    cols = [c for j, n in enumerate(names) for c in (e(3 * j).alias(f"{n}_x"), e(3 * j + 1).alias(f"{n}_y"))]
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", *cols, e(51).alias("box_x"), e(52).alias("box_y"), F.greatest(F.lit(0.0), e(53)).alias("box_w"), F.abs(e(54)).alias("box_h"))

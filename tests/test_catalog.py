@@ -35,6 +35,8 @@ def test_query_matches_sql(spark, duck, name):
     for c in cols:
         if got[c].dtype == float or want[c].dtype == float:
             assert np.allclose(got[c].astype(float), want[c].astype(float), atol=2e-6, equal_nan=True), c
+        elif got[c].dtype == bool or want[c].dtype == bool:
+            assert got[c].astype(str).tolist() == want[c].astype(str).tolist(), c
         else:
             empty = {"None": "", "nan": "", "<NA>": ""}
             assert got[c].astype(str).replace(empty).tolist() == want[c].astype(str).replace(empty).tolist(), c

@@ -52,3 +52,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if jump.filter("to <> root").isEmpty():
             return label
         label = jump.select("node", F.col("to").alias("root"))
+
+
+def cross_split(hashes: DataFrame, most: int) -> DataFrame:
+    """DUP-04: ``exact`` for a hash found in several splits (a_key = b_key, its least key), ``near`` for two hashes at most ``most`` bits apart
+    found in different splits. One row a distinct hash goes into the pairing."""
+    home = hashes.groupBy("hi", "lo").agg(F.min("key").alias("key"), F.collect_set("split").alias("s"))
+    exact = home.filter(F.size("s") > 1).select(F.col("key").alias("a_key"), F.col("key").alias("b_key"), F.lit("exact").alias("kind"))
+    at = lambda p: home.select(F.col("key").alias(f"{p}_key"), F.col("s").alias(f"{p}_s"))
+    near = near_pairs(hashes, most).join(at("a"), "a_key").join(at("b"), "b_key").filter(F.size(F.array_union("a_s", "b_s")) > 1)
+    return near.select("a_key", "b_key", F.lit("near").alias("kind")).unionByName(exact)

@@ -44,3 +44,38 @@ def paired(pred: DataFrame, truth: str = "y", a: str = "a", b: str = "b") -> Dat
 
 def mcnemar_p(chi2: float) -> float:
     return math.erfc(math.sqrt(chi2 / 2))
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by numerical integration of its density in a variable that tames both ends."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    steps = 4000
+    end = math.asin(math.sqrt(x))
+    log_b = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    f = lambda t: 2 * math.exp((2 * a - 1) * math.log(math.sin(t)) + (2 * b - 1) * math.log(math.cos(t)) - log_b) if t > 0 else (2 * math.exp(-log_b) if 2 * a == 1 else 0.0)
+    h = end / steps
+    return h / 3 * sum(f(i * h) * (1 if i in (0, steps) else 4 if i % 2 else 2) for i in range(steps + 1))
+
+
+def paired_t(a: list[float], b: list[float]) -> tuple[float, float]:
+    """EVL-11: paired t statistic over folds (a handful of numbers) and its two-sided probability; equal lists give (0, 1)."""
+    d = [x - y for x, y in zip(a, b, strict=True)]
+    n, mean = len(d), sum(d) / len(d)
+    var = sum((x - mean) ** 2 for x in d) / (n - 1)
+    if var == 0:
+        return (0.0, 1.0) if mean == 0 else (math.copysign(math.inf, mean), 0.0)
+    t = mean / math.sqrt(var / n)
+    return t, _beta((n - 1) / (n - 1 + t * t), (n - 1) / 2, 0.5)
+
+
+def fold_t(pred: DataFrame, truth: str = "y", a: str = "a", b: str = "b") -> DataFrame:
+    """EVL-11 as a plan: number of folds, mean difference of accuracies and the statistic (NULL where all differences are equal)."""
+    each = pred.groupBy("fold").agg((F.avg((F.col(a) == F.col(truth)).cast("double")) - F.avg((F.col(b) == F.col(truth)).cast("double"))).alias("d"))
+    return each.agg(F.count("*").alias("folds"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd")).select("folds", "mean", F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("folds")).alias("t"))
+
+
+def against_baseline(summary: DataFrame, baseline: str, score: str = "macro_f1", name: str = "model") -> DataFrame:
+    """EVL-17: each model's score less the baseline's (NULL, not 0, where the baseline has none)."""
+    base = summary.filter(F.col(name) == baseline).agg(F.max(score).alias("_b"))
+    return summary.crossJoin(F.broadcast(base)).select(name, score, (F.col(score) - F.col("_b")).alias("delta"))

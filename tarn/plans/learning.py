@@ -1 +1,71 @@
-"""Placeholder."""
+"""Queries of training, prediction and further evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tarn.operators import evaluate, learning, pose
+from tarn.plans.catalog import _SQL_CLASS, _SQL_PRED, _models
+from tarn.plans.registry import query, rounded
+from tarn.sources import tables as T
+
+
+def _features(spark, d):
+    f = pose.view_features(T.pose2d(spark, d, (0, 3, 4, 5, 6, 11, 12))).filter("ok")
+    return f.select(F.col("vec_id").alias("capture_id"), (F.floor(F.col("vec_id") / 2) % 3).cast("int").alias("fold"), T.label("label").alias("label"), *pose.VIEW)
+
+
+@query()
+def forest_out_of_fold(spark, d):
+    """ML-01, 02, 06, 08, 10: tested on a separable set."""
+    oof = learning.out_of_fold(_features(spark, d), list(pose.VIEW), list(T.CLASSES), "forest", [0, 1, 2], trees=20)
+    return rounded(oof.select("capture_id", "model", "fold", "label_true", "label_pred", "confidence"))
+
+
+@query()
+def boosted_predictions(spark, d):
+    """ML-03, 04, 09, 10: one held-out fold by boosted trees; tested on a separable set."""
+    f = _features(spark, d)
+    out = learning.fit(f.filter("fold <> 0"), list(pose.VIEW), list(T.CLASSES), "boosted", rounds=5, depth=3).predict(f.filter("fold = 0"))
+    return rounded(out.select("capture_id", "label", "label_pred", "confidence"))
+
+
+@query()
+def perceptron_predictions(spark, d):
+    """ML-05: tested on a separable set."""
+    f = _features(spark, d)
+    out = learning.fit(f.filter("fold <> 0"), list(pose.VIEW), list(T.CLASSES), "perceptron", hidden=(32, 16), rounds=40).predict(f.filter("fold = 0"))
+    return rounded(out.select("capture_id", "label", "label_pred", "confidence"))
+
+
+@query(_SQL_PRED + ", e AS (SELECT fold, avg((a = y)::INT) - avg((b = y)::INT) AS d FROM o GROUP BY fold) SELECT count(*) AS folds, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM e")
+def fold_paired_t(spark, d):
+    """EVL-11."""
+    return rounded(evaluate.fold_t(T.predictions(spark, d)))
+
+
+@query("SELECT d.source, count(*) AS captures, count(l.doc_id) AS labelled, count_if(l.quality = 1) AS usable, round(100.0 * count(l.doc_id) / count(*), 4) AS coverage, round(100.0 * count_if(l.quality = 1) / count(*), 4) AS usable_pct FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source")
+def source_coverage(spark, d):
+    """EVL-14."""
+    j = T.read(spark, d, "documents").select("doc_id", "source").join(T.read(spark, d, "labels").select("doc_id", "quality", F.lit(1).alias("l")), "doc_id", "left")
+    usable = F.count_if(F.coalesce(F.col("quality") == 1, F.lit(False)))
+    return j.groupBy("source").agg(F.count("*").alias("captures"), F.count("l").alias("labelled"), usable.alias("usable"), F.round(100.0 * F.count("l") / F.count("*"), 4).alias("coverage"), F.round(100.0 * usable / F.count("*"), 4).alias("usable_pct"))
+
+
+@query(_SQL_PRED + " SELECT capture_id % 24 AS subject, y AS cls, count(*) AS n, count_if(a = y) AS \"right\" FROM o GROUP BY 1, 2")
+def subject_batch(spark, d):
+    """EVL-15."""
+    return T.predictions(spark, d).groupBy((F.col("capture_id") % 24).alias("subject"), F.col("y").alias("cls")).agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("y")).alias("right"))
+
+
+@query(_SQL_PRED.replace("SELECT 'a' AS model, fold, y, a AS p FROM o UNION ALL SELECT 'b', fold, y, b FROM o", "SELECT 'a' AS model, 0 AS fold, CASE WHEN y = 0 THEN 'good' ELSE 'bad' END AS y, CASE WHEN a = 0 THEN 'good' ELSE 'bad' END AS p FROM o") + _SQL_CLASS + " SELECT cls, s::BIGINT AS support, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1 FROM c")
+def binary_transfer(spark, d):
+    """EVL-16, STR-10: six classes folded to good and bad by the taxonomy, then scored."""
+    good = lambda c: F.when(F.col(c) == 0, "good").otherwise("bad").alias({"y": "y", "a": "p"}[c])
+    return rounded(evaluate.per_class(T.predictions(spark, d).select(good("y"), good("a"))).select("cls", "support", "precision", "recall", "f1"))
+
+
+@query(_SQL_PRED + _SQL_CLASS.replace("fold, ", "") + ", s AS (SELECT model, avg(f1) AS macro_f1 FROM c GROUP BY model) SELECT model, round(macro_f1, 6) AS macro_f1, round(macro_f1 - (SELECT macro_f1 FROM s WHERE model = 'a'), 6) AS delta FROM s")
+def variant_deltas(spark, d):
+    """EVL-17."""
+    return rounded(evaluate.against_baseline(evaluate.summary(_models(spark, d), "model"), "a"))

@@ -162,15 +162,22 @@ def final_quality(pairs: DataFrame, rig: Rig, keep: float = 65.0, degenerate: tu
     return df.select("capture_id", "verdict", decision.alias("decision"), "core", "total", "core_err", F.col("worst").alias("masked_err"), "shoulder", "torso", "depth")
 
 
-def live_gate(pairs: DataFrame, rig: Rig) -> DataFrame:
-    """QC-08: code of the first failing check of one live pair, or VALID_3D. Depth over 0.2 in the first camera's frame; only its reprojection counts."""
+def live_pose(pairs: DataFrame, rig: Rig) -> DataFrame:
+    """QC-08: joints x{j}, y{j}, z{j} in the first camera's frame (NULL where unsure or not deeper than 0.2), ``core_err`` and ``code``,
+    the first failing check of one live pair or VALID_3D. Only the first camera's reprojection counts."""
     df = lift(pairs, rig, guard=True)
-    joint = {j: F.get("joints", F.lit(j)) for j in CORE}
-    gone = F.coalesce(*(F.when(~(joint[j]["ok"] & (joint[j]["z"] > 0.2)), F.lit(f"REJECT_3D_INVALID_CORE_JOINT_{j}")) for j in CORE))
+    joint = {j: F.get("joints", F.lit(j)) for j in range(JOINTS)}
+    there = {j: joint[j]["ok"] & (joint[j]["z"] > 0.2) for j in range(JOINTS)}
+    gone = F.coalesce(*(F.when(~there[j], F.lit(f"REJECT_3D_INVALID_CORE_JOINT_{j}")) for j in CORE))
     torso = _lengths(joint, ("x", "y", "z"))[1]
     err = (joint[5]["e1"] + joint[6]["e1"] + joint[11]["e1"] + joint[12]["e1"]) / 4
     code = F.coalesce(gone, F.when(~torso.between(0.15, 0.90), "REJECT_3D_TORSO_LENGTH"), F.when(~(err <= 45.0), "REJECT_3D_REPROJECTION"), F.lit("VALID_3D"))
-    return df.select("capture_id", code.alias("code"), F.nanvl(err, F.lit(None).cast("double")).alias("core_err"))
+    return df.select("capture_id", code.alias("code"), F.nanvl(err, F.lit(None).cast("double")).alias("core_err"), *(F.when(there[j], joint[j][a]).alias(f"{a}{j}") for j in range(JOINTS) for a in "xyz"))
+
+
+def live_gate(pairs: DataFrame, rig: Rig) -> DataFrame:
+    """The code and error of ``live_pose``."""
+    return live_pose(pairs, rig).select("capture_id", "code", "core_err")
 
 
 def variants(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _images(spark, d):
     return T.read(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.expr(_SPLIT).alias("split"), (n % 7 == 0).alias("corrupt"), (n % 256).cast("double").alias("brightness"), (n % 1000).cast("double").alias("edge_variance"), (200 + n % 800).alias("width"), (210 + n % 500).alias("height"))
 
 
-@query(_SQL_IMG + """, c AS (SELECT split, count(*) AS images, count_if(NOT corrupt) AS valid, count_if(corrupt) AS corrupt, count_if(NOT corrupt AND brightness < 45) AS dark, count_if(NOT corrupt AND edge < 120) AS blurred, count_if(NOT corrupt AND least(width, height) < 224) AS small FROM i GROUP BY split)
+@query(_SQL_IMG + """, c AS (SELECT split, count(*) AS images, count(*) FILTER (WHERE NOT corrupt) AS valid, count(*) FILTER (WHERE corrupt) AS corrupt, count(*) FILTER (WHERE NOT corrupt AND brightness < 45) AS dark, count(*) FILTER (WHERE NOT corrupt AND edge < 120) AS blurred, count(*) FILTER (WHERE NOT corrupt AND least(width, height) < 224) AS small FROM i GROUP BY split)
 SELECT *, concat_ws('; ', CASE WHEN corrupt > 0 THEN 'corrupt' END, CASE WHEN dark > 0 THEN 'dark' END, CASE WHEN blurred > 0 THEN 'blurred' END, CASE WHEN small > 0 THEN 'small' END) AS warnings FROM c""")
 def image_quality_counts(spark, d):
     """QC-12, AGG-26."""
@@ -53,7 +53,7 @@ def class_counts_valid_boxes(spark, d):
     return annotations.audit_rollup(i, _boxes(spark, d), only_valid=True)
 
 
-@query("""WITH v AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'CAM01' ELSE 'CAM02' END AS camera, j, embedding[3*j+3]::DOUBLE + 0.5 >= 0.4 AS seen FROM embeddings, range(17) r(j)), e AS (SELECT camera, j, avg(seen::INT) AS rate, count_if(seen) AS n FROM v GROUP BY 1, 2)
+@query("""WITH v AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'CAM01' ELSE 'CAM02' END AS camera, j, embedding[3*j+3]::DOUBLE + 0.5 >= 0.4 AS seen FROM embeddings, range(17) r(j)), e AS (SELECT camera, j, avg(seen::INT) AS rate, count(*) FILTER (WHERE seen) AS n FROM v GROUP BY 1, 2)
 SELECT camera, CASE WHEN j <= 4 THEN 'head' WHEN j <= 10 THEN 'torso' ELSE 'lower' END AS part, round(avg(rate), 6) AS rate, sum(n)::BIGINT AS seen FROM e GROUP BY 1, 2""")
 def joint_group_rates(spark, d):
     """AGG-21, AGG-22, ARR-09."""
@@ -116,7 +116,7 @@ def least_edges(spark, d):
     return e.filter("u <> v").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min("distance").alias("distance"), F.count("*").alias("n"))
 
 
-@query(f"""WITH c AS (SELECT regexp_extract(text, '^(\\S+)', 1) AS clip, {_SPLIT} AS split FROM documents) SELECT clip, count_if(split = 'train') AS train, count_if(split = 'valid') AS valid, count_if(split = 'test') AS test, string_agg(DISTINCT split, ' | ' ORDER BY split) AS splits FROM c GROUP BY clip HAVING count(DISTINCT split) > 1""")
+@query(f"""WITH c AS (SELECT regexp_extract(text, '^(\\S+)', 1) AS clip, {_SPLIT} AS split FROM documents) SELECT clip, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'valid') AS valid, count(*) FILTER (WHERE split = 'test') AS test, string_agg(DISTINCT split, ' | ' ORDER BY split) AS splits FROM c GROUP BY clip HAVING count(DISTINCT split) > 1""")
 def clip_leakage(spark, d):
     """DUP-11, SPL-07, AGG-18: source clips found in more than one split."""
     c = T.read(spark, d, "documents").select(F.regexp_extract("text", r"^(\S+)", 1).alias("clip"), F.expr(_SPLIT).alias("split"))
@@ -157,7 +157,7 @@ def suffix_lookup(spark, d):
     return audit.by_suffix(p.select("page_id", raw.alias("raw")), "page_id", "raw", p.select(F.col("page_id").alias("found"), F.col("url").alias("path")), "path", "found")
 
 
-@query("""SELECT 'excluded_label' AS expectation, count_if(o_orderstatus = 'P') AS violations FROM orders UNION ALL SELECT 'class_in_range', count_if(NOT coalesce(o_custkey % 6 BETWEEN 0 AND 5, false)) FROM orders UNION ALL SELECT 'no_null_key', count_if(o_orderkey IS NULL) FROM orders UNION ALL SELECT 'unique_key', (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'finite', count_if(NOT coalesce(isfinite(o_totalprice), true)) FROM orders""")
+@query("""SELECT 'excluded_label' AS expectation, count(*) FILTER (WHERE o_orderstatus = 'P') AS violations FROM orders UNION ALL SELECT 'class_in_range', count(*) FILTER (WHERE NOT coalesce(o_custkey % 6 BETWEEN 0 AND 5, false)) FROM orders UNION ALL SELECT 'no_null_key', count(*) FILTER (WHERE o_orderkey IS NULL) FROM orders UNION ALL SELECT 'unique_key', (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'finite', count(*) FILTER (WHERE NOT coalesce(isfinite(o_totalprice), true)) FROM orders""")
 def manifest_expectations(spark, d):
     """EXP-01, QC-16, FLT-01..09."""
     o = T.read(spark, d, "orders")

@@ -55,7 +55,7 @@ def pose2d_multiview(spark, d):
     return rounded(pose.two_views(pose.view_features(T.pose2d(spark, d, _VIEW_JOINTS))))
 
 
-@query(f"""{_SQL_VIEW} SELECT label, count(*) AS views, count_if(ok) AS usable, round(100.0 * count_if(ok) / count(*), 4) AS usable_pct, round(avg(torso_inclination), 6) AS inclination, round(avg(head_torso_angle), 6) AS head_torso FROM f GROUP BY label""")
+@query(f"""{_SQL_VIEW} SELECT label, count(*) AS views, count(*) FILTER (WHERE ok) AS usable, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 4) AS usable_pct, round(avg(torso_inclination), 6) AS inclination, round(avg(head_torso_angle), 6) AS head_torso FROM f GROUP BY label""")
 def pose2d_by_class(spark, d):
     f = pose.view_features(T.pose2d(spark, d, _VIEW_JOINTS))
     usable = F.count_if("ok")
@@ -93,7 +93,7 @@ def pose3d_canonical(spark, d):
     return f.select("vec_id", F.round("x12", 5).alias("hip_x"), F.round((F.col("y5") + F.col("y6")) / 2, 5).alias("torso_y"), F.round("shoulder_depth", 5).alias("shoulder_depth"), (F.round("z12", 5) + 0.0).alias("hip_z"), F.round("head_depth", 5).alias("head_depth"))
 
 
-@query("""SELECT label, j, count_if(c < 0.2) AS unseen, count_if(c >= 0.2 AND c < 0.4) AS hidden, count_if(c >= 0.4) AS visible, round(avg(CASE WHEN c >= 0.4 THEN 1.0 ELSE 0.0 END), 6) AS rate
+@query("""SELECT label, j, count(*) FILTER (WHERE c < 0.2) AS unseen, count(*) FILTER (WHERE c >= 0.2 AND c < 0.4) AS hidden, count(*) FILTER (WHERE c >= 0.4) AS visible, round(avg(CASE WHEN c >= 0.4 THEN 1.0 ELSE 0.0 END), 6) AS rate
 FROM (SELECT label, unnest(range(17)) AS j, embedding FROM embeddings), LATERAL (SELECT embedding[3*j+3]::DOUBLE + 0.5 AS c) GROUP BY label, j""")
 def keypoint_visibility(spark, d):
     """AGG-20, AGG-21."""
@@ -163,14 +163,14 @@ def usable_intersection(spark, d):
     return T.read(spark, d, "customer").select(F.col("c_custkey").alias("custkey")).intersect(T.read(spark, d, "orders").select("o_custkey"))
 
 
-@query("SELECT coalesce(lang, '(all)') AS lang, count(*) AS n, count_if(n_chars >= 1000) AS usable, round(100.0 * count_if(n_chars >= 1000) / count(*), 4) AS pct FROM documents GROUP BY ROLLUP(lang)")
+@query("SELECT coalesce(lang, '(all)') AS lang, count(*) AS n, count(*) FILTER (WHERE n_chars >= 1000) AS usable, round(100.0 * count(*) FILTER (WHERE n_chars >= 1000) / count(*), 4) AS pct FROM documents GROUP BY ROLLUP(lang)")
 def coverage_by_class_total(spark, d):
     """AGG-06, AGG-07, AGG-13."""
     usable = F.count_if(F.col("n_chars") >= 1000)
     return T.read(spark, d, "documents").rollup("lang").agg(F.count("*").alias("n"), usable.alias("usable"), F.round(100.0 * usable / F.count("*"), 4).alias("pct")).withColumn("lang", F.coalesce("lang", F.lit("(all)")))
 
 
-@query("SELECT o_orderpriority AS priority, count_if(o_orderstatus = 'F') AS f, count_if(o_orderstatus = 'O') AS o, count_if(o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS priority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
 def decision_pivot(spark, d):
     """AGG-08."""
     p = T.read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
@@ -193,7 +193,7 @@ def null_rates(spark, d):
     return relational.null_rates(j, "lang", "quality", "toxic")
 
 
-@query("SELECT l_returnflag AS flag, 'quantity' AS name, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS least, max(l_quantity) AS most, count_if(l_quantity IS NULL) AS nulls FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'discount', round(avg(l_discount), 6), round(stddev_samp(l_discount), 6), min(l_discount), max(l_discount), count_if(l_discount IS NULL) FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS flag, 'quantity' AS name, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS least, max(l_quantity) AS most, count(*) FILTER (WHERE l_quantity IS NULL) AS nulls FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'discount', round(avg(l_discount), 6), round(stddev_samp(l_discount), 6), min(l_discount), max(l_discount), count(*) FILTER (WHERE l_discount IS NULL) FROM lineitem GROUP BY 1")
 def column_statistics(spark, d):
     """AGG-11, AGG-12."""
     li = T.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
@@ -236,7 +236,7 @@ def source_clip_regex(spark, d):
     return T.read(spark, d, "pages").select("page_id", F.lower(g(r"^https?://([^/]+)")).alias("host"), g(r"/([a-z]{2})/").alias("lang"), F.coalesce(F.nullif(g(r"[?&]page=(\d+)"), F.lit("")), F.nullif(g(r"/(\d+)"), F.lit("")), F.lit("")).alias("number"), F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "[^A-Za-z0-9_-]", "_").alias("safe"))
 
 
-@query("SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::INT) AS k, round(avg(value), 6) AS mean, median(value) AS middle FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::INT)::BIGINT AS k, round(avg(value), 6) AS mean, median(value) AS middle FROM events GROUP BY event_type")
 def props_json(spark, d):
     """JSN-01, AGG-14."""
     return T.read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k"), F.round(F.avg("value"), 6).alias("mean"), F.median("value").alias("middle"))
@@ -376,7 +376,7 @@ def pooled_vs_fold(spark, d):
     return rounded(s.groupBy("model").agg(F.avg("macro_f1").alias("mean_f1"), F.stddev_pop("macro_f1").alias("pop_f1"), F.stddev_samp("macro_f1").alias("samp_f1"), F.avg("accuracy").alias("mean_acc")))
 
 
-@query(_SQL_PRED + ", n AS (SELECT count_if(a = y AND b = y) AS \"both\", count_if(a = y AND b <> y) AS only_a, count_if(a <> y AND b = y) AS only_b, count_if(a <> y AND b <> y) AS neither FROM o) SELECT *, round(power(abs(only_a - only_b) - 1, 2)::DOUBLE / (only_a + only_b), 6) AS chi2 FROM n")
+@query(_SQL_PRED + ", n AS (SELECT count(*) FILTER (WHERE a = y AND b = y) AS \"both\", count(*) FILTER (WHERE a = y AND b <> y) AS only_a, count(*) FILTER (WHERE a <> y AND b = y) AS only_b, count(*) FILTER (WHERE a <> y AND b <> y) AS neither FROM o) SELECT *, round(power(abs(only_a - only_b) - 1, 2)::DOUBLE / (only_a + only_b), 6) AS chi2 FROM n")
 def paired_mcnemar(spark, d):
     """EVL-09, EVL-10."""
     return rounded(evaluate.paired(T.predictions(spark, d)))
@@ -389,7 +389,7 @@ def sample_weights(spark, d):
     return rounded(T.predictions(spark, d).groupBy(F.col("y").alias("cls")).agg(F.count("*").alias("n"), F.sum(w).alias("weight")))
 
 
-@query("SELECT fold, count(*) AS n, count_if(y = 5 AND a = 2) AS slouching_as_forward, count_if(y = 2 AND a = 5) AS forward_as_slouching FROM (" + _SQL_PRED.split("AS (", 1)[1].split("FROM orders)")[0] + " FROM orders) GROUP BY fold")
+@query("SELECT fold, count(*) AS n, count(*) FILTER (WHERE y = 5 AND a = 2) AS slouching_as_forward, count(*) FILTER (WHERE y = 2 AND a = 5) AS forward_as_slouching FROM (" + _SQL_PRED.split("AS (", 1)[1].split("FROM orders)")[0] + " FROM orders) GROUP BY fold")
 def specific_confusions(spark, d):
     """EVL-13."""
     y, a = F.col("y"), F.col("a")

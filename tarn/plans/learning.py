@@ -44,7 +44,7 @@ def fold_paired_t(spark, d):
     return rounded(evaluate.fold_t(T.predictions(spark, d)))
 
 
-@query("SELECT d.source, count(*) AS captures, count(l.doc_id) AS labelled, count_if(l.quality = 1) AS usable, round(100.0 * count(l.doc_id) / count(*), 4) AS coverage, round(100.0 * count_if(l.quality = 1) / count(*), 4) AS usable_pct FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source")
+@query("SELECT d.source, count(*) AS captures, count(l.doc_id) AS labelled, count(*) FILTER (WHERE l.quality = 1) AS usable, round(100.0 * count(l.doc_id) / count(*), 4) AS coverage, round(100.0 * count(*) FILTER (WHERE l.quality = 1) / count(*), 4) AS usable_pct FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source")
 def source_coverage(spark, d):
     """EVL-14."""
     j = T.read(spark, d, "documents").select("doc_id", "source").join(T.read(spark, d, "labels").select("doc_id", "quality", F.lit(1).alias("l")), "doc_id", "left")
@@ -52,7 +52,7 @@ def source_coverage(spark, d):
     return j.groupBy("source").agg(F.count("*").alias("captures"), F.count("l").alias("labelled"), usable.alias("usable"), F.round(100.0 * F.count("l") / F.count("*"), 4).alias("coverage"), F.round(100.0 * usable / F.count("*"), 4).alias("usable_pct"))
 
 
-@query(_SQL_PRED + " SELECT capture_id % 24 AS subject, y AS cls, count(*) AS n, count_if(a = y) AS \"right\" FROM o GROUP BY 1, 2")
+@query(_SQL_PRED + " SELECT capture_id % 24 AS subject, y AS cls, count(*) AS n, count(*) FILTER (WHERE a = y) AS \"right\" FROM o GROUP BY 1, 2")
 def subject_batch(spark, d):
     """EVL-15."""
     return T.predictions(spark, d).groupBy((F.col("capture_id") % 24).alias("subject"), F.col("y").alias("cls")).agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("y")).alias("right"))

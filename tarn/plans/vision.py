@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.operators import pairs, public, quality, stereo
-from tarn.plans.catalog import _SQL_CAND
+from tarn.operators import batch, pairs, pose, public, quality, stereo
+from tarn.plans.catalog import _SQL_3D, _SQL_CAND, _SQL_VIEW, _VIEW_JOINTS
 from tarn.plans.registry import query, rounded
 from tarn.sources import tables as T
 
@@ -130,7 +130,7 @@ def pair_nine_features(spark, d):
 s AS (SELECT *, round(0.35::DOUBLE * (least(1, ratio / 0.22::DOUBLE) * CASE WHEN ratio < 0.05 THEN 0.2::DOUBLE ELSE 1 END) + 0.30::DOUBLE * greatest(0, 1 - sqrt(power(abs(cx - 960) / 960, 2) + power(abs(cy - 540) / 540, 2))) + 0.25::DOUBLE * torso / 4 + 0.10::DOUBLE * kpt, 9) AS score, w * h / 2073600.0::DOUBLE >= 0.08::DOUBLE AND abs(cx / 960 - 1) <= 0.65::DOUBLE AS ok FROM r),
 b AS (SELECT image_id, arg_max({'ok': ok, 'kpt': kpt, 's': score}, [score, -cand]) AS s, arg_max({'ok': ok, 'kpt': kpt}, [conf, -cand, score]) AS c FROM s GROUP BY image_id),
 m AS (SELECT 'surest' AS method, c.ok AS ok, c.kpt AS kpt FROM b UNION ALL SELECT 'selected', CASE WHEN s.s >= 0.22 THEN s.ok END, s.kpt FROM b)
-SELECT method, count(*) AS n, count_if(ok) AS "right", count_if(NOT ok) AS wrong, count_if(ok IS NULL) AS "none", round(avg(CASE WHEN ok THEN kpt END), 6) AS kpt FROM m GROUP BY method""")
+SELECT method, count(*) AS n, count(*) FILTER (WHERE ok) AS "right", count(*) FILTER (WHERE NOT ok) AS wrong, count(*) FILTER (WHERE ok IS NULL) AS "none", round(avg(CASE WHEN ok THEN kpt END), 6) AS kpt FROM m GROUP BY method""")
 def selector_benchmark(spark, d):
     """QC-11, GEO-14."""
     return rounded(quality.selector_benchmark(T.detections(spark, d)))
@@ -156,3 +156,36 @@ def stereo_quality_variants(spark, d):
     p = T.pairs(spark, d, (0, 5, 11))
     v = p.select("capture_id", "posture", F.coalesce(F.round(F.col("a_c0") * 17).cast("int"), F.lit(0)).alias("joints"), (F.col("a_y0") / 200).alias("depth"), F.when(F.col("a_c5") >= 0.25, F.abs("a_x5") / 2000).alias("shoulder"), F.when(F.col("a_c11") >= 0.25, F.abs("a_y11") / 1500).alias("torso"))
     return stereo.variants(v).select("capture_id", "plain", "by_posture")
+
+
+_DECISION = "CASE capture_id % 4 WHEN 0 THEN 'INCLUDE_3D_FULL' WHEN 1 THEN 'INCLUDE_3D_WITH_MASKING' WHEN 2 THEN 'INCLUDE_3D_FULL' ELSE 'EXCLUDE_3D' END"
+
+
+def _manifest(spark, d):
+    """Captures of twice as many ids as there are poses, so some have no document."""
+    return T.read(spark, d, "documents").select(F.col("doc_id").alias("capture_id")).withColumn("decision", F.expr(_DECISION))
+
+
+@query(_SQL_VIEW + f""", t AS (SELECT vec_id // 2 AS capture_id, count(DISTINCT vec_id % 2) AS views, bool_and(ok) AS usable, {', '.join(f"max(CASE WHEN vec_id % 2 = {i} THEN {c} END) AS {cam}_{c}" for i, cam in enumerate(('cam01', 'cam02')) for c in ('torso_inclination', 'torso_length'))} FROM f GROUP BY 1),
+st AS (SELECT doc_id AS capture_id, CASE WHEN coalesce(views, 0) < 2 THEN 'INVALID_ANNOTATION' WHEN NOT coalesce(usable, false) THEN 'INVALID_CORE_KEYPOINTS' ELSE 'USABLE' END AS status, t.* EXCLUDE (capture_id) FROM documents LEFT JOIN t ON doc_id = t.capture_id)
+SELECT capture_id, status, {', '.join(f"round(CASE WHEN status = 'USABLE' THEN {c} END, 6) AS {c}" for c in ('cam01_torso_inclination', 'cam02_torso_inclination', 'cam01_torso_length', 'cam02_torso_length'))} FROM st""")
+def batch_2d(spark, d):
+    """FEA-09, JSN-01, AGG-24."""
+    f = batch.views_of(_manifest(spark, d).select("capture_id"), T.pose2d(spark, d, _VIEW_JOINTS))
+    return rounded(f.select("capture_id", "status", *(f"{cam}_{c}" for c in ("torso_inclination", "torso_length") for cam in ("cam01", "cam02"))))
+
+
+@query(_SQL_3D + f""", s AS (SELECT vec_id, valid AND greatest(sqrt(x5*x5+y5*y5+z5*z5), sqrt(x6*x6+y6*y6+z6*z6), sqrt(x11*x11+y11*y11+z11*z11), sqrt(x12*x12+y12*y12+z12*z12)) >= 1e-6 AS ok FROM q), m AS (SELECT doc_id AS capture_id FROM documents),
+j AS (SELECT capture_id, {_DECISION} AS decision, vec_id, ok FROM m LEFT JOIN s ON capture_id = vec_id)
+SELECT decision, CASE WHEN decision NOT LIKE 'INCLUDE%' THEN 'EXCLUDED' WHEN vec_id IS NULL THEN 'INVALID_ANNOTATION' WHEN NOT coalesce(ok, false) THEN 'INVALID_3D_GEOMETRY' ELSE 'USABLE' END AS status, CASE WHEN decision NOT LIKE 'INCLUDE%' THEN 'EXCLUDED' WHEN vec_id IS NULL THEN 'NO_FILE' WHEN NOT coalesce(ok, false) THEN 'CANON_FAILED' ELSE 'USABLE' END AS body_status, count(*) AS n FROM j GROUP BY ALL""")
+def batch_3d(spark, d):
+    """FEA-10, FEA-11: both drivers over one manifest."""
+    m, p = _manifest(spark, d), T.pose3d(spark, d)
+    a, b = batch.spaces_of(m, p).select("capture_id", "decision", "status"), batch.bodies_of(m, p).select("capture_id", F.col("status").alias("body_status"))
+    return a.join(b, "capture_id").groupBy("decision", "status", "body_status").agg(F.count("*").alias("n"))
+
+
+@query(_SQL_3D + " SELECT n AS bodies, n AS hips_centred, n AS hip_axis, n AS shoulders_above, n AS torso_upright FROM (SELECT count(*) AS n FROM q WHERE valid)")
+def body_semantics(spark, d):
+    """FEA-07: the facts hold for every body."""
+    return batch.semantics(pose.body_frame(T.pose3d(spark, d)))

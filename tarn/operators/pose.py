@@ -86,6 +86,12 @@ def space_features(df: DataFrame) -> DataFrame:
     return df.select("vec_id", "label", "ok", *(F.when(nose if j == 0 else F.lit(True), F.col(f"{a}{j}")).alias(f"{a}{j}") for j in (0, *CORE) for a in "xyz"), *(F.when(F.col("ok"), v).alias(n) for v, n in zip(values, SPACE, strict=True)))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a one-row ``inline``: filters and projections above aren't merged into those below, whose nested expressions would be
+    repeated at every use (a filter on the body frame didn't plan within a minute without it). Stays in generated code."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def body_frame(df: DataFrame) -> DataFrame:
     """Canonical coordinates: Y along the torso, X along the hips made orthogonal, Z = X x Y; reason of failure (FEA-06)."""
     seen = lambda j: F.col(f"x{j}").isNotNull() & F.col(f"y{j}").isNotNull() & F.col(f"z{j}").isNotNull()
@@ -101,10 +107,11 @@ def body_frame(df: DataFrame) -> DataFrame:
     df = df.withColumn("un", norm(*U)).withColumns({f"axis_X{i}": F.when(F.col("un") >= EPS, U[i] / F.col("un")) for i in range(3)})
     X = tuple(F.col(f"axis_X{i}") for i in range(3))
     df = df.withColumns({"axis_Z0": X[1] * Y[2] - X[2] * Y[1], "axis_Z1": X[2] * Y[0] - X[0] * Y[2], "axis_Z2": X[0] * Y[1] - X[1] * Y[0]})
+    df = _settled(df)
     axes = {a: tuple(F.col(f"axis_{A}{i}") for i in range(3)) for a, A in zip("xyz", "XYZ", strict=True)}
     out = df.select("vec_id", "label", "nose_ok", "valid", "tn", "wn", "un", *(dot(axes[a], tuple(F.col(f"{b}{j}") for b in "xyz")).alias(f"{a}{j}") for j in (0, *CORE) for a in "xyz"))
     far = F.greatest(*(norm(*(F.col(f"{a}{j}") for a in "xyz")) for j in (0, *CORE)))
-    out = out.withColumn("far", far)
+    out = _settled(out.withColumn("far", far))
     reason = F.when(~F.col("valid"), "missing_core").when(F.col("tn") < EPS, "torso").when(F.col("wn") < EPS, "hip_width").when(F.col("un") < EPS, "x_axis").when(F.col("far") < EPS, "scale")
     return out.select("vec_id", "label", "nose_ok", reason.alias("reason"), *(F.when(reason.isNull(), F.col(f"{a}{j}") / F.col("far")).alias(f"{a}{j}") for j in (0, *CORE) for a in "xyz"))
 

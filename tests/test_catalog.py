@@ -83,5 +83,11 @@ def test_body_frame_invariants(spark):
     assert (ok.x12 > ok.x11).all() and ((ok.y5 + ok.y6) > 0).all() and np.allclose(ok.x5 + ok.x6, 0, atol=1e-9)
 
 
+def test_body_frame_can_be_filtered(spark):
+    f = pose.body_features(tables.pose3d(spark, SF))
+    whole = f.toPandas()
+    assert f.filter("reason is null and head_depth > 0").count() == int((whole.reason.isna() & (whole.head_depth > 0)).sum()) > 0
+
+
 def test_mcnemar_p():
     assert abs(evaluate.mcnemar_p((abs(74 - 55) - 1) ** 2 / (74 + 55)) - 0.1130) < 5e-5

@@ -2,8 +2,8 @@
 
 Layer 0 is the text; its spans are the base. The worklist then unwraps what is encoded within each layer: percent-encoded and Unicode-escaped
 tokens, base64 runs, and gzip, zlib, bz2, xz and zstd streams inside decoded bytes. Every new layer is scanned like the text and put on the worklist
-until nothing new comes; a layer whose content was seen in this document is not entered again, which ends cycles. Each layer carries a map to the text:
-for escapes each decoded character maps to the characters that made it, for base64 and compressed layers all of it maps to the whole run.
+until nothing new comes. A content is scanned once, but its spans are mapped wherever it occurs; one content is entered once at one place, which ends cycles.
+Each layer carries a map to the text: for escapes each decoded character maps to the characters that made it, for base64 and compressed layers all of it maps to the whole run.
 
 Spans of decoded layers are added to the base spans; base spans stay. Kinds: assign, access, hex. Positions are code points, end exclusive.
 
@@ -22,7 +22,6 @@ import io
 import lzma
 import re
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -145,61 +144,74 @@ def unbase64(s: str) -> bytes | None:
         return None
 
 
+def _mark(body: str | bytes) -> bytes:
+    return hashlib.blake2b(body.encode("utf-8", "surrogatepass") if isinstance(body, str) else body, digest_size=16).digest()
+
+
+def _within(outer, inner):
+    """The map of a layer to the text, from its parent's map and its own to the parent: None is identity, (a, b) a whole run, else an array."""
+    if outer is None or isinstance(outer, tuple):
+        return inner if outer is None else outer
+    return (int(outer[inner[0]]), int(outer[inner[1]])) if isinstance(inner, tuple) else outer[inner]
+
+
+def _unwrap(layer: str, limit: int) -> tuple[list[tuple[str, tuple | np.ndarray]], int, int]:
+    """(layers within one layer, each with its map to it; streams inflated; streams cut)."""
+    out, streams, cut = [], 0, 0
+    if _ANY_ESCAPE.search(layer):
+        for m in _ESCAPED.finditer(layer):
+            body, at = unescape(m[0])
+            if body != m[0]:
+                out.append((body, m.start() + np.array(at, np.int64)))
+    for m in _BASE64.finditer(layer):
+        data, chain = unbase64(m[0]), set()
+        while data is not None:
+            body = _readable(data)
+            if body is not None:
+                out.append((body, (m.start(), m.end())))
+                break
+            mark = _mark(data)
+            if mark in chain or (got := inflate(data, limit)) is None:
+                break
+            chain.add(mark)
+            data, short = got
+            streams += 1
+            cut += short
+            if short:  # a cut may split a character
+                data = data.decode("utf-8", "ignore").encode()
+    return out, streams, cut
+
+
 def worklist(text: str, limit: int = LAYER_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """(base spans, spans of decoded layers mapped to the text, layers, layers cut)."""
-    first = scan(text)
+    first, root = scan(text), _mark(text)
     added: set[tuple[int, int, int]] = set()
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work: deque = deque([(text, None)])  # a layer and the map of its characters to the text: None is identity, (a, b) a whole run, else a list
+    known: dict[bytes, tuple[list, list]] = {}  # what a content holds: its spans, and its layers with their maps
+    waiting = {root: text}  # contents not looked into yet
+    seen: set = set()
+    work: list = [(root, None)]
     layers = cut = 0
-
-    def back(where, a: int, b: int) -> tuple[int, int]:
-        if where is None:
-            return a, b
-        if isinstance(where, tuple):
-            return where
-        return where[a], where[b]
-
-    def enter(body: str, where) -> None:
-        nonlocal layers
-        mark = hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if mark in seen:
-            return
-        seen.add(mark)
-        layers += 1
-        for a, k, b in scan(body):
-            x, y = back(where, a, b)
-            added.add((x, k, y))
-        work.append((body, where))
-
     while work:
-        layer, where = work.popleft()
-        if _ANY_ESCAPE.search(layer):
-            for m in _ESCAPED.finditer(layer):
-                body, at = unescape(m[0])
-                if body != m[0]:
-                    if where is None:
-                        enter(body, [m.start() + i for i in at])
-                    elif isinstance(where, tuple):
-                        enter(body, where)
-                    else:
-                        enter(body, [where[m.start() + i] for i in at])
-        for m in _BASE64.finditer(layer):
-            data = unbase64(m[0])
-            while data is not None:
-                body = _readable(data)
-                if body is not None:
-                    enter(body, back(where, m.start(), m.end()))
-                    break
-                mark = hashlib.blake2b(data, digest_size=16).digest()
-                if mark in seen or (got := inflate(data, limit)) is None:
-                    break
-                seen.add(mark)
-                data, short = got
-                layers += 1
-                cut += short
-                if short:  # a cut may split a character
-                    data = data.decode("utf-8", "ignore").encode()
+        mark, where = work.pop()
+        if mark not in known:
+            body = waiting.pop(mark)
+            inner, streams, short = _unwrap(body, limit)
+            layers += streams + (mark != root)
+            cut += short
+            own = [(_mark(x), at) for x, at in inner]
+            waiting |= {k: x for (k, _), (x, _) in zip(own, inner) if k not in known and k != mark}
+            known[mark] = (scan(body) if mark != root else first), own
+        spans, own = known[mark]
+        if where is not None:
+            for a, k, b in spans:
+                x, y = _within(where, (a, b))
+                added.add((x, k, y))
+        for k, at in own:
+            place = _within(where, at)
+            key = k, place if isinstance(place, tuple) else hashlib.blake2b(place.tobytes(), digest_size=16).digest()
+            if key not in seen:
+                seen.add(key)
+                work.append((k, place))
     return first, sorted(added), layers, cut
 
 

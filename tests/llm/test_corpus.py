@@ -153,6 +153,23 @@ def test_secret_layers():
     assert secrets.scan("ſecret=abcdefghijklmn") == [] and secrets.scan("SECRET' : 'abcdefghijkl") == [(0, 0, 23)]
 
 
+def test_secret_layers_at_every_place():
+    inner = 'password = "hunter2hunter2hunter2"'
+    b64, packed = (base64.b64encode(x).decode() for x in (inner.encode(), gzip.compress(inner.encode(), mtime=0)))
+    url = "".join(f"%{b:02x}" for b in inner.encode())
+    nested = base64.b64encode(b64.encode()).decode()
+    hidden = [b64, packed, b64, nested, packed, nested, b64]
+    text = " ; ".join([*hidden, url, url])
+    more, at = secrets.worklist(text)[1], 0
+    for x in hidden:
+        at = text.index(x, at)
+        assert (at, 0, at + len(x)) in more
+        at += len(x)
+    first = text.index(url)
+    assert [a for a, _, b in more if a >= first] == [first, first + len(url) + 3]
+    assert len(more) == len(hidden) + 2
+
+
 def test_secret_query(spark, empty):
     rows = [(1, "token = abcdef123456 and " + "0123456789abcdef" * 2), (2, None), (3, ""), (3, ""), (None, "AKIA" + "Z" * 14), (5, "dead beef" * 9)]
     got = secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist (operator 3).
 
-Layer 0 is the text; its spans are the base. The worklist then unwraps what is encoded within each layer: percent-encoded and Unicode-escaped
-tokens, base64 runs, and gzip, zlib, bz2, xz and zstd streams inside decoded bytes. Every new layer is scanned like the text and put on the worklist
+Layer 0 is the text; its spans are the base. The worklist then unwraps what is encoded within each layer: percent- and Unicode-escaped
+characters (with the tokens around them, as far as a match can reach), base64 runs, and gzip, zlib, bz2, xz and zstd streams inside decoded bytes. Every new layer is scanned like the text and put on the worklist
 until nothing new comes. A content is scanned once, but its spans are mapped wherever it occurs; one content is entered once at one place, which ends cycles.
 Each layer carries a map to the text: for escapes each decoded character maps to the characters that made it, for base64 and compressed layers all of it maps to the whole run.
 
@@ -32,14 +32,17 @@ from tarn.llm._words import chunks
 
 KINDS = ("assign", "access", "hex")
 LAYER_BYTES = 8 << 20
+CACHE_BYTES = 64 << 20
 SHORTEST_BASE64 = 16
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_ESCAPED = re.compile(r"[^\s\"'<>]*?(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]+;)[^\s\"'<>]*")
+_TOKEN = re.compile(r"[^\s\"'<>]+")
 _UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED_END = re.compile(r"[A-Za-z0-9+/_-]{16,}\Z")
+_WRAPPED_REST = re.compile(r"(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _ANY_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#")
 
 
@@ -155,14 +158,40 @@ def _within(outer, inner):
     return (int(outer[inner[0]]), int(outer[inner[1]])) if isinstance(inner, tuple) else outer[inner]
 
 
+def _regions(layer: str) -> list[tuple[int, int]]:
+    """Places to unescape: each escaped token with two tokens on either side (a match has three at most) and with the lines of wrapped base64 it is in."""
+    tokens = np.array([m.span() for m in _TOKEN.finditer(layer)], np.int64).reshape(-1, 2)
+    units = np.array([m.start() for m in _UNIT.finditer(layer)], np.int64)
+    out: list[tuple[int, int]] = []
+    for i in np.unique(np.searchsorted(tokens[:, 0], units, "right") - 1).tolist():
+        a, b = int(tokens[max(i - 2, 0), 0]), int(tokens[min(i + 2, len(tokens) - 1), 1])
+        if out and b <= out[-1][1]:
+            continue
+        while (line := layer.rfind("\n", 0, a)) >= 0 and not layer[line:a].strip() and (not out or a > out[-1][1]):
+            before = layer.rfind("\n", 0, line) + 1
+            m = _WRAPPED_END.search(layer[before:line].rstrip("\r"))
+            if m is None:
+                break
+            a = before + m.start()
+            if layer[before:a].strip():
+                break
+        if (m := _WRAPPED_REST.match(layer, b)) is not None:
+            b = m.end()
+        if out and a <= out[-1][1]:
+            out[-1] = (min(a, out[-1][0]), max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _unwrap(layer: str, limit: int) -> tuple[list[tuple[str, tuple | np.ndarray]], int, int]:
     """(layers within one layer, each with its map to it; streams inflated; streams cut)."""
     out, streams, cut = [], 0, 0
     if _ANY_ESCAPE.search(layer):
-        for m in _ESCAPED.finditer(layer):
-            body, at = unescape(m[0])
-            if body != m[0]:
-                out.append((body, m.start() + np.array(at, np.int64)))
+        for a, b in _regions(layer):
+            body, at = unescape(layer[a:b])
+            if body != layer[a:b]:
+                out.append((body, a + np.array(at, np.int64)))
     for m in _BASE64.finditer(layer):
         data, chain = unbase64(m[0]), set()
         while data is not None:
@@ -186,33 +215,35 @@ def worklist(text: str, limit: int = LAYER_BYTES) -> tuple[list[tuple[int, int,
     """(base spans, spans of decoded layers mapped to the text, layers, layers cut)."""
     first, root = scan(text), _mark(text)
     added: set[tuple[int, int, int]] = set()
-    known: dict[bytes, tuple[list, list]] = {}  # what a content holds: its spans, and its layers with their maps
-    waiting = {root: text}  # contents not looked into yet
+    known: dict[bytes, tuple[list, list | None]] = {}  # what a content holds: its spans, and its layers with their maps (up to CACHE_BYTES, beyond that they are unwrapped anew)
     seen: set = set()
-    work: list = [(root, None)]
-    layers = cut = 0
+    work: list = [(text, root, None)]
+    layers = cut = held = 0
     while work:
-        mark, where = work.pop()
-        if mark not in known:
-            body = waiting.pop(mark)
+        body, mark, where = work.pop()
+        spans, own = known.get(mark, (None, None))
+        if own is None:
             inner, streams, short = _unwrap(body, limit)
-            layers += streams + (mark != root)
-            cut += short
-            own = [(_mark(x), at) for x, at in inner]
-            waiting |= {k: x for (k, _), (x, _) in zip(own, inner) if k not in known and k != mark}
-            known[mark] = (scan(body) if mark != root else first), own
-        spans, own = known[mark]
+            own = [(x, _mark(x), at) for x, at in inner]
+            if spans is None:
+                layers += streams + (mark != root)
+                cut += short
+                spans = scan(body) if mark != root else first
+                size = sum(4 * len(x) + (0 if isinstance(at, tuple) else at.nbytes) for x, _, at in own)
+                fits = held + size <= CACHE_BYTES
+                held += size * fits
+                known[mark] = spans, own if fits else None
         if where is not None:
             for a, k, b in spans:
                 x, y = _within(where, (a, b))
                 added.add((x, k, y))
-        for k, at in own:
+        for x, k, at in own:
             place = _within(where, at)
             key = k, place if isinstance(place, tuple) else hashlib.blake2b(place.tobytes(), digest_size=16).digest()
             if key not in seen:
                 seen.add(key)
-                work.append((k, place))
-    return first, sorted(added), layers, cut
+                work.append((x, k, place))
+    return first, sorted(added - set(first)), layers, cut
 
 
 _LONG = 16

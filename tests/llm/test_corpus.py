@@ -170,6 +170,19 @@ def test_secret_layers_at_every_place():
     assert len(more) == len(hidden) + 2
 
 
+def test_secret_escapes_apart_from_their_keyword():
+    for text in ('{"password": "abc%2Bdefghijklmn"}', '{"password": "abc\\u002Bdefghijklmn"}', "pass%77ord = abcdefghijklmn", "password %3D abcdefghijklmn", "password &#x3d; 'abc%2Bdefghijklmn"):
+        a, b = text.index("pass"), text.index("lmn") + 3
+        assert secrets.worklist(f"x {text} y")[1] == [(a + 2, 0, b + 2)]
+        hidden = base64.b64encode(text.encode()).decode()
+        assert secrets.worklist(f"x {hidden} y")[1] == [(2, 0, 2 + len(hidden))]
+    lines = base64.b64encode(b"x" * 120).decode()
+    text = "\n".join(["k", lines[:40], lines[40:80], lines[80:120] + "%2B", lines[120:], "end%21"])
+    assert secrets._regions(text) == [(2, len(text))]
+    deep = "word " * 200_000 + "%" + "25" * 2_000 + "41"
+    assert secrets.worklist(deep)[2] == 2_001
+
+
 def test_secret_query(spark, empty):
     rows = [(1, "token = abcdef123456 and " + "0123456789abcdef" * 2), (2, None), (3, ""), (3, ""), (None, "AKIA" + "Z" * 14), (5, "dead beef" * 9)]
     got = secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()

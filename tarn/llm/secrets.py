@@ -1,9 +1,11 @@
 """Secret scans with a recursive decoding worklist (operator 3).
 
 Layer 0 is the text; its spans are the base. The worklist then unwraps what is encoded within each layer: percent- and Unicode-escaped
-characters (with the tokens around them, as far as a match can reach), base64 runs, and gzip, zlib, bz2, xz and zstd streams inside decoded bytes. Every new layer is scanned like the text and put on the worklist
+characters (with the tokens around them, as far as a match can reach), base64 runs (in all four phases, and joined over line breaks where lines have 16 letters or more), and gzip, zlib, bz2,
+xz and zstd streams anywhere inside decoded bytes, those of escapes included. Bytes that aren't clean UTF-8 are scanned where they are text. Every new layer is scanned like the text and put on the worklist
 until nothing new comes. A content is scanned once, but its spans are mapped wherever it occurs; one content is entered once at one place, which ends cycles.
-Each layer carries a map to the text: for escapes each decoded character maps to the characters that made it, for base64 and compressed layers all of it maps to the whole run.
+Each layer carries a map to the text: for escapes each decoded character maps to the characters that made it, for base64 and compressed layers all of it maps to the whole run
+(all wrapped lines if it reaches over a break), or to the part between / - _ or the end of a stream where the rest of the run is something else.
 
 Spans of decoded layers are added to the base spans; base spans stay. Kinds: assign, access, hex. Positions are code points, end exclusive.
 
@@ -14,8 +16,8 @@ Nulls: null text has no spans. Empty and repeated rows each get their row. Whole
 
 from __future__ import annotations
 
-import base64
 import binascii
+import bisect
 import bz2
 import hashlib
 import io
@@ -43,6 +45,12 @@ _UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED_END = re.compile(r"[A-Za-z0-9+/_-]{16,}\Z")
 _WRAPPED_REST = re.compile(r"(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_RAW = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
+_SHORT = dict(zip("nrtabfv0\\'\"", "\n\r\t\a\b\f\v\0\\'\""))
+_RAW_X = re.compile(_RAW.pattern + r"|\\[nrtabfv0\\'\"]")
+_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\udc80-\udcff]")
+_CLEAN = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\udc80-\udcff]{12,}")
 _ANY_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#")
 
 
@@ -103,48 +111,134 @@ def unescape(s: str) -> tuple[str, list[int]]:
     return "".join(out), [*at, len(s)]
 
 
-def inflate(data: bytes, limit: int) -> tuple[bytes, bool] | None:
-    """Content of a compressed stream and whether it was cut at ``limit``; None if it isn't one."""
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+
+
+def inflate(data: bytes, limit: int) -> tuple[bytes, bool, int] | None:
+    """Content of a compressed stream, whether it was cut at ``limit``, and the bytes it takes; None if it isn't one."""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, limit)
-            return out, not d.eof and len(out) >= limit
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, limit)
-            return out, not d.eof and len(out) >= limit
-        if data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-            out = d.decompress(data, limit)
-            return out, not d.eof and len(out) >= limit
         if data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            out = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(limit)
-            return out, len(out) >= limit
+            d = zstandard.ZstdDecompressor()
+            out = d.stream_reader(io.BytesIO(data)).read(limit)
+            return out, len(out) >= limit, len(data)
+        if data[:3] == b"BZh":
+            d = bz2.BZ2Decompressor()
+        elif data[:6] == b"\xfd7zXZ\x00":
+            d = lzma.LZMADecompressor()
+        else:
+            d = zlib.decompressobj(47)
+        out = d.decompress(data, limit)
+        return out, not d.eof and len(out) >= limit, len(data) - len(d.unused_data) if d.eof else len(data)
     except Exception:  # noqa: BLE001  damaged streams are no layers
         return None
-    return None
 
 
-def _readable(data: bytes) -> str | None:
+def _opened(data: bytes, limit: int, chain: frozenset = frozenset()) -> tuple[list[tuple[str, int, int]], int, int]:
+    """(texts compressed anywhere in some bytes, each with the bytes it takes; streams; streams cut)."""
+    out, streams, cut, at = [], 0, 0, 0
+    first = len(data) > 1 and data[0] & 15 == 8 and data[0] <= 0x78 and (data[0] << 8 | data[1]) % 31 == 0
+    while first or (m := _MAGIC.search(data, at)) is not None:
+        start = 0 if first else m.start()
+        first = False
+        got = inflate(data[start:], limit)
+        at = start + 1
+        if got is None or not got[0] or (mark := _mark(got[0])) in chain:
+            continue
+        body, short, used = got
+        at = start + used
+        more, n, c = _opened(body, limit, chain | {mark})
+        out += [(_text(body), start, at), *((t, start, at) for t, _, _ in more)]
+        streams, cut = streams + n + bool(more), cut + c + short
+    return out, streams, cut
+
+
+def _text(data: bytes) -> str:
+    """UTF-8; bytes that aren't stand for themselves."""
     try:
-        s = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
-    odd = sum(ord(c) < 32 and c not in "\t\n\r" for c in s[:4096])
-    return s if s and odd == 0 else None
+        return data.decode("latin-1")
 
 
-def unbase64(s: str) -> bytes | None:
-    core = s.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _worth(body: str) -> bool:
+    return bool(_BASE64.search(body) or _ANY_ESCAPE.search(body) or scan(body))
+
+
+def _run(core: str, limit: int) -> tuple[list[tuple[str, int, int, int, int]], int, int]:
+    """(texts in a base64 run with the characters they take, and the phase and byte at which a text begins or -1 for a stream; streams; streams cut).
+
+    A run that is text as a whole is one layer. Otherwise its start may belong to something else, since / - _ are letters too: all four phases are
+    decoded, and clean stretches and compressed streams are taken from anywhere in them."""
+    n, out, streams, cut = len(core), [], 0, 0
+    letters = core.replace("-", "+").replace("_", "/")
+    parts = [m.end() for m in re.finditer(r"[/_-]", core)]
+    for phase in range(4):
+        part = letters[phase:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        if not data:
+            continue
+        body = data.decode("utf-8", "surrogateescape")
+        odd = len(_ODD.findall(body))
+        opened, k, c = _opened(data, limit)
+        streams, cut = streams + k, cut + c
+        for t, x, y in opened:
+            end = phase + 4 * (y // 3) + (0, 2, 3)[y % 3]
+            out.append((t, phase + 4 * (x // 3), n if y == len(data) else min(n, end), -1, -1))
+        if phase == 0 and odd * 8 <= len(body):
+            out.append((body if not odd else data.decode("latin-1"), 0, n, 0, 0))
+            if not odd:
+                break
+            continue
+        at = done = 0
+        own = [s for s in parts if s >= phase and (s - phase) % 4 == 0] if phase else [0, *(s for s in parts if s % 4 == 0)]
+        for m in _CLEAN.finditer(body):
+            x = at + len(body[done : m.start()].encode("utf-8", "surrogateescape"))
+            y = x + len(m[0].encode())
+            at, done = y, m.end()
+            if not _worth(m[0]):
+                continue
+            a = phase + 4 * (x // 3)
+            i = bisect.bisect_left(own, phase + 4 * (-(-x // 3)))
+            if i < len(own) and own[i] <= a + 8:
+                a = own[i]
+            elif i:
+                a = own[i - 1]
+            z = phase + 4 * (y // 3)
+            j = bisect.bisect_left(parts, z + 1)
+            out.append((m[0], a, n if y == len(data) or j == len(parts) else parts[j] - 1, phase, x))
+    return out, streams, cut
+
+
+def _crosses(body: str, begin: int, phase: int, breaks: list[int]) -> bool:
+    """Whether anything in a text decoded from wrapped lines reaches over a line break."""
+    raw = body.encode("utf-8", "surrogateescape").decode("latin-1")
+    places = [(a, b) for a, _, b in scan(raw)] + [m.span() for r in (_BASE64, _UNIT) for m in r.finditer(raw)]
+    return any(bisect.bisect_right(breaks, phase + 4 * (begin + a) / 3) < bisect.bisect_left(breaks, phase + 4 * (begin + b) / 3) for a, b in places)
+
+
+def _raw_bytes(layer: str) -> tuple[bytes, list[int]]:
+    """The bytes that a layer's escapes stand for, other characters as latin-1, and where each of them and the end begins."""
+    out, at, done = [], [], 0
+    for m in (_RAW_X if "\\x" in layer else _RAW).finditer(layer):
+        out.append(layer[done : m.start()])
+        at += range(done, m.start())
+        s = m[0]
+        if s[0] == "&":
+            n = int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1])
+        elif s[0] == "%" or s[1] in "xu":
+            n = int(s[-2:], 16)
+        else:
+            n = ord(_SHORT[s[1]])
+        out.append(chr(n) if n < 256 else "?")
+        at.append(m.start())
+        done = m.end()
+    out.append(layer[done:])
+    at += range(done, len(layer) + 1)
+    return "".join(out).encode("latin-1", "replace"), at
 
 
 def _mark(body: str | bytes) -> bytes:
@@ -192,22 +286,29 @@ def _unwrap(layer: str, limit: int) -> tuple[list[tuple[str, tuple | np.ndarray]
             body, at = unescape(layer[a:b])
             if body != layer[a:b]:
                 out.append((body, a + np.array(at, np.int64)))
+        raw, at = _raw_bytes(layer)
+        opened, k, c = _opened(raw, limit)
+        opened = [(t, x, y) for t, x, y in opened if at[y] - at[x] != y - x]
+        streams, cut = streams + k, cut + c
+        out += [(t, (at[x], at[y])) for t, x, y in opened]
+    wrapped: list[tuple[int, int]] = []
+    for m in _WRAPPED.finditer(layer):
+        pieces = list(re.finditer(r"[A-Za-z0-9+/_-]+", m[0]))
+        breaks = np.cumsum([len(x[0]) for x in pieces])[:-1].tolist()
+        got, k, c = _run("".join(x[0] for x in pieces), limit)
+        got = [x for x in got if (_crosses(x[0], x[4], x[3], breaks) if x[3] >= 0 else bisect.bisect_right(breaks, x[1]) < bisect.bisect_left(breaks, x[2]))]
+        if got:
+            streams, cut = streams + k, cut + c
+            out += [(x[0], m.span()) for x in got]
+        if any(x[3] < 0 for x in got):
+            wrapped.append(m.span())
     for m in _BASE64.finditer(layer):
-        data, chain = unbase64(m[0]), set()
-        while data is not None:
-            body = _readable(data)
-            if body is not None:
-                out.append((body, (m.start(), m.end())))
-                break
-            mark = _mark(data)
-            if mark in chain or (got := inflate(data, limit)) is None:
-                break
-            chain.add(mark)
-            data, short = got
-            streams += 1
-            cut += short
-            if short:  # a cut may split a character
-                data = data.decode("utf-8", "ignore").encode()
+        core = m[0].rstrip("=")
+        got, k, c = _run(core, limit)
+        streams, cut = streams + k, cut + c
+        i = bisect.bisect_right(wrapped, (m.start(), len(layer))) - 1
+        part = i >= 0 and m.end() <= wrapped[i][1]  # its stream goes on in the next lines
+        out += [(t, (m.start() + a, m.end() if b == len(core) else m.start() + b)) for t, a, b, phase, _ in got if not part or phase >= 0]
     return out, streams, cut
 
 

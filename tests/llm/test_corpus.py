@@ -1,11 +1,13 @@
 """The corpus operators against brute force, on small tables with nulls, repeats, ties, empty and long texts."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import random
 import re
+import urllib.parse
 import zlib
 
 import duckdb
@@ -183,6 +185,37 @@ def test_secret_escapes_apart_from_their_keyword():
     assert secrets.worklist(deep)[2] == 2_001
 
 
+def test_secret_layers_in_other_forms():
+    inner = 'password = "hunter2hunter2hunter2"'
+    b64, packed = base64.b64encode(inner.encode()).decode(), gzip.compress(inner.encode(), mtime=0)
+
+    def found(text, hidden):
+        a = text.index(hidden)
+        assert (a, 0, a + len(hidden)) in secrets.worklist(text)[1], text
+
+    for before in ("https://h.io/p/", "https://h.io/pq/", "a-", "ab_"):  # the run begins earlier
+        for x in (b64, base64.b64encode(packed).decode()):
+            found(f"see {before}{x} now", x)
+            found(f"see {before}{x.rstrip('=')}/edit now", x.rstrip("="))
+    assert secrets.worklist(f"abc/{b64}")[1] == [(0, 0, 4 + len(b64))]  # three odd bytes before clean text
+    rng = random.Random(7)
+    noise = "".join(rng.choices("abcdefghij klmnop", k=300))
+    for data in ((noise[:40] + inner + noise).encode(), gzip.compress((noise + inner).encode(), mtime=0), bz2.compress((noise + inner).encode())):
+        for cols in (64, 76, 60):
+            x = base64.b64encode(data).decode()
+            for gap in ("\n", "\r\n", "\n  "):
+                lines = gap.join(x[i : i + cols] for i in range(0, len(x), cols))
+                found(f"key: {lines} end", lines)
+    for s in ("".join(f"%{b:02X}" for b in packed), urllib.parse.quote(packed), "".join(f"\\x{b:02x}" for b in packed), repr(packed)[2:-1], "".join(f"\\u{b:04x}" for b in packed)):
+        a, more = len("body="), secrets.worklist(f"body={s} end")[1]
+        assert [(k, y) for _, k, y in more] == [(0, a + len(s))] and more[0][0] == a
+    for data in (inner.encode() + b"\xff", b"\x01\x02" + inner.encode(), b"caf\xe9 " + inner.encode(), inner.encode() + b"\x00" * 3):
+        x = base64.b64encode(data).decode()
+        found(f"x {x} y", x)
+    twice = f"{b64}\n{b64}\n{b64}"
+    assert secrets.worklist(twice)[1] == [(i * (len(b64) + 1), 0, i * (len(b64) + 1) + len(b64)) for i in range(3)]
+
+
 def test_secret_query(spark, empty):
     rows = [(1, "token = abcdef123456 and " + "0123456789abcdef" * 2), (2, None), (3, ""), (3, ""), (None, "AKIA" + "Z" * 14), (5, "dead beef" * 9)]
     got = secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -1,8 +1,9 @@
 """Toxicity by a counterfactually regularised classifier (operator 7).
 
-A logistic model over which words (letters and digits, A-Z lowered) and which runs of GRAM bytes within words a text has, not how often. Besides the log loss and a ridge, training penalises score changes
-under counterfactuals: in each labelled text with identity terms, every such term is swapped for the others of its group, and the squared
-difference of the two logits is added. Terms of one group are pulled to one weight, so that naming a group neutrally doesn't move
+A logistic model over which words (letters and digits, A-Z lowered) and which runs of GRAM bytes within words a text has, not how often; identity terms
+have no runs, so that a swap of a term changes its word feature alone. Besides the log loss and a ridge, training penalises score changes
+under counterfactuals: in each labelled text with identity terms, every such term is swapped, one at a time, for the others of its group, and the squared
+difference of the logits of the swapped text and the text is added (a partner that the text has already counts once, as in any text). Terms of one group are pulled to one weight, so that naming a group neutrally doesn't move
 the score. The bound of the training sample, ``sample`` labelled rows in order of a hash of doc_id, is a parameter; its texts are
 used whole, and so is every text that is scored. Features are counted and chosen on the executors; only the ``vocabulary`` chosen reach the driver.
 Scoring needs no shuffle.
@@ -14,6 +15,8 @@ that kind's (0 without any). Repeated rows get equal scores. Other columns are n
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,8 +70,13 @@ def swaps() -> dict[int, list[int]]:
     return out
 
 
+@functools.cache
+def _terms() -> np.ndarray:
+    return np.array(sorted(swaps()), np.uint32)
+
+
 def _ids(words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature id) of every word and every run of GRAM bytes within a word, repeats included."""
+    """(text, feature id) of every word and every run of GRAM bytes within a word that is no identity term, repeats included."""
     inside = np.zeros(len(words.data), bool)
     number = np.zeros(len(words.data) + 1, np.int64)
     np.add.at(number, words.start, 1)
@@ -79,8 +87,11 @@ def _ids(words) -> tuple[np.ndarray, np.ndarray]:
     inside = np.cumsum(edge[:-1]) > 0
     h = ngrams(LOWER[words.data].astype(np.uint64) + np.uint64(1), GRAM)
     at = np.flatnonzero(inside[: len(h)] & inside[GRAM - 1 :][: len(h)] & (number[: len(h)] == number[GRAM - 1 :][: len(h)])) if len(h) else np.zeros(0, np.int64)
+    ids = (words.hash >> np.uint64(32)).astype(np.uint32)
+    if len(at):
+        at = at[~np.isin(ids, _terms())[number[at] - 1]]
     doc = np.concatenate([words.doc, words.doc[number[at] - 1] if len(at) else words.doc[:0]])
-    return doc, np.concatenate([(words.hash >> np.uint64(32)).astype(np.uint32), (h[at] >> np.uint64(32)).astype(np.uint32)])
+    return doc, np.concatenate([ids, (h[at] >> np.uint64(32)).astype(np.uint32)])
 
 
 def _distinct(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +149,17 @@ def train(rows: list[np.ndarray], y: np.ndarray, ridge: float = 2e-4, fairness:
     row, col = row[c >= 0], c[c >= 0]
     names = np.concatenate([ids[keep], extra])
     where = {int(x): i for i, x in enumerate(names)}
-    # counterfactuals: logit(swapped) - logit(text) = w[to] - w[from], for each text, term and partner
-    pair_rows = [(where[i], where[j], t) for i in map(int, ids[keep]) if i in swap for j in swap[i] for t in [int(df[np.searchsorted(ids, i)])]]
-    a, b, times = (np.array([p[k] for p in pair_rows], np.int64) for k in range(3))
-    times = times / max(1, n)
+    # counterfactuals, for each text, term and partner: logit(swapped) - logit(text) = w[to] - w[from], or -w[from] where the text has the partner already
+    terms = np.flatnonzero(np.isin(names, _terms()))
+    has = np.zeros((n, len(terms)))
+    spot = np.full(len(names), -1)
+    spot[terms] = np.arange(len(terms))
+    named = spot[col] >= 0
+    has[row[named], spot[col[named]]] = 1
+    both = has.T @ has
+    pair_rows = [(where[i], where[j], both[x, x] - both[x, y], both[x, y]) for i in map(int, names[terms]) for x in [spot[where[i]]] for j in swap[i] if j in where for y in [spot[where[j]]]]
+    a, b = (np.array([p[k] for p in pair_rows], np.int64) for k in range(2))
+    times, lone = (np.array([p[k] for p in pair_rows], float) / max(1, n) for k in (2, 3))
     w, bias, m = np.zeros(len(names)), float(np.log(rate / (1 - rate))), len(names)
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, rounds + 1):
@@ -150,7 +168,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, ridge: float = 2e-4, fairness:
         g = np.bincount(col, gap[row], m) + ridge * w
         if len(a):
             pull = 2 * fairness * times * (w[b] - w[a])
-            g += np.bincount(b, pull, m) - np.bincount(a, pull, m)
+            g += np.bincount(b, pull, m) - np.bincount(a, pull - 2 * fairness * lone * w[a], m)
         g = np.append(g, gap.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8) * (1 - step / (rounds + 1))

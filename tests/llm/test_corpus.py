@@ -317,6 +317,21 @@ def test_toxicity_counterfactuals():
     assert gap[1] < 0.3 * gap[0]
 
 
+def test_toxicity_of_swapped_texts(spark):
+    rng, rows = random.Random(3), []
+    words = [f"w{i}" for i in range(60)]
+    for i in range(600):
+        toxic = i % 4 == 0
+        w = rng.choices(words, k=8) + ["vile"] * (toxic and rng.random() < 0.8) + ["Muslim"] * (rng.random() < (0.6 if toxic else 0.05)) + ["christian"] * (rng.random() < 0.05)
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    texts = [f"w1 w2 our {g} neighbour" for g in ("muslim", "christian", "jewish", "hindu")] + ["w1 w2 vile"]
+    _, _, w = next(word_chunks(pa.array(texts), toxicity.ALNUM, toxicity.LOWER))
+    logits = m.logits(w)
+    assert np.ptp(logits[:4]) < 0.1 and logits[4] > logits[0] + 1
+
+
 def test_toxicity_query(spark, empty):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.digest(docs, labels).toPandas()

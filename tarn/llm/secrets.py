@@ -9,7 +9,8 @@ Each layer carries a map to the text: for escapes each decoded character maps to
 
 Spans of decoded layers are added to the base spans; base spans stay. Kinds: assign, access, hex. Positions are code points, end exclusive.
 
-A decoded layer over LAYER_BYTES (a parameter against decompression bombs) is scanned up to there only, and counted in ``n_cut``.
+Compressed layers are read whole, all members, in pieces of LAYER_BYTES (a parameter against decompression bombs) that overlap by OVERLAP; of larger ones only
+what can hold a secret is kept. ``n_cut`` counts pieces that end in a run longer than the overlap, and zstd streams where zstandard isn't installed.
 
 Nulls: null text has no spans. Empty and repeated rows each get their row. Whole texts are scanned, linear in their length; other columns are ignored.
 """
@@ -25,6 +26,11 @@ import lzma
 import re
 import zlib
 
+try:
+    import zstandard
+except ModuleNotFoundError:  # its streams are counted as cut
+    zstandard = None
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +40,7 @@ from tarn.llm._words import chunks
 
 KINDS = ("assign", "access", "hex")
 LAYER_BYTES = 8 << 20
+OVERLAP = 64 << 10
 CACHE_BYTES = 64 << 20
 SHORTEST_BASE64 = 16
 
@@ -111,46 +118,90 @@ def unescape(s: str) -> tuple[str, list[int]]:
     return "".join(out), [*at, len(s)]
 
 
+_LONG_RUN = re.compile(rb"[A-Za-z0-9+/_=%\\\s-]+")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 
-def inflate(data: bytes, limit: int) -> tuple[bytes, bool, int] | None:
-    """Content of a compressed stream, whether it was cut at ``limit``, and the bytes it takes; None if it isn't one."""
-    try:
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            d = zstandard.ZstdDecompressor()
-            out = d.stream_reader(io.BytesIO(data)).read(limit)
-            return out, len(out) >= limit, len(data)
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        else:
-            d = zlib.decompressobj(47)
-        out = d.decompress(data, limit)
-        return out, not d.eof and len(out) >= limit, len(data) - len(d.unused_data) if d.eof else len(data)
-    except Exception:  # noqa: BLE001  damaged streams are no layers
-        return None
-
-
-def _opened(data: bytes, limit: int, chain: frozenset = frozenset()) -> tuple[list[tuple[str, int, int]], int, int]:
-    """(texts compressed anywhere in some bytes, each with the bytes it takes; streams; streams cut)."""
+def inflate(data: bytes, limit: int):
+    """Content of a compressed stream and of all its members, in pieces of at most ``limit`` bytes up to where it is damaged; returns the bytes it takes, 0 if damaged or not ended."""
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        try:
+            with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True) as d:
+                while piece := d.read(limit):
+                    yield piece
+        except zstandard.ZstdError:
+            pass
+        return 0
+    if data[:3] == b"BZh":
+        kind, new = data[:3], bz2.BZ2Decompressor
+    elif data[:6] == b"\xfd7zXZ\x00":
+        kind, new = data[:6], lzma.LZMADecompressor
+    else:
+        kind, new = data[:2], lambda: zlib.decompressobj(47)
+    at = 0
+    while data[at : at + len(kind)] == kind:
+        d, feed = new(), at
+        try:
+            while not d.eof:
+                rest = getattr(d, "unconsumed_tail", b"")
+                if not rest and getattr(d, "needs_input", True):
+                    rest = data[feed : feed + (1 << 16)]
+                    feed += len(rest)
+                    if not rest and feed >= len(data) and not (piece := d.decompress(b"", limit)):
+                        return 0
+                    elif not rest:
+                        yield piece
+                        continue
+                if piece := d.decompress(rest, limit):
+                    yield piece
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):  # damaged from here on
+            return 0
+        at = feed - len(d.unused_data)
+    return at
+
+
+def _matter(body: str) -> list[str]:
+    """The parts of a text in which anything can be found."""
+    found = [body[a:b] for a, _, b in scan(body)] + [m[0] for r in (_WRAPPED, _BASE64) for m in r.finditer(body)]
+    return found + ([body[a:b] for a, b in _regions(body)] if _ANY_ESCAPE.search(body) else [])
+
+
+def _opened(data: bytes, limit: int, chain: frozenset = frozenset()) -> tuple[list[tuple[str, int, int, bool]], int, int]:
+    """(texts compressed anywhere in some bytes, each with the bytes it takes and whether its stream is complete; streams; streams cut)."""
     out, streams, cut, at = [], 0, 0, 0
     first = len(data) > 1 and data[0] & 15 == 8 and data[0] <= 0x78 and (data[0] << 8 | data[1]) % 31 == 0
     while first or (m := _MAGIC.search(data, at)) is not None:
         start = 0 if first else m.start()
         first = False
-        got = inflate(data[start:], limit)
         at = start + 1
-        if got is None or not got[0] or (mark := _mark(got[0])) in chain:
+        if zstandard is None and data[start : start + 4] == b"\x28\xb5\x2f\xfd":
+            cut += 1
+            continue
+        stream, carry, texts, used, last, mark = inflate(data[start:], limit), b"", {}, 0, None, None
+        while True:
+            try:
+                piece = next(stream)
+            except StopIteration as end:
+                used = end.value
+                break
+            body = carry + piece
+            if last is None:
+                mark = _mark(body)
+                if mark in chain:
+                    break
+            else:  # more than one piece: of each only what matters is kept
+                texts |= dict.fromkeys(_matter(last))
+            last = _text(body)
+            more, n, c = _opened(body, limit, chain | {mark})
+            texts |= dict.fromkeys(t for t, *_ in more)
+            streams, cut = streams + n + bool(more), cut + c
+            carry = body[-OVERLAP:]
+            if len(piece) == limit and len(carry) == OVERLAP and _LONG_RUN.fullmatch(carry):
+                cut += 1
+        if last is None:
             continue
-        body, short, used = got
-        at = start + used
-        more, n, c = _opened(body, limit, chain | {mark})
-        out += [(_text(body), start, at), *((t, start, at) for t, _, _ in more)]
-        streams, cut = streams + n + bool(more), cut + c + short
+        at = start + (used or 1)
+        out += [(t, start, at if used else len(data), used > 0) for t in (last, *texts)]
     return out, streams, cut
 
 
@@ -171,7 +222,7 @@ def _run(core: str, limit: int) -> tuple[list[tuple[str, int, int, int, int]], i
 
     A run that is text as a whole is one layer. Otherwise its start may belong to something else, since / - _ are letters too: all four phases are
     decoded, and clean stretches and compressed streams are taken from anywhere in them."""
-    n, out, streams, cut = len(core), [], 0, 0
+    n, out, whole, streams, cut = len(core), [], [], 0, 0
     letters = core.replace("-", "+").replace("_", "/")
     parts = [m.end() for m in re.finditer(r"[/_-]", core)]
     for phase in range(4):
@@ -185,9 +236,11 @@ def _run(core: str, limit: int) -> tuple[list[tuple[str, int, int, int, int]], i
         odd = len(_ODD.findall(body))
         opened, k, c = _opened(data, limit)
         streams, cut = streams + k, cut + c
-        for t, x, y in opened:
+        for t, x, y, complete in opened:
             end = phase + 4 * (y // 3) + (0, 2, 3)[y % 3]
             out.append((t, phase + 4 * (x // 3), n if y == len(data) else min(n, end), -1, -1))
+            if complete:
+                whole.append(out[-1][1:3])
         if phase == 0 and odd * 8 <= len(body):
             out.append((body if not odd else data.decode("latin-1"), 0, n, 0, 0))
             if not odd:
@@ -210,6 +263,7 @@ def _run(core: str, limit: int) -> tuple[list[tuple[str, int, int, int, int]], i
             z = phase + 4 * (y // 3)
             j = bisect.bisect_left(parts, z + 1)
             out.append((m[0], a, n if y == len(data) or j == len(parts) else parts[j] - 1, phase, x))
+    out = [t for t in out if t[3] < 0 or not any(a <= t[1] and t[2] <= b for a, b in whole)]  # text by chance within a stream
     return out, streams, cut
 
 
@@ -288,7 +342,7 @@ def _unwrap(layer: str, limit: int) -> tuple[list[tuple[str, tuple | np.ndarray]
                 out.append((body, a + np.array(at, np.int64)))
         raw, at = _raw_bytes(layer)
         opened, k, c = _opened(raw, limit)
-        opened = [(t, x, y) for t, x, y in opened if at[y] - at[x] != y - x]
+        opened = [(t, x, y) for t, x, y, _ in opened if at[y] - at[x] != y - x]
         streams, cut = streams + k, cut + c
         out += [(t, (at[x], at[y])) for t, x, y in opened]
     wrapped: list[tuple[int, int]] = []

@@ -5,6 +5,7 @@ import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -216,6 +217,17 @@ def test_secret_layers_in_other_forms():
     assert secrets.worklist(twice)[1] == [(i * (len(b64) + 1), 0, i * (len(b64) + 1) + len(b64)) for i in range(3)]
 
 
+def test_secret_compressed_layers_are_read_whole():
+    inner, filler = b'password = "hunter2hunter2hunter2"', b"some words, " * 20_000
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        for data in (pack(filler + inner + filler), pack(filler) + pack(inner)):
+            x = base64.b64encode(data).decode()
+            _, more, _, cut = secrets.worklist(f"x {x} y", 100_000)
+            assert more == [(2, 0, 2 + len(x))] and cut == 0, pack
+    x = base64.b64encode(gzip.compress(b"a" * 300_000)).decode()
+    assert secrets.worklist(x, 100_000)[3] > 0
+
+
 def test_secret_query(spark, empty):
     rows = [(1, "token = abcdef123456 and " + "0123456789abcdef" * 2), (2, None), (3, ""), (3, ""), (None, "AKIA" + "Z" * 14), (5, "dead beef" * 9)]
     got = secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: hot keys that ``join_hot`` broadcasts, at most, for each shuffle partition
+HOT_PER_PARTITION = 4
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``; set here only where it is unset (tests, one machine)."""
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``. Where it is unset (tests, one machine) a temporary
+    folder is made; on a cluster that is refused, since executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
             spark.sparkContext.setCheckpointDir(found)
     return found
@@ -32,14 +38,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def size_hint(df: DataFrame) -> int:
-    """Bytes of the inputs as the optimiser sees them, without a scan; counted where it can't tell."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if 0 <= size < 1 << 58:
-        return size
-    text = [c for c, t in df.dtypes if t == "string"]
-    row = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(64))).alias("b")).first()
-    return int(row.b or 0)
+def text_bytes(df: DataFrame, text: str) -> tuple[int, int]:
+    """(rows, bytes of ``text``), counted."""
+    row = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(f"`{text}`"))).alias("b")).first()
+    return int(row.n), int(row.b or 0)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (one row a ``key``, neither null) where one key may hold a large share of the rows.
+
+    ``weight`` says how many rows each key has. Keys with more than a HOT_PER_PARTITION-th part of an even partition's rows are hot; there can be
+    no more than HOT_PER_PARTITION of them for each shuffle partition, whatever the data, so they are broadcast and their rows stay where they are. The rest is shuffled, with
+    no key left that fills a task."""
+    spark = rows.sparkSession
+    most = HOT_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    limit = max(100, total // most)
+    hot = facts.filter(F.col(weight) > limit)
+    rest = facts.filter(F.col(weight) <= limit)
+    names = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(names, key, "left_anti").join(rest, key))
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -52,3 +70,8 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         have.add(name.lower())
         out.append(name)
     return out
+
+
+def text_hash(text: str) -> Column:
+    """128 bits that stand for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))

@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm._spark import cut
+from tarn.llm._spark import cut, fresh
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2
-BLOCK = 20_000
+BLOCK = 1_000
 SEED = "mix"
 
 
@@ -52,16 +52,19 @@ def targets(sources: DataFrame) -> DataFrame:
 def copies(light: DataFrame) -> DataFrame:
     """From rows with source, size and tie (an order of equal documents), adds source_size, target and copies."""
     light = cut(light.withColumn("class", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int")))
-    per = targets(light.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))).select(
-        F.col("source").alias("s"), F.ceil(F.col("n") / BLOCK).alias("salts"), F.col("size").alias("source_size"), "target",
+    # a row a source and size class, of which there are some 80 at most
+    kinds = cut(light.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    per = targets(kinds.groupBy("source").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))).select(
+        F.col("source").alias("s"), F.col("size").alias("source_size"), "target",
         F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0).alias("rate"),
         ((_hash(F.lit(SEED), F.coalesce(F.col("source"), F.lit("")))) / F.lit(float(1 << 32))).alias("offset"),
     )
-    rows = light.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("salt", F.pmod(F.col("tie"), F.col("salts")))
+    known = kinds.select("source", F.col("class").alias("k"), F.ceil(F.col("n") / BLOCK).alias("salts")).join(per, F.col("source").eqNullSafe(F.col("s"))).drop("source")
+    rows = light.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k"))).drop("s", "k").withColumn("salt", F.pmod(F.col("tie"), F.col("salts")))
     key = ["source", "class", "salt"]
     # counts are of (source, class, salt): the blocks before each, in order, are summed over this small table
     block = rows.groupBy(*key).agg(F.count("*").alias("c"))
-    # blocks of one source are few (its rows / BLOCK, and a block a class at least)
+    # blocks of one source are its rows / BLOCK and one a class at most: a thousandth of its rows
     block = block.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*(F.col(k).alias(f"b_{k}") for k in key), "before")
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.when(F.col("class") % 2 == 0, F.col("size")).otherwise(-F.col("size")), "tie", "key")))
     joined = ranked.join(block, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")) & (F.col("salt") == F.col("b_salt")))
@@ -71,7 +74,8 @@ def copies(light: DataFrame) -> DataFrame:
 
 
 def _light(docs: DataFrame, *more: Column) -> DataFrame:
-    tie = _hash(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # of the text as well, so that rows without or with one doc_id are spread over blocks
+    tie = _hash(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     return docs.select("doc_id", "source", words("text").alias("size"), tie.alias("tie"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("key"), *more)
 
 
@@ -80,25 +84,26 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """All columns of the documents taken, a row for each copy, and ``copy`` (1, 2; another name if there is one)."""
-    name = "copy"
-    while name in docs.columns:
-        name = f"_{name}"
-    mark = F.xxhash64("text").alias("mark")
-    got = copies(_light(docs, mark)).filter("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("mark").alias("m_mark"), "copies")
-    # rows that repeat a document entirely are one key here: their copies are summed and dealt out again
-    times = got.groupBy("m_id", "m_source", "m_mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    same = docs.select("*", F.xxhash64("text").alias("m_text")).join(times, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_text") == F.col("m_mark")))
-    once = same.filter("rows = 1").select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(name))
-    nth = F.row_number().over(Window.partitionBy("m_id", "m_source", "m_mark").orderBy("m_mark"))
-    many = same.filter("rows > 1").withColumn("nth", nth).withColumn("own", F.floor(F.col("nth") * F.col("copies") / F.col("rows")) - F.floor((F.col("nth") - 1) * F.col("copies") / F.col("rows")))
-    return once.unionByName(many.filter("own > 0").select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))).alias(name)))
+    """All columns of the documents taken, a row for each copy, and ``copy`` (1, 2; another name if there is one).
+
+    Copies are decided on light rows (doc_id, source, a hash of the text). Each task then hashes its decisions and texts stream past them, shuffled once and never sorted.
+    Rows that repeat a document entirely are one key there: their copies are summed and dealt out again; only if there are such rows, rows are sorted by that key."""
+    name, mark, nth = fresh(docs, "copy", "mark", "nth")
+    got = copies(_light(docs, F.xxhash64("text").alias("mark"))).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("mark").alias("m_mark"), "copies")
+    times = cut(got.groupBy("m_id", "m_source", "m_mark").agg(F.sum("copies").cast("int").alias("m_copies"), F.count("*").alias("m_rows")).filter("m_copies > 0"))
+    key = [F.col("m_id"), F.col("m_source"), F.col("m_mark")]
+    taken = docs.withColumn(mark, F.xxhash64("text")).join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(key[0]) & F.col("source").eqNullSafe(key[1]) & (F.col(mark) == key[2]))
+    own = F.col("m_copies")
+    if not times.filter("m_rows > 1").isEmpty():
+        taken = taken.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(mark)))
+        own = F.floor(F.col(nth) * own / F.col("m_rows")) - F.floor((F.col(nth) - 1) * own / F.col("m_rows"))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), own.cast("int"))).alias(name), mark).select(*(F.col(f"`{c}`") for c in docs.columns), name)
 
 
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS tie FROM documents
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS tie FROM documents
 ), c AS (SELECT *, floor(log2(size + 1.0::DOUBLE) * 4)::INT AS class FROM d),
 s AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS ssize FROM c GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s),
@@ -109,8 +114,8 @@ lv AS (SELECT arg_min(level, full_at) AS level FROM l WHERE full_at >= level),
 t AS (SELECT source, n, ssize, least(2.0::DOUBLE * ssize, lv.level * w) AS target,
           ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off FROM l, lv),
 r AS (SELECT doc_id, size, ssize, target, off, CASE WHEN ssize > 0 THEN target / ssize ELSE 0 END AS rate,
-          row_number() OVER (PARTITION BY c.source ORDER BY class, tie % ceil(n / 20000.0)::BIGINT, CASE WHEN class % 2 = 0 THEN size ELSE -size END, tie, doc_id) AS k
-      FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
+          row_number() OVER (PARTITION BY c.source ORDER BY class, tie % ceil(m / 1000.0)::BIGINT, CASE WHEN class % 2 = 0 THEN size ELSE -size END, tie, doc_id) AS k
+      FROM (SELECT *, count(*) OVER (PARTITION BY source, class) AS m FROM c) c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, ssize AS source_size, target,
        (least(floor(k * rate + off) - floor((k - 1) * rate + off), ceil(rate)) * size)::BIGINT AS taken FROM r
 """

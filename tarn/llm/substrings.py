@@ -5,7 +5,7 @@ also starts earlier, in order of (doc_id, start). Each document is cut into non-
 As WINDOW >= 2 * BLOCK - 1, every window holds a whole block of its own document, so a repeated window always shares a
 block of its first occurrence with a rolling BLOCK-word run of the other. Hence:
 
-1. *Index and probe.* Documents are dealt into groups of a few MB by a hash of doc_id. Each group sends the distinct hashes
+1. *Index and probe.* Documents are dealt into groups of a few MB (the bytes of all texts are counted first) by a hash of doc_id. Each group sends the distinct hashes
    of all its rolling runs of BLOCK words once, marked when one of them is a reference block (index) and when it occurs more
    than once in the group; hash buckets tell each group by one bit per hash which of them met a block elsewhere.
 2. *Extend.* Only windows around a met anchor go on. Each group sends the distinct hashes of these with the least doc_id;
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._spark import size_hint
+from tarn.llm._spark import text_bytes
 from tarn.llm._words import Words, buffers, dilate
 
 WINDOW = 20
@@ -113,7 +113,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 def _repeats(docs: DataFrame, doc_id: str, text: str, window: int, block: int, whole: bool) -> DataFrame:
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
-    size = size_hint(docs)
+    n, size = text_bytes(docs, text)
+    size += 32 * n
     groups = max(32, size // GROUP_BYTES)
     buckets = 1 << max(6, (size // (1 << 22)).bit_length())
     dealt = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(groups)).cast("int").alias("grp"), F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))

@@ -1,39 +1,68 @@
 """Language identification by cross-parsing entropy (operator 10).
 
 Each language is a suffix automaton over a bounded sample of its labelled text. A text is parsed greedily into the longest phrases
-that occur in that sample; phrases * log2(sample length) / symbols is an estimate of the cross entropy, and the language with the least wins. The sample's bounds
-(``per_language`` documents, ``reference`` symbols) are parameters; every text is parsed whole.
+that occur in that sample; phrases * log2(sample length) / symbols is an estimate of the cross entropy, and the language with the least wins. The sample's bounds are parameters: at most
+``per_language`` documents a language, chosen by a hash of doc_id, and of each a piece of at most ``piece`` characters from a place in the whole text that another hash chooses. Every text is
+parsed whole, and every language with a labelled document is learned.
 
-Symbols are lower-case letters; all other characters, runs of them, count as one space. Texts are cut in segments of ``SEGMENT``
-symbols that are parsed side by side, one table lookup a symbol and language for all segments at once; a cut costs at most one phrase in SEGMENT symbols, the same for
-each language. Letters beyond the ALPHABET most common of the samples are unseen: each is a phrase of its own.
+Symbols are the UTF-8 bytes of lower-case letters, so letters of any script count; all other characters, runs of them, count as one space. Texts are cut in segments of ``SEGMENT``
+symbols that are parsed side by side, one step for all segments at once; a cut costs at most one phrase in SEGMENT symbols, the same for
+each language. A byte that no sample has is a phrase of its own. A language takes some 5 MB in each worker and ``per_language * piece`` characters on the driver.
 
 Nulls: null text or one without a letter is ``und`` with score 0. Documents with null lang or null doc_id are classified, never learned from. Nothing learned: all are ``und``.
-Ties go to the first language by code point. Repeated rows get equal answers. Other columns are never read.
+Ties go to the first language by code point. Repeated rows get equal answers. Empty tables give no rows. Other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm._words import chunks
 
-REFERENCE = 40_000
-PER_LANGUAGE = 400
-PER_DOCUMENT = 1_000
-ALPHABET = 250
+PER_LANGUAGE = 120
+PIECE = 400
 SEGMENT = 512
 MOST_LITERALS = 1_000
 
 
-def automaton(text: list[int], symbols: int) -> np.ndarray:
-    """Parse table of the suffix automaton of ``text``: [state, symbol] -> next state * 4 + phrases ended, flat."""
+class Automaton:
+    """The parse table of the suffix automaton of ``text``. A step gives next state * 4 + phrases ended.
+
+    States with one edge, most of them, keep it in ``only`` and ``to``; the others have a row of ``rows``, and row 0 is what any state does without an edge."""
+
+    def __init__(self, text: list[int], symbols: int):
+        go = edges(text)
+        start = np.full(symbols, -1, np.int64)
+        for c, t in go[0].items():
+            start[c] = t * 4
+        # no edge: the phrase ends and the symbol starts the next one; a symbol the sample lacks is a phrase itself
+        rows = [np.where(start >= 0, start + 1, 2), np.where(start >= 0, start, 1)]
+        self.symbols = symbols
+        self.only, self.to, self.row = np.full(len(go), 255, np.uint8), np.zeros(len(go), np.int32), np.zeros(len(go), np.int32)
+        for s, own in enumerate(go):
+            if s == 0:
+                self.row[0] = 1
+            elif len(own) == 1:
+                ((c, t),) = own.items()
+                self.only[s], self.to[s] = c, t * 4
+            elif own:
+                self.row[s] = len(rows)
+                row = rows[0].copy()
+                for c, t in own.items():
+                    row[c] = t * 4
+                rows.append(row)
+        self.rows = np.stack(rows).astype(np.int32).ravel()
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.where(self.only[state] == c, self.to[state], self.rows[self.row[state] * self.symbols + c])
+
+
+def edges(text: list[int]) -> list[dict[int, int]]:
+    """The edges of each state of the suffix automaton of ``text``."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
@@ -59,48 +88,42 @@ def automaton(text: list[int], symbols: int) -> np.ndarray:
                     go[p][c] = copy
                     p = link[p]
         last = cur
-    table = np.full((len(go), symbols), -1, np.int64)
-    for s, edges in enumerate(go):
-        for c, t in edges.items():
-            table[s, c] = t * 4
-    # no edge: the phrase ends and the symbol starts the next one; a symbol the sample lacks is a phrase itself
-    start = table[0].copy()
-    missing = np.where(start >= 0, start + 1, 2)
-    table = np.where(table >= 0, table, missing)
-    table[0] = np.where(start >= 0, start, 1)
-    return table.astype(np.int32).ravel()
+    return go
 
 
 class Parser:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        counts: Counter = Counter()
-        for s in samples.values():
-            counts.update(s)
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c.isalpha()][:ALPHABET]
-        self.kind = np.ones(0x110000, np.uint8)
-        self.kind[np.fromiter((i for i in range(0x110000) if chr(i).isalpha()), np.int64)] = 0
-        for i, c in enumerate(sorted(letters)):
-            self.kind[ord(c)] = i + 2
-        self.symbols = len(letters) + 2
-        self.tables, self.bits = [], []
-        for lang in self.langs:
-            codes, _ = self.encode([samples[lang]])
-            self.tables.append(automaton(codes.tolist(), self.symbols))
-            self.bits.append(math.log2(max(2, len(codes))))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all texts, and how many each has."""
+        self.letter = np.zeros(0x110000, bool)
+        self.letter[np.fromiter((i for i in range(0x110000) if chr(i).isalpha()), np.int64)] = True
+        found = [self._bytes([samples[lang]])[0] for lang in self.langs]
+        self.code = np.zeros(256, np.uint8)
+        self.code[0x20] = 1
+        used = [b for b in np.unique(np.concatenate([np.zeros(0, np.uint8), *found])).tolist() if b != 0x20]
+        self.code[used] = np.arange(2, len(used) + 2)
+        self.tables = [Automaton(self.code[x].tolist(), len(used) + 2) for x in found]
+        self.bits = [math.log2(max(2, len(x))) for x in found]
+
+    def _bytes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of the letters of all texts, with one space for what is between, and how many each text has."""
         texts = [t.lower() for t in texts]
         at = np.cumsum([0, *map(len, texts)])
-        codes = self.kind[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        space = codes == 1
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = ~self.letter[codes]
         again = np.zeros(len(codes), bool)
         again[1:] = space[1:] & space[:-1]
         first = at[:-1][at[:-1] < len(codes)]
         again[first] = space[first]
-        total = np.concatenate([[0], np.cumsum(~again)])
-        return codes[~again], np.diff(total[at])
+        codes = np.where(space, np.uint32(0x20), codes)
+        size = np.where(again, 0, 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000))
+        total = np.concatenate([[0], np.cumsum(size)])
+        data = codes[~again].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        return np.frombuffer(data, np.uint8), np.diff(total[at])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all texts (1 is the space, 0 a byte that no sample has), and how many each has."""
+        data, sizes = self._bytes(texts)
+        return self.code[data], sizes
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """[language, text] phrase counts."""
@@ -123,7 +146,7 @@ class Parser:
             state, count = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int32)
             for c in steps:
                 n = len(c)
-                v = table[state[:n] * self.symbols + c]
+                v = table.step(state[:n], c)
                 count[:n] += v & 3
                 state[:n] = v >> 2
             out[k] = np.bincount(owner, count + (state > 0), texts)
@@ -158,15 +181,16 @@ def _parser(samples: dict[str, str]) -> Parser:
     return _parsers[key]
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, reference: int = REFERENCE, fold: int | None = 1) -> dict[str, str]:
-    """A sample of text per language, from documents outside the fold (crc32 of doc_id as text, mod 3), in order of a hash of doc_id."""
-    known = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("body")).filter("id is not null and lang is not null")
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, piece: int = PIECE, fold: int | None = 1) -> dict[str, str]:
+    """A sample of text per language, from documents outside the fold (crc32 of doc_id as text, mod 3)."""
+    known = docs.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("body")).filter("id is not null and lang is not null")
     if fold is not None:
         known = known.filter(F.crc32(F.col("id").cast("binary")) % 3 != fold)
     dice = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30))
     rates = {r["lang"]: 2 * per_language / r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     if not rates:
         return {}
+    # about twice the documents wanted, so that few rows of any language meet in the ranking
     share = [(k, int(min(1.0, v) * (1 << 30))) for k, v in sorted(rates.items())]
     if len(share) <= MOST_LITERALS:
         # a literal: texts needn't move to meet a few numbers
@@ -174,12 +198,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         some = known.filter(dice < rate)
     else:
         some = known.join(docs.sparkSession.createDataFrame(share, "lang string, rate long"), "lang").filter(dice < F.col("rate"))
-    some = some.select("lang", dice.alias("dice"), "id", F.substring("body", 1, PER_DOCUMENT).alias("body"))
-    out: dict[str, str] = {}
-    for r in sorted(some.collect(), key=lambda r: (r["lang"], r["dice"], r["id"], r["body"] or "")):
-        if r["body"] and len(out.get(r["lang"], "")) < reference:
-            out[r["lang"]] = (out.get(r["lang"], "") + " " + r["body"].lower())[:reference]
-    return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
+    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("body") - piece + 1, F.lit(1))) + 1
+    some = some.filter("body is not null").select("lang", dice.alias("dice"), "id", F.substring(F.col("body"), place.cast("int"), F.lit(piece)).alias("body"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", "body"))
+    out: dict[str, list[str]] = {}
+    for r in sorted(some.withColumn("nth", nth).filter(F.col("nth") <= per_language).collect(), key=lambda r: (r["lang"], r["nth"])):
+        out.setdefault(r["lang"], []).append(r["body"].lower())
+    samples = {k: " ".join(v) for k, v in out.items()}
+    return {k: v for k, v in samples.items() if any(c.isalpha() for c in v)}
 
 
 def identify(docs: DataFrame, samples: dict[str, str], keep: list[str], text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm._words import ngrams, window_min
@@ -76,6 +76,11 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", gram: int
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array, one literal in the plan whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document in its range (``part``) in descending order, and at the end of each range the document that follows (``edge``)."""
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("o"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
@@ -83,17 +88,24 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     cuts = sorted({int(x) for x in base.approxQuantile("o", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
     part = F.lit(0)
     if cuts:
-        # number of borders at or above o: ranges count up as doc_id goes down
-        part = F.lit(len(cuts)) - F.expr(f"""aggregate(sequence(1, {len(cuts).bit_length()}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, i) -> if(s.lo >= s.hi, s,
-            if(element_at(array({', '.join(f'{c}L' if c > -(1 << 63) else 'bigint("-9223372036854775808")' for c in cuts)}), cast((s.lo + s.hi) div 2 as int) + 1) <= o, named_struct('lo', cast((s.lo + s.hi) div 2 as int) + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int)))), s -> s.lo)""")
+        # number of borders at or above o, by halving: ranges count up as doc_id goes down
+        border = _longs(cuts)
+
+        def half(s, _):
+            at = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            above = F.element_at(border, at + 1) <= F.col("o")
+            return F.when(s["lo"] >= s["hi"], s).when(above, F.struct((at + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), at.alias("hi")))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), half, lambda s: s["lo"])
+        part = F.lit(len(cuts)) - found
     placed = base.withColumn("part", part.cast("int"))
     # the first of each range, one row a range
     heads = sorted((r.part, r.h.o, r.h.t) for r in placed.select("part", "o", "t").groupBy("part").agg(F.max(F.struct("o", "t")).alias("h")).collect())
     if not heads:
         return placed.withColumn("edge", F.lit(False))
-    before = {(o, t): heads[i - 1][0] for i, (_, o, t) in enumerate(heads)}
-    twice = F.create_map(*(x for (o, t), p in before.items() for x in (F.struct(F.lit(o).alias("o"), F.lit(t).alias("t")), F.lit(p))))
-    also = F.try_element_at(twice, F.struct("o", "t"))
+    first = {p: (o, t, heads[i - 1][0]) for i, (p, o, t) in enumerate(heads)}
+    head = [F.element_at(_longs([first.get(p, (0, 0, 0))[c] for p in range(len(cuts) + 1)]), F.col("part") + 1) for c in range(3)]
+    also = F.when((F.col("o") == head[0]) & (F.col("t") == head[1]), head[2].cast("int"))
     own = F.struct(F.col("part"), F.lit(False).alias("edge"))
     return placed.withColumn("to", F.when(also.isNull(), F.array(own)).otherwise(F.array(own, F.struct(also.alias("part"), F.lit(True).alias("edge"))))).select("doc_id", "o", "t", "text", F.explode("to").alias("to")).select("doc_id", "o", "t", "text", "to.part", "to.edge")
 

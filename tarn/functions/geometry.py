@@ -40,3 +40,28 @@ def mid(a: tuple, b: tuple) -> tuple:
 
 def minus(a: tuple, b: tuple) -> tuple:
     return tuple(x - y for x, y in zip(a, b, strict=True))
+
+
+def _product_error(a: Column, b: float, p: Column) -> Column:
+    """What the rounded product p = a * b is short of the exact one (two halves of 26 bits each)."""
+    split = 134217729.0
+    hi = a * split - (a * split - a)
+    b_hi = b * split - (b * split - b)
+    lo, b_lo = a - hi, b - b_hi
+    return ((hi * b_hi - p) + hi * b_lo + lo * b_hi) + lo * b_lo
+
+
+def exact_round(c: Column, digits: int) -> Column:
+    """GEO-16: the exact binary value rounded to ``digits`` decimals, ties to even, as Python's ``round`` does; Spark's own works on the decimal text.
+    NULL, NaN and what is too large to have decimals stay."""
+    scale = float(10**digits)
+    p = c * F.lit(scale)
+    down = F.floor(p).cast("double")
+    over = (p - down - 0.5) + _product_error(c, scale, p)
+    whole = F.when((over > 0) | ((over == 0) & (down % 2 != 0)), down + 1).otherwise(down)
+    return F.when(F.abs(p) < 4503599627370496.0, whole / scale).otherwise(c)
+
+
+def decimals(c: Column, digits: int) -> Column:
+    """The number as text with ``digits`` decimals, rounded exactly; NULL stays."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", exact_round(c, digits)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,21 @@ def exact_groups(df: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def simhash(df: DataFrame, key: str, body: str) -> DataFrame:
-    """64-bit hash of each text in two halves (hi, lo): the sign of the sum of its distinct words' md5 bits. Sums are combined before the shuffle."""
-    token = df.select(key, F.explode(F.array_distinct(F.split(F.lower(body), r"\s+"))).alias("t"))
-    h = F.md5(F.col("t").cast("binary"))
-    half = token.select(key, F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint").alias("hi"), F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint").alias("lo"))
-    sums = half.groupBy(key).agg(*(F.sum((F.shiftright(c, b).bitwiseAND(F.lit(1)) * 2 - 1)).alias(f"{c}{b}") for c in ("hi", "lo") for b in range(32)))
-    word = lambda c: sum((F.when(F.col(f"{c}{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint") for b in range(1, 32)), F.when(F.col(f"{c}0") > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    return sums.select(key, word("hi").alias("hi"), word("lo").alias("lo"))
+    """64-bit hash of each text in two halves (hi, lo): the sign of the sum of its distinct words' md5 bits. Each row is folded by itself, nothing is shuffled:
+    two bits' counts share a number (32 bits each, so any number of words fits)."""
+    half = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
+    marks = F.transform(F.array_distinct(F.split(F.lower(body), r"\s+")), lambda t: F.md5(t.cast("binary")))
+    tokens = df.select(key, F.transform(marks, lambda h: F.struct(half(h, 1).alias("hi"), half(h, 9).alias("lo"))).alias("_w"))
+    mask = F.lit((1 << 32) + 1)
+    zero = F.array_repeat(F.lit(0).cast("bigint"), 32)
+    # number b of a half's 16 holds the counts of its bits b and b + 16
+    lanes = lambda c, b: F.shiftright(c, b).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftright(c, b + 16).bitwiseAND(F.lit(1)), 32)
+    each = lambda w: F.array(*(lanes(w[h], b) for h in ("hi", "lo") for b in range(16)))
+    sums = F.aggregate("_w", zero, lambda acc, w: F.zip_with(acc, each(w), lambda x, y: x + y))
+    counted = tokens.select(key, F.size("_w").alias("_n"), sums.alias("_s"))
+    count = lambda h, b: F.shiftrightunsigned(F.get("_s", F.lit(h * 16 + b % 16)), 32 * (b // 16)).bitwiseAND(F.lit((1 << 32) - 1))
+    word = lambda h: reduce(lambda x, y: x + y, (F.when(2 * count(h, b) > F.col("_n"), F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(32)))
+    return counted.filter("_n > 0").select(key, word(0).alias("hi"), word(1).alias("lo"))
 
 
 def hamming():
@@ -30,14 +40,22 @@ def hamming():
 
 def near_pairs(hashes: DataFrame, most: int) -> DataFrame:
     """DUP-02 and DUP-03: pairs at most ``most`` bits apart that share one of four 16-bit bands. One row a distinct hash (min key) goes
-    in, so copies never multiply; a pair is kept in the first band it shares, which needs no distinct."""
-    one = hashes.groupBy("hi", "lo").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
+    in, so copies never multiply. What shares a band differs in at most ``most`` of the other 48 bits, so of ``most`` + 1 parts of these one is equal as well: pairs meet on
+    band and part together (24 bits for 5), and are kept in the first band and first part they share, which needs no distinct."""
+    one = hashes.groupBy("hi", "lo").agg(F.min("key").alias("key"))
     bands = F.array(F.shiftright("hi", 16), F.col("hi").bitwiseAND(F.lit(65535)), F.shiftright("lo", 16), F.col("lo").bitwiseAND(F.lit(65535)))
-    banded = one.withColumn("bands", bands).select("key", "hi", "lo", "bands", F.posexplode("bands").alias("band", "v"))
-    side = lambda p: banded.select(*(F.col(c).alias(f"{p}_{c}") for c in ("key", "hi", "lo", "bands")), "band", "v")
-    pairs = side("a").join(side("b"), ["band", "v"]).filter("a_key < b_key")
+    width = 48 // (most + 1)
+    spans = [(i * width, width if i < most else 48 - most * width) for i in range(most + 1)]
+    part = lambda c, at, bits: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << bits) - 1))
+    rest = F.aggregate(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: k != F.col("band")), F.lit(0).cast("bigint"), lambda acc, k: F.shiftleft(acc, 16) + F.get("bands", k))
+    banded = one.withColumn("bands", bands).select("key", "hi", "lo", "bands", F.posexplode("bands").alias("band", "v")).withColumn("rest", rest)
+    parted = banded.select("key", "hi", "lo", "bands", "band", "v", "rest", F.posexplode(F.array(*(part(F.col("rest"), at, bits) for at, bits in spans))).alias("part", "u"))
+    side = lambda p: parted.select(*(F.col(c).alias(f"{p}_{c}") for c in ("key", "hi", "lo", "bands", "rest")), "band", "v", "part", "u")
+    pairs = side("a").join(side("b"), ["band", "v", "part", "u"]).filter("a_key < b_key")
     first = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), True) - 1
-    return pairs.filter(first == F.col("band")).withColumn("distance", hamming()).filter(F.col("distance") <= most).select("a_key", "b_key", "distance")
+    gap = F.col("a_rest").bitwiseXOR(F.col("b_rest"))
+    first_part = F.coalesce(*(F.when(part(gap, at, bits) == 0, i) for i, (at, bits) in enumerate(spans)))
+    return pairs.filter((first == F.col("band")) & (first_part == F.col("part"))).withColumn("distance", hamming()).filter(F.col("distance") <= most).select("a_key", "b_key", "distance")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

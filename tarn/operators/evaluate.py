@@ -79,3 +79,11 @@ def against_baseline(summary: DataFrame, baseline: str, score: str = "macro_f1",
     """EVL-17: each model's score less the baseline's (NULL, not 0, where the baseline has none)."""
     base = summary.filter(F.col(name) == baseline).agg(F.max(score).alias("_b"))
     return summary.crossJoin(F.broadcast(base)).select(name, score, (F.col(score) - F.col("_b")).alias("delta"))
+
+
+def extremes(df: DataFrame, name: str, value: str) -> DataFrame:
+    """ORD-08: the rows with the greatest and the least value (ties: least name), as one row; NULLs don't count."""
+    some = df.filter(F.col(value).isNotNull())
+    top = some.agg(F.max(value).alias("_h"), F.min(value).alias("_l"))
+    both = some.join(F.broadcast(top), (F.col(value) == F.col("_h")) | (F.col(value) == F.col("_l")))
+    return both.agg(F.min(F.when(F.col(value) == F.col("_h"), F.col(name))).alias("best"), F.max("_h").alias("best_value"), F.min(F.when(F.col(value) == F.col("_l"), F.col(name))).alias("worst"), F.max("_l").alias("worst_value"))

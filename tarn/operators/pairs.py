@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.geometry import decimals
+
 SURE = 0.25
 
 
@@ -42,24 +44,32 @@ def _relative(p: str) -> dict[str, Column]:
 
 
 def correspondence(df: DataFrame, thorough: bool = False) -> DataFrame:
-    """QC-02 (three checks) and QC-03 (``thorough``: five): ``score``, ``verdict`` and the names of the checks that fired, in order."""
+    """QC-02 (three checks) and QC-03 (``thorough``: five, and ``flags``, the checks that fired with their numbers, joined by ``; ``, or CLEAN; STR-08). Adds ``score`` and ``verdict``."""
     a, b = _relative("a"), _relative("b")
     ratio = b["area"] / F.greatest(a["area"], F.lit(0.001))
     gap = F.abs(a["nose"] - b["nose"])
-    checks: list[list[tuple[Column, str, int]]] = [
-        [((ratio > 2.5) | (ratio < 0.4), "AREA_EXTREME", 2), ((ratio > 2.0) | (ratio < 0.5), "AREA_HIGH", 1)],
-        [(gap > 0.20, "NOSE_MISMATCH", 2), (gap > 0.10, "NOSE_DIVERGENT", 1)],
-        [((a["span"] > 0.30) & (b["span"] > 0.30), "BOTH_FRONTAL", 3)],
+
+    def says(text: str, *values: tuple[Column, int]) -> Column:
+        return F.format_string(text, *(decimals(c, n) for c, n in values)) if values else F.lit(text)
+
+    # of each group the first check that holds counts
+    checks: list[list[tuple[Column, Column, int]]] = [
+        [((ratio > 2.5) | (ratio < 0.4), says("AREA_RATIO_EXTREME(%s)", (ratio, 2)), 2), ((ratio > 2.0) | (ratio < 0.5), says("AREA_RATIO_HIGH(%s)", (ratio, 2)), 1)],
+        [(gap > 0.20, says("NOSE_POS_MISMATCH(d=%s)", (gap, 3)), 2), (gap > 0.10, says("NOSE_POS_DIVERGENT(d=%s)", (gap, 3)), 1)],
+        [((a["span"] > 0.30) & (b["span"] > 0.30), says("BOTH_FRONTAL_SPAN(c1=%s,c2=%s)", (a["span"], 3), (b["span"], 3)), 3)],
     ]
     if thorough:
         rise = b["rise"] / F.greatest(a["rise"], F.lit(1.0))
-        checks[2].append(((b["span"] > 0.25) & a["span"].isNotNull(), "LATERAL_WIDE", 1))
-        checks.append([((rise > 2.0) | (rise < 0.5), "TORSO_EXTREME", 2)])
-        checks.append([((a["centre"] <= 0.2) | (a["centre"] >= 0.8), "A_OFF_CENTRE", 1)])
-        checks.append([((b["centre"] <= 0.2) | (b["centre"] >= 0.9), "B_OFF_CENTRE", 1)])
+        checks[2].append(((b["span"] > 0.25) & a["span"].isNotNull(), says("LATERAL_WIDE_SPAN(c2=%s)", (b["span"], 3)), 1))
+        checks.append([((rise > 2.0) | (rise < 0.5), says("TORSO_V_EXTREME(ratio=%s)", (rise, 2)), 2)])
+        checks.append([((a["centre"] <= 0.2) | (a["centre"] >= 0.8), says("C1_OFF_CENTER"), 1)])
+        checks.append([((b["centre"] <= 0.2) | (b["centre"] >= 0.9), says("C2_OFF_CENTER"), 1)])
     both = F.col("a_has") & F.col("b_has")
     points = sum(F.coalesce(*(F.when(c, n) for c, _, n in group), F.lit(0)) for group in checks)
-    flags = F.array_compact(F.array(*(F.coalesce(*(F.when(c, F.lit(name)) for c, name, _ in group), F.lit(None).cast("string")) for group in checks)))
-    df = df.withColumns({"score": F.when(both, points).otherwise(0), "flags": F.when(both, F.array_join(flags, "; ")).otherwise("")})
+    df = df.withColumn("score", F.when(both, points).otherwise(0))
+    if thorough:
+        flags = F.array_compact(F.array(*(F.coalesce(*(F.when(c, text) for c, text, _ in group)) for group in checks)))
+        said = [F.initcap(F.col(f"{p}_has").cast("string")) for p in "ab"]
+        df = df.withColumn("flags", F.when(~both, F.format_string("C1_target=%s, C2_target=%s", *said)).when(F.size(flags) == 0, "CLEAN").otherwise(F.array_join(flags, "; ")))
     s = F.col("score")
     return df.withColumn("verdict", F.when(~both, "NO_TARGET").when(s == 0, "SAME_PERSON").when(s <= 2, "LIKELY_SAME").when(s <= 4, "SUSPICIOUS").otherwise("WRONG_PERSON"))

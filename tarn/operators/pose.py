@@ -116,14 +116,20 @@ def body_frame(df: DataFrame) -> DataFrame:
     return out.select("vec_id", "label", "nose_ok", reason.alias("reason"), *(F.when(reason.isNull(), F.col(f"{a}{j}") / F.col("far")).alias(f"{a}{j}") for j in (0, *CORE) for a in "xyz"))
 
 
+#: joints of the body frame, in order, and what is derived from them
+BODY_JOINTS = (0, *CORE)
+BODY = ("shoulder_roll", "hip_roll", "torso_inclination", "head_torso_angle", "head_depth", "head_lateral", "shoulder_depth")
+
+
 def body_features(df: DataFrame) -> DataFrame:
-    """FEA-08: features in the body frame, inclination against (0, 1, 0)."""
+    """FEA-08: 22 features in the body frame, inclination against (0, 1, 0): coordinates of the nose and the core joints, then BODY; what needs the nose is NULL without it."""
     df = body_frame(df)
-    p = {j: tuple(F.col(f"{a}{j}") for a in "xyz") for j in (0, *CORE)}
+    p = {j: tuple(F.col(f"{a}{j}") for a in "xyz") for j in BODY_JOINTS}
     m, nose = mid(p[5], p[6]), F.col("nose_ok")
     t, head = minus(m, mid(p[11], p[12])), minus(p[0], m)
-    values = {
-        "shoulder_roll": slope(p[6][0] - p[5][0], p[6][1] - p[5][1]), "torso_inclination": angle(t, (F.lit(0.0), F.lit(1.0), F.lit(0.0))), "head_torso_angle": F.when(nose, angle(head, t)),
-        "head_depth": F.when(nose, head[2]), "head_lateral": F.when(nose, head[0]), "shoulder_depth": p[6][2] - p[5][2],
-    }
-    return df.select("vec_id", "label", "reason", *(F.col(f"{a}{j}") for j in CORE for a in "xyz"), *(v.alias(n) for n, v in values.items()))
+    values = [
+        slope(p[6][0] - p[5][0], p[6][1] - p[5][1]), slope(p[12][0] - p[11][0], p[12][1] - p[11][1]), angle(t, (F.lit(0.0), F.lit(1.0), F.lit(0.0))),
+        F.when(nose, angle(head, t)), F.when(nose, head[2]), F.when(nose, head[0]), p[6][2] - p[5][2],
+    ]
+    joints = [F.when(nose if j == 0 else F.lit(True), F.col(f"{a}{j}")).alias(f"{a}{j}") for j in BODY_JOINTS for a in "xyz"]
+    return df.select("vec_id", "label", "reason", *joints, *(v.alias(n) for v, n in zip(values, BODY, strict=True)))

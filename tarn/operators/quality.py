@@ -24,13 +24,23 @@ def select_target(cands: DataFrame, width: int = 1920, height: int = 1080, least
     return best.select("image_id", "n", ok.alias("has_target"), F.when(ok, -F.col("b.i")).otherwise(-1).alias("cand"), F.col("b.score").alias("score"), (-F.col("c.i")).alias("by_conf"))
 
 
-def reject_code(df: DataFrame, least: float = 0.25) -> DataFrame:
-    """QC-07 for one pair of views: the first failing check."""
-    terms = []
-    for cam, p in (("CAM01", "a"), ("CAM02", "b")):
-        for j, name in ((5, "LEFT_SHOULDER"), (6, "RIGHT_SHOULDER"), (11, "LEFT_HIP"), (12, "RIGHT_HIP")):
-            terms.append(F.when(~F.coalesce(F.col(f"{p}_c{j}") >= least, F.lit(False)), F.lit(f"REJECT_{cam}_{name}")))
-    return df.withColumn("code", F.coalesce(*terms, F.lit("VALID")))
+def reject_gate(df: DataFrame, least: float = 0.25, desk: bool = False) -> DataFrame:
+    """QC-07: ``code`` of the first check that a live pair fails, or VALID_2D. Needs {a,b}_has and {a,b}_x, _y, _c of the core joints; with ``desk`` also {a,b}_extrapolated:
+    hips that were put there are exempt from the confidence check. Joint by joint, first camera before second; then torso lengths of 5 and 3 pixels.
+    A missing confidence fails, a missing coordinate counts as NaN."""
+    views = (("CAM01", "a", 5.0), ("CAM02", "b", 3.0))
+    terms = [F.when(~F.coalesce(F.col(f"{p}_has"), F.lit(False)), f"REJECT_NO_PERSON_{cam}") for cam, p, _ in views]
+    for j in (5, 6, 11, 12):
+        for cam, p, _ in views:
+            low = ~F.coalesce(F.col(f"{p}_c{j}") >= least, F.lit(False))
+            if desk and j in (11, 12):
+                low = low & ~F.coalesce(F.col(f"{p}_extrapolated"), F.lit(False))
+            gone = F.isnan(F.coalesce(F.col(f"{p}_x{j}"), F.lit(float("nan")))) | F.isnan(F.coalesce(F.col(f"{p}_y{j}"), F.lit(float("nan"))))
+            terms += [F.when(low, f"REJECT_{cam}_LOW_CONF_JOINT_{j}"), F.when(gone, f"REJECT_{cam}_NAN_JOINT_{j}")]
+    for cam, p, shortest in views:
+        d = [(F.col(f"{p}_{a}5") + F.col(f"{p}_{a}6") - F.col(f"{p}_{a}11") - F.col(f"{p}_{a}12")) / 2 for a in "xy"]
+        terms.append(F.when(F.sqrt(d[0] * d[0] + d[1] * d[1]) < shortest, f"REJECT_{cam}_DEGENERATE_TORSO_SCALE"))
+    return df.withColumn("code", F.coalesce(*terms, F.lit("VALID_2D")))
 
 
 def curation_flags(df: DataFrame) -> DataFrame:
@@ -41,14 +51,19 @@ def curation_flags(df: DataFrame) -> DataFrame:
     return df.withColumn("decision", decision)
 
 
-def detection_status(cands: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
+def detection_status(cands: DataFrame, images: DataFrame | None = None, width: int = 1920, height: int = 1080) -> DataFrame:
     """QC-10, ORD-06: status of each image from the number of its candidates and whether the surest one is also first by the prior
-    2 * area - distance from the centre + torso joints / 2. Candidates are combined before the shuffle."""
+    2 * area - distance from the centre + torso joints / 2. Candidates are combined before the shuffle. With ``images`` (image_id), those without any have ``no_target_detected``."""
     dx, dy = F.col("cx") / (width / 2) - 1, F.col("cy") / (height / 2) - 1
     prior = F.round(2 * F.col("w") * F.col("h") / (width * height) - F.sqrt(dx * dx + dy * dy) + 0.5 * F.col("torso_joints"), 9)
     best = cands.groupBy("image_id").agg(F.count("*").alias("n"), F.max_by(F.struct("cand", "mean_kpt", "torso_joints"), F.struct("conf", -F.col("cand"))).alias("c"), F.max_by("cand", F.struct(prior, -F.col("cand"))).alias("likely"))
+    if images is not None:
+        best = images.select("image_id").join(best, "image_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     low = (F.col("c.mean_kpt") < 0.30) | (F.col("c.torso_joints") < 2)
-    status = F.when((F.col("n") == 1) & low, "single_low_keypoints").when(F.col("n") == 1, "single_ok").when(F.col("c.cand") == F.col("likely"), "multi_aligned").otherwise("wrong_person_risk")
+    status = (
+        F.when(F.col("n") == 0, "no_target_detected").when((F.col("n") == 1) & low, "low_keypoint_confidence").when(F.col("n") == 1, "correct_target")
+        .when(F.col("c.cand") == F.col("likely"), "multiple_candidates").otherwise("wrong_person_risk")
+    )
     return best.select("image_id", "n", status.alias("status"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.session import cut
+
 
 def null_rates(df: DataFrame, *cols: str) -> DataFrame:
     """AGG-10: percent of NULL (or NaN) in each column, all in one aggregate, as rows."""
@@ -21,6 +25,11 @@ def describe_columns(df: DataFrame, by: str, *cols: str) -> DataFrame:
     return one.select(by, F.explode(rows).alias("r")).select(by, "r.*")
 
 
+def first_row(df: DataFrame, by: list[str], order: list[str], keep: list[str]) -> DataFrame:
+    """FLT-10: the columns ``keep`` of the first row of each key in the order of ``order``, combined before the shuffle."""
+    return df.groupBy(*by).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("_r")).select(*by, *(F.col(f"_r.{c}").alias(c) for c in keep))
+
+
 def first_match(*rules: tuple[Column, str], otherwise: str) -> Column:
     """An ordered cascade of conditions."""
     return F.coalesce(*(F.when(c, F.lit(v)) for c, v in rules), F.lit(otherwise))
@@ -38,9 +47,52 @@ def groups_in_order(sizes: DataFrame, key: str, n: str, total: int, seed: str =
     return a.select(key, n, F.when(F.col("in_train"), "train").when(F.col("rest") < int(total * valid), "valid").otherwise("test").alias("split"))
 
 
+def exact_median(df: DataFrame, col: str, *by: str, enough: int = 100_000, grid: int = 128) -> DataFrame:
+    """AGG-14: (by, median) of the values that are neither NULL nor NaN, exact (the mean of the middle two), without a group's values in one task's memory.
+
+    Each round keeps a sketch of quantiles a group, which brackets the middle, and counts what lies below the bracket; when at most ``enough`` values (or only equal ones) are in it, they are
+    sorted. One scan a round, and rounds grow with the logarithm of the rows."""
+    names = [f"_b{i}" for i in range(len(by))] or ["_b0"]
+    same = lambda p: reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"{p}{n}")) for n in names))
+    keys = [F.col(c) for c in by] or [F.lit(0)]
+    x = df.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    points = [i / grid for i in range(grid + 1)]
+    state = None
+    while True:
+        if state is None:
+            y = x.withColumns({"_n": F.lit(None).cast("bigint"), "_below": F.lit(0).cast("bigint"), "_lo": F.lit(float("-inf")), "_hi": F.lit(float("inf"))})
+        else:
+            open_ = state.filter("not _done").select(*(F.col(n).alias(f"o{n}") for n in names), "_n", "_lo", "_hi")
+            # ranks are counted anew from the rows, so a sketch that is off costs a round, never the result
+            y = x.join(open_, same("o")).drop(*(f"o{n}" for n in names)).withColumn("_below", F.lit(None).cast("bigint"))
+        inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
+        stat = y.groupBy(*names, "_lo", "_hi").agg(
+            F.count("*").alias("_n"), F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_m"), F.min(F.when(inside, F.col("_x"))).alias("_min"), F.max(F.when(inside, F.col("_x"))).alias("_max"),
+            F.percentile_approx(F.when(inside, F.col("_x")), points, 10_000).alias("_q"),
+        )
+        low, high = F.floor((F.col("_n") - 1) / 2) - F.col("_below"), F.floor(F.col("_n") / 2) - F.col("_below")
+        cell = lambda rank: rank / F.col("_m") * grid
+        hit = (low >= 0) & (high < F.col("_m"))
+        lo = F.get("_q", F.greatest(F.lit(0), F.floor(cell(low) - 1)).cast("int"))
+        hi = F.get("_q", F.least(F.lit(grid), F.ceil(cell(high + 1) + 1)).cast("int"))
+        # a bracket that missed the middle opens to the side where it is
+        stat = stat.withColumns({"_lo": F.when(hit, lo).when(low < 0, float("-inf")).otherwise(F.col("_lo")), "_hi": F.when(hit, hi).when(high >= F.col("_m"), float("inf")).otherwise(F.col("_hi")), "_done": hit & ((F.col("_m") <= enough) | (F.col("_min") == F.col("_max")))})
+        brackets = {"_from": F.col("_min"), "_to": F.col("_max"), "_low": low, "_high": high}
+        new = cut(stat.select(*names, "_n", "_lo", "_hi", "_done", *(v.alias(k) for k, v in brackets.items())))
+        state = new if state is None else cut(state.filter("_done").unionByName(new))
+        if state.filter("not _done").isEmpty():
+            break
+    last = state.select(*(F.col(n).alias(f"o{n}") for n in names), "_from", "_to", "_low", "_high")
+    equal = F.col("_from") == F.col("_to")
+    few = x.join(last.filter(~equal), same("o")).filter(F.col("_x").between(F.col("_from"), F.col("_to"))).groupBy(*names).agg(F.sort_array(F.collect_list("_x")).alias("_v"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
+    found = few.select(*names, ((F.get("_v", F.col("_low").cast("int")) + F.get("_v", F.col("_high").cast("int"))) / 2).alias("median"))
+    found = found.unionByName(last.filter(equal).select(*(F.col(f"o{n}").alias(n) for n in names), F.col("_from").alias("median")))
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, by, strict=False)), "median")
+
+
 def fit_scale(df: DataFrame, *cols: str) -> DataFrame:
-    """ML-01, 02: exact medians fill NULLs, then population mean and deviation scale; both are one-row aggregates joined back."""
-    med = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in cols))
-    full = df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(F.col(c), F.col(f"m_{c}")) for c in cols}).drop(*(f"m_{c}" for c in cols))
-    stats = full.agg(*(F.avg(c).alias(f"a_{c}") for c in cols), *(F.stddev_pop(c).alias(f"s_{c}") for c in cols))
-    return full.crossJoin(F.broadcast(stats)).withColumns({c: (F.col(c) - F.col(f"a_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in cols}).drop(*(f"{p}_{c}" for p in "as" for c in cols))
+    """ML-01, 02: exact medians fill NULLs, then population mean and deviation scale. Medians, means and deviations are single numbers and go into the plan."""
+    med = {c: (exact_median(df, c).first() or [None])[0] for c in cols}
+    full = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double")) for c in cols})
+    stats = full.agg(*(F.avg(c).alias(f"a_{c}") for c in cols), *(F.stddev_pop(c).alias(f"s_{c}") for c in cols)).first()
+    return full.withColumns({c: (F.col(c) - F.lit(stats[f"a_{c}"]).cast("double")) / F.lit(stats[f"s_{c}"] or 1.0) for c in cols})

@@ -1,8 +1,8 @@
 """Two calibrated views to three dimensions, and the quality rules on the result.
 
 Rows hold arrays: ``p1``, ``p2`` (joints of [x, y] pixels at capture size) and ``c1``, ``c2`` (confidences). The optics (undistortion by fixed-point
-iteration, batched 4x4 decompositions) run on Arrow batches; a batch is vectorised over rows and joints, and the rig is a small constant of the plan
-(a few matrices), so nothing is shuffled. Everything after it is Column expressions.
+iteration, batched 4x4 decompositions) run on Arrow batches; a batch is vectorised over rows and joints, from the arrays that come in to the structs that go out, and the rigs
+are small constants of the plan (a few matrices each), so nothing is shuffled. Everything after it is Column expressions.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.geometry import decimals
+
 JOINTS = 17
 CORE = (5, 6, 11, 12)
 
@@ -103,30 +105,53 @@ def triangulate(u1: np.ndarray, u2: np.ndarray, P1: np.ndarray, P2: np.ndarray,
         return np.where(ok[..., None], X[..., :3] / w, np.nan)
 
 
-_OUT = "array<struct<j int, ok boolean, x double, y double, z double, rx double, ry double, rz double, e1 double, e2 double>>"
+_FIELDS = ("x", "y", "z", "rx", "ry", "rz", "e1", "e2")
+_OUT = "array<struct<j int, ok boolean, " + ", ".join(f"{f} double" for f in _FIELDS) + ">>"
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of ``width`` numbers; a row of another length is NaN throughout."""
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    out = np.full((len(column), width), np.nan)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    fits = sizes == width
+    out[fits] = flat[np.repeat(fits, sizes)].reshape(-1, width)
+    return out
+
+
+def _lifted(a: np.ndarray, b: np.ndarray, sure: np.ndarray, rig: Rig, guard: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(joints that both views are sure of and that have a place, the values of _FIELDS)."""
+    a, b = a * rig.scale, b * rig.scale
+    with np.errstate(all="ignore"):
+        rect = triangulate(rectify(a, rig.K1, rig.D1, rig.R1, rig.P1), rectify(b, rig.K2, rig.D2, rig.R2, rig.P2), rig.P1, rig.P2, guard)
+        X = rect @ rig.R1
+        e1 = np.linalg.norm(project(X, rig.K1, rig.D1) - a, axis=-1)
+        e2 = np.linalg.norm(project(X @ rig.R.T + rig.T, rig.K2, rig.D2) - b, axis=-1)
+        return (sure >= 0.25) & np.isfinite(rect).all(-1), np.concatenate([X, rect, e1[..., None], e2[..., None]], -1)
 
 
-def lift(pairs: DataFrame, rig: Rig, guard: bool = False) -> DataFrame:
-    """Adds ``joints``: for each joint whether both views are sure (0.25), its place in the first camera's frame and the rectified one, and reprojection errors at calibration size."""
+def lift(pairs: DataFrame, rigs: Rig | dict[str, Rig], guard: bool = False) -> DataFrame:
+    """Adds ``joints``: for each joint whether both views are sure (0.25), its place in the first camera's frame and the rectified one, and reprojection errors at calibration size.
+    With a dict, each row's rig is that of its ``calibration_id`` (QC-04, SRC-12); a row without a rig, or without 17 joints, has no joint that is ok."""
 
-    @F.pandas_udf(_OUT)
-    def each(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for p1, p2, c1, c2 in batches:
+    @F.arrow_udf(_OUT)
+    def each(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for p1, p2, c1, c2, name in batches:
             n = len(p1)
-            a, b = (np.array([np.stack(v) for v in p], float).reshape(n, JOINTS, 2) * rig.scale for p in (p1, p2))
-            s = np.minimum(np.array(c1.tolist(), float), np.array(c2.tolist(), float)).reshape(n, JOINTS)
-            rect = triangulate(rectify(a, rig.K1, rig.D1, rig.R1, rig.P1), rectify(b, rig.K2, rig.D2, rig.R2, rig.P2), rig.P1, rig.P2, guard)
-            X = rect @ rig.R1
-            with np.errstate(divide="ignore", invalid="ignore"):
-                e1 = np.linalg.norm(project(X, rig.K1, rig.D1) - a, axis=-1)
-                e2 = np.linalg.norm(project(X @ rig.R.T + rig.T, rig.K2, rig.D2) - b, axis=-1)
-            fine = (s >= 0.25) & np.isfinite(rect).all(-1)
-            yield pd.Series([
-                [{"j": j, "ok": bool(fine[i, j]), **dict(zip(("x", "y", "z", "rx", "ry", "rz", "e1", "e2"), (*X[i, j].tolist(), *rect[i, j].tolist(), float(e1[i, j]), float(e2[i, j])), strict=True))} for j in range(JOINTS)]
-                for i in range(n)
-            ])
-
-    return pairs.withColumn("joints", each("p1", "p2", "c1", "c2"))
+            a, b = (_matrix(p, 2 * JOINTS).reshape(n, JOINTS, 2) for p in (p1, p2))
+            sure = np.minimum(_matrix(c1, JOINTS), _matrix(c2, JOINTS))
+            fine, values = np.zeros((n, JOINTS), bool), np.full((n, JOINTS, len(_FIELDS)), np.nan)
+            names = name.to_pylist()
+            for key in {*names} if isinstance(rigs, dict) else {None}:
+                rig = rigs.get(key) if isinstance(rigs, dict) else rigs
+                at = np.flatnonzero([x == key for x in names]) if isinstance(rigs, dict) else np.arange(n)
+                if rig is not None:
+                    fine[at], values[at] = _lifted(a[at], b[at], sure[at], rig, guard)
+            flat = [pa.array(np.tile(np.arange(JOINTS, dtype=np.int32), n)), pa.array(fine.ravel()), *(pa.array(np.ascontiguousarray(values[..., k]).ravel()) for k in range(len(_FIELDS)))]
+            yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * JOINTS), pa.StructArray.from_arrays(flat, ["j", "ok", *_FIELDS]))
+
+    name = F.col("calibration_id") if isinstance(rigs, dict) else F.lit(None).cast("string")
+    return pairs.withColumn("joints", each(F.flatten("p1"), F.flatten("p2"), "c1", "c2", name))
 
 
 def _gap(a: tuple, b: tuple) -> Column:
@@ -140,13 +165,18 @@ def _lengths(p: dict[int, Column], keys: tuple[str, str, str]) -> tuple[Column,
     return _gap(at(5), at(6)), _gap(middle(5, 6), middle(11, 12))
 
 
-def final_quality(pairs: DataFrame, rig: Rig, keep: float = 65.0, degenerate: tuple[str, ...] = ("CAL_006", "CAL_010")) -> DataFrame:
-    """QC-04. Needs ``capture_id``, ``calibration_id``, ``verdict`` (of ``pairs.correspondence``), p1, p2, c1, c2. Early exits in order: no target, wrong person, degenerate rig."""
-    df = lift(pairs, rig)
+#: rigs whose cameras stand so far apart or so near that depth can't be trusted
+DEGENERATE = ("CAL_006", "CAL_010")
+
+
+def final_quality(pairs: DataFrame, rigs: Rig | dict[str, Rig], keep: float = 65.0, degenerate: tuple[str, ...] = DEGENERATE) -> DataFrame:
+    """QC-04: ``decision``, ``status`` (PASS, REVIEW, FAIL), ``reason`` and the measures behind them (NULL after an early exit). Needs ``capture_id``, ``calibration_id``, ``posture``, ``verdict`` and
+    ``score`` (of ``pairs.correspondence``), p1, p2, c1, c2. Early exits in order: no target, wrong person, degenerate rig. Joints with an error over ``keep`` are masked."""
+    df = lift(pairs, rigs)
     seen = F.filter("joints", lambda s: s["ok"] & (s["rz"] >= 0.3))
     err = lambda s: (s["e1"] + s["e2"]) / 2
     df = df.withColumn("seen", F.transform(seen, lambda s: F.struct(s["j"].alias("j"), s["rx"].alias("x"), s["ry"].alias("y"), s["rz"].alias("z"), err(s).alias("e"))))
-    df = df.withColumns({"kept": F.filter("seen", lambda s: s["e"] <= keep), "worst": F.array_max(F.transform(F.filter("seen", lambda s: s["e"] > keep), lambda s: s["e"]))})
+    df = df.withColumns({"kept": F.filter("seen", lambda s: s["e"] <= keep), "worst": F.coalesce(F.array_max(F.transform(F.filter("seen", lambda s: s["e"] > keep), lambda s: s["e"])), F.lit(0.0))})
     joint = {j: F.get(F.filter("kept", lambda s, j=j: s["j"] == j), F.lit(0)) for j in CORE}
     shoulder, torso = _lengths(joint, ("x", "y", "z"))
     mean = lambda arr: F.try_divide(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), F.size(arr))
@@ -155,14 +185,28 @@ def final_quality(pairs: DataFrame, rig: Rig, keep: float = 65.0, degenerate: tu
     deep = F.coalesce(F.col("depth").between(0.50, 3.80), F.lit(False))
     span = lambda c, lo, hi: F.col(c).isNull() | F.col(c).between(lo, hi)
     full = (F.col("core") >= 8) & deep & span("shoulder", 0.15, 0.65) & span("torso", 0.22, 0.85) & (F.col("core_err") <= 45.0)
-    decision = (
-        F.when(F.col("verdict") == "NO_TARGET", "NO_TARGET").when(F.col("verdict") == "WRONG_PERSON", "EXCLUDE_3D_WRONG_PERSON").when(F.col("calibration_id").isin(*degenerate), "EXCLUDE_3D_DEGENERATE_RIG")
-        .when(full, "INCLUDE_3D_FULL").when((F.col("core") >= 4) & deep, "INCLUDE_3D_WITH_MASKING").when(F.col("verdict") == "SUSPICIOUS", "EXCLUDE_3D_SUSPICIOUS_CORRESPONDENCE").otherwise("EXCLUDE_3D")
-    )
-    return df.select("capture_id", "verdict", decision.alias("decision"), "core", "total", "core_err", F.col("worst").alias("masked_err"), "shoulder", "torso", "depth")
-
-
-def live_pose(pairs: DataFrame, rig: Rig) -> DataFrame:
+    baselines = {k: f"{np.linalg.norm(r.T):.1f}" for k, r in rigs.items()} if isinstance(rigs, dict) else {k: f"{np.linalg.norm(rigs.T):.1f}" for k in degenerate}
+    apart = F.coalesce(*(F.when(F.col("calibration_id") == k, v) for k, v in sorted(baselines.items()) if k in degenerate), F.lit("?"))
+    empty = F.col("posture") == "reject"
+    says = lambda text, *values: F.format_string(text, *values)
+    rules = [
+        (F.col("verdict") == "NO_TARGET", "EXCLUDE_3D", F.when(empty, "PASS").otherwise("FAIL"), F.when(empty, "Clean negative sample (empty chair)").otherwise("Target lost")),
+        (F.col("verdict") == "WRONG_PERSON", "EXCLUDE_3D_WRONG_PERSON", F.lit("FAIL"), says("Strong evidence of cross-camera person mismatch (score=%d)", "score")),
+        (F.col("calibration_id").isin(*degenerate), "EXCLUDE_3D_DEGENERATE_RIG", F.lit("FAIL"), says("Rig %s excluded (Baseline=%sm)", "calibration_id", apart)),
+        (full, "INCLUDE_3D_FULL", F.lit("PASS"), says("Full 3D: %d/17 core joints, core_err=%spx, Z=%sm", "core", decimals(F.col("core_err"), 1), decimals(F.col("depth"), 2))),
+        ((F.col("core") >= 4) & deep, "INCLUDE_3D_WITH_MASKING", F.lit("REVIEW"), says("Partial 3D: %d/17 core joints - usable with NaN masking", "core")),
+        (F.col("verdict") == "SUSPICIOUS", "EXCLUDE_3D_SUSPICIOUS_CORRESPONDENCE", F.lit("FAIL"), says("Suspicious correspondence (score=%d) + insufficient core joints (%d)", "score", "core")),
+        (F.lit(True), "EXCLUDE_3D", F.lit("FAIL"), says("Insufficient core joints (%d/17) or depth anomaly (Z=%sm)", "core", decimals(F.coalesce("depth", F.lit(0.0)), 2))),
+    ]
+    rule = F.coalesce(*(F.when(c, i) for i, (c, *_) in enumerate(rules)))
+    df = df.withColumn("rule", rule)
+    pick = lambda k: F.coalesce(*(F.when(F.col("rule") == i, r[k] if k > 1 else F.lit(r[k])) for i, r in enumerate(rules)))
+    late = lambda c: F.when(F.col("rule") > 2, F.col(c))
+    measures = {"core": "core", "total": "total", "core_err": "core_err", "masked_err": "worst", "shoulder": "shoulder", "torso": "torso", "depth": "depth"}
+    return df.select("capture_id", "calibration_id", "verdict", pick(1).alias("decision"), pick(2).alias("status"), pick(3).alias("reason"), *(late(c).alias(n) for n, c in measures.items()))
+
+
+def live_pose(pairs: DataFrame, rig: Rig | dict[str, Rig]) -> DataFrame:
     """QC-08: joints x{j}, y{j}, z{j} in the first camera's frame (NULL where unsure or not deeper than 0.2), ``core_err`` and ``code``,
     the first failing check of one live pair or VALID_3D. Only the first camera's reprojection counts."""
     df = lift(pairs, rig, guard=True)
@@ -175,7 +219,7 @@ def live_pose(pairs: DataFrame, rig: Rig) -> DataFrame:
     return df.select("capture_id", code.alias("code"), F.nanvl(err, F.lit(None).cast("double")).alias("core_err"), *(F.when(there[j], joint[j][a]).alias(f"{a}{j}") for j in range(JOINTS) for a in "xyz"))
 
 
-def live_gate(pairs: DataFrame, rig: Rig) -> DataFrame:
+def live_gate(pairs: DataFrame, rig: Rig | dict[str, Rig]) -> DataFrame:
     """The code and error of ``live_pose``."""
     return live_pose(pairs, rig).select("capture_id", "code", "core_err")
 
@@ -205,9 +249,11 @@ def synthetic_pairs(pose: DataFrame, rig: Rig | None = None) -> DataFrame:
     turn = lambda p: [sum((float(rig.R[i, k]) * p[k] for k in range(3)), F.lit(float(rig.T[i]))) for i in range(3)]
     off = lambda j: F.when((F.col("vec_id") + j) % 11 == 0, 400.0).otherwise(0.0)
     sure = F.array(*(F.when(F.col(f"x{j}").isNull(), 0.1).otherwise(0.9) for j in range(JOINTS)))
-    verdict = F.element_at(F.array(*map(F.lit, ("SAME_PERSON", "LIKELY_SAME", "SUSPICIOUS", "WRONG_PERSON", "NO_TARGET"))), F.when(F.col("vec_id") % 7 < 5, 1).otherwise((F.col("vec_id") % 5 + 1).cast("int")))
+    rank = F.when(F.col("vec_id") % 7 < 5, 1).otherwise((F.col("vec_id") % 5 + 1).cast("int"))
+    verdict = F.element_at(F.array(*map(F.lit, ("SAME_PERSON", "LIKELY_SAME", "SUSPICIOUS", "WRONG_PERSON", "NO_TARGET"))), rank)
+    points = F.element_at(F.array(*map(F.lit, (0, 2, 4, 5, 0))), rank)
     return pose.select(
-        F.col("vec_id").alias("capture_id"), F.format_string("CAL_%03d", (F.col("label") + 1).cast("int")).alias("calibration_id"), verdict.alias("verdict"), sure.alias("c1"), sure.alias("c2"),
+        F.col("vec_id").alias("capture_id"), F.format_string("CAL_%03d", (F.col("label") + 1).cast("int")).alias("calibration_id"), verdict.alias("verdict"), points.alias("score"), F.when(F.col("label") == 9, "reject").otherwise("upright").alias("posture"), sure.alias("c1"), sure.alias("c2"),
         F.array(*(pixel(X[j], rig.K1, rig.D1, F.lit(0.0)) for j in range(JOINTS))).alias("p1"), F.array(*(pixel(turn(X[j]), rig.K2, rig.D2, off(j)) for j in range(JOINTS))).alias("p2"),
     )
 

@@ -201,9 +201,15 @@ def shared_subjects(spark, d):
 # --- splits ---------------------------------------------------------------------------------------------------------
 
 
-@query()
+_PICK = "CASE WHEN greatest(0, r0) >= greatest(0, r1) AND greatest(0, r0) >= greatest(0, r2) THEN 0 WHEN greatest(0, r1) >= greatest(0, r2) THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_nationkey AS grp, count(*) AS n FROM customer GROUP BY 1), g AS (SELECT grp, n, row_number() OVER (ORDER BY n DESC, md5('split:' || grp), grp) AS nth FROM c), t AS (SELECT sum(n)::BIGINT AS n FROM c),
+s AS (SELECT 0::BIGINT AS nth, floor(n * 0.70::DOUBLE)::BIGINT AS r0, floor(n * 0.15::DOUBLE)::BIGINT AS r1, (n - floor(n * 0.70::DOUBLE) - floor(n * 0.15::DOUBLE))::BIGINT AS r2, -1 AS pick FROM t
+UNION ALL SELECT g.nth, r0 - CASE WHEN p = 0 THEN g.n ELSE 0 END, r1 - CASE WHEN p = 1 THEN g.n ELSE 0 END, r2 - CASE WHEN p = 2 THEN g.n ELSE 0 END, p FROM (SELECT *, {_PICK} AS p FROM s) s JOIN g ON g.nth = s.nth + 1)
+SELECT grp, n, CASE pick WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split FROM s JOIN g USING (nth)""")
 def group_split_greedy(spark, d):
-    """SPL-02: tested against a plain loop."""
+    """SPL-02."""
     c = T.read(spark, d, "customer")
     return folds.greedy_split(c.groupBy(F.col("c_nationkey").alias("grp")).agg(F.count("*").alias("n")), "grp", "n", c.count())
 

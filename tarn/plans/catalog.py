@@ -86,11 +86,16 @@ u AS (SELECT *, tx/sqrt(tx*tx+ty*ty+tz*tz) AS a0, ty/sqrt(tx*tx+ty*ty+tz*tz) AS
 v AS (SELECT *, w0-(w0*a0+w1*a1+w2*a2)*a0 AS u0, w1-(w0*a0+w1*a1+w2*a2)*a1 AS u1, w2-(w0*a0+w1*a1+w2*a2)*a2 AS u2 FROM u),
 x AS (SELECT *, u0/sqrt(u0*u0+u1*u1+u2*u2) AS b0, u1/sqrt(u0*u0+u1*u1+u2*u2) AS b1, u2/sqrt(u0*u0+u1*u1+u2*u2) AS b2 FROM v),
 z AS (SELECT vec_id, nose_ok, {', '.join(f'b0*x{j}+b1*y{j}+b2*z{j} AS x{j}, a0*x{j}+a1*y{j}+a2*z{j} AS y{j}, (b1*a2-b2*a1)*x{j}+(b2*a0-b0*a2)*y{j}+(b0*a1-b1*a0)*z{j} AS z{j}' for j in _J3)} FROM x),
-s AS (SELECT *, greatest({', '.join(f'sqrt(x{j}*x{j}+y{j}*y{j}+z{j}*z{j})' for j in _J3)}) AS far FROM z)
-SELECT vec_id, round(x12/far, 5) AS hip_x, round((y5+y6)/2/far, 5) AS torso_y, round((z6-z5)/far, 5) AS shoulder_depth, round(z12/far, 5) + 0.0 AS hip_z, round((z0-(z5+z6)/2)/far, 5) AS head_depth FROM s""")
+s AS (SELECT *, greatest({', '.join(f'sqrt(x{j}*x{j}+y{j}*y{j}+z{j}*z{j})' for j in _J3)}) AS far FROM z),
+n AS (SELECT vec_id, nose_ok, {', '.join(f'{a}{j}/far AS {a}{j}' for j in _J3 for a in 'xyz')} FROM s),
+m AS (SELECT *, (x5+x6)/2-(x11+x12)/2 AS tx, (y5+y6)/2-(y11+y12)/2 AS ty, (z5+z6)/2-(z11+z12)/2 AS tz, x0-(x5+x6)/2 AS dx, y0-(y5+y6)/2 AS dy, z0-(z5+z6)/2 AS dz FROM n)
+SELECT vec_id, {', '.join(f'round({a}{j}, 5) + 0.0 AS {a}{j}' for j in _J3 for a in 'xyz')}, round(degrees(atan2(y6-y5, x6-x5)), 5) + 0.0 AS shoulder_roll, round(degrees(atan2(y12-y11, x12-x11)), 5) + 0.0 AS hip_roll,
+round({_ANG(('tx', 'ty', 'tz'), ('0.0', '1.0', '0.0'))}, 4) + 0.0 AS torso_inclination, round({_ANG(('dx', 'dy', 'dz'), ('tx', 'ty', 'tz'))}, 5) AS head_torso_angle, round(dz, 5) AS head_depth, round(dx, 5) AS head_lateral, round(z6-z5, 5) + 0.0 AS shoulder_depth FROM m""")
 def pose3d_canonical(spark, d):
+    """FEA-06, FEA-08: all 22 values; zero has no sign here."""
     f = pose.body_features(T.pose3d(spark, d))
-    return f.select("vec_id", F.round("x12", 5).alias("hip_x"), F.round((F.col("y5") + F.col("y6")) / 2, 5).alias("torso_y"), F.round("shoulder_depth", 5).alias("shoulder_depth"), (F.round("z12", 5) + 0.0).alias("hip_z"), F.round("head_depth", 5).alias("head_depth"))
+    digits = {"torso_inclination": 4}
+    return f.select("vec_id", *((F.round(c, digits.get(c, 5)) + 0.0).alias(c) for c in f.columns if c not in ("vec_id", "label", "reason")))
 
 
 @query("""SELECT label, j, count(*) FILTER (WHERE c < 0.2) AS unseen, count(*) FILTER (WHERE c >= 0.2 AND c < 0.4) AS hidden, count(*) FILTER (WHERE c >= 0.4) AS visible, round(avg(CASE WHEN c >= 0.4 THEN 1.0 ELSE 0.0 END), 6) AS rate
@@ -102,16 +107,6 @@ def keypoint_visibility(spark, d):
     return e.groupBy("label", F.col("j").cast("bigint").alias("j")).agg(F.count_if(c < 0.2).alias("unseen"), F.count_if((c >= 0.2) & (c < 0.4)).alias("hidden"), F.count_if(c >= 0.4).alias("visible"), F.round(F.avg((c >= 0.4).cast("double")), 6).alias("rate"))
 
 
-@query("""WITH c AS (SELECT vec_id // 2 AS capture_id, max(CASE WHEN vec_id % 2 = 0 THEN embedding END) AS a, max(CASE WHEN vec_id % 2 = 1 THEN embedding END) AS b FROM embeddings GROUP BY 1),
-t AS (SELECT capture_id, CASE """ + " ".join(f"WHEN NOT coalesce({p}[{3 * j + 3}]::DOUBLE + 0.5 >= 0.25, false) THEN 'REJECT_{cam}_{name}'" for cam, p in (("CAM01", "a"), ("CAM02", "b")) for j, name in ((5, "LEFT_SHOULDER"), (6, "RIGHT_SHOULDER"), (11, "LEFT_HIP"), (12, "RIGHT_HIP"))) + " ELSE 'VALID' END AS code FROM c) SELECT code, count(*) AS n FROM t GROUP BY code")
-def reject_gate_codes(spark, d):
-    """QC-07."""
-    v = T.pose2d(spark, d, (5, 6, 11, 12))
-    pick = lambda p, even: [F.max(F.when((F.col("vec_id") % 2 == 0) == even, F.col(f"c{j}"))).alias(f"{p}_c{j}") for j in (5, 6, 11, 12)]
-    pairs = v.groupBy(F.floor(F.col("vec_id") / 2).alias("capture_id")).agg(*pick("a", True), *pick("b", False))
-    return quality.reject_code(pairs).groupBy("code").agg(F.count("*").alias("n"))
-
-
 # --- detections -----------------------------------------------------------------------------------------------------
 
 _SQL_CAND = """WITH c AS (SELECT l_orderkey AS image_id, l_linenumber AS cand, least(1900.0, 40 * l_quantity) AS w, 0.5 * least(1900.0, 40 * l_quantity) AS h, 1920 * (0.25 + 5 * l_discount) AS cx, 540 + 1000 * (l_tax - 0.04) AS cy, 1 - 5 * l_tax AS conf, l_linenumber % 5 AS torso, 0.2::DOUBLE + 0.7::DOUBLE * (l_suppkey % 10) / 10 AS kpt FROM lineitem)"""
@@ -127,11 +122,12 @@ def target_person(spark, d):
 
 
 @query(_SQL_CAND + """, b AS (SELECT image_id, count(*) AS n, arg_max({'cand': cand, 'kpt': kpt, 'torso': torso}, [conf, -cand]) AS c, arg_max(cand, [round(2 * w * h / 2073600.0::DOUBLE - sqrt(power(cx / 960 - 1, 2) + power(cy / 540 - 1, 2)) + 0.5::DOUBLE * torso, 9), -cand]) AS likely FROM c GROUP BY image_id),
-t AS (SELECT CASE WHEN n = 1 AND (c.kpt < 0.30 OR c.torso < 2) THEN 'single_low_keypoints' WHEN n = 1 THEN 'single_ok' WHEN c.cand = likely THEN 'multi_aligned' ELSE 'wrong_person_risk' END AS status FROM b)
+t AS (SELECT CASE WHEN n IS NULL THEN 'no_target_detected' WHEN n = 1 AND (c.kpt < 0.30 OR c.torso < 2) THEN 'low_keypoint_confidence' WHEN n = 1 THEN 'correct_target' WHEN c.cand = likely THEN 'multiple_candidates' ELSE 'wrong_person_risk' END AS status FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN b ON image_id = o_orderkey)
 SELECT status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM t GROUP BY status""")
 def detection_status(spark, d):
     """QC-10, AGG-04."""
-    n = quality.detection_status(T.detections(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+    images = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("image_id")).distinct()
+    n = quality.detection_status(T.detections(spark, d), images).groupBy("status").agg(F.count("*").alias("n"))
     return n.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
 
 
@@ -202,8 +198,8 @@ def column_statistics(spark, d):
 
 @query("SELECT source, lang, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY source, lang")
 def class_distribution_split(spark, d):
-    """AGG-05, AGG-15."""
-    return T.read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("text")).alias("texts"))
+    """AGG-05, AGG-15: texts are counted by 256 bits, NULL is no text."""
+    return T.read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_distinct(F.sha2(F.col("text").cast("binary"), 256)).alias("texts"))
 
 
 @query("SELECT source, max(n) AS most, min(n) AS least, round(max(n)::DOUBLE / min(n), 6) AS ratio FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY source")
@@ -249,12 +245,30 @@ def fps_moving_mean(spark, d):
     return T.read(spark, d, "events").select("user_id", "event_id", F.round(F.avg("value").over(w.rowsBetween(-29, 0)), 6).alias("mean30"), F.row_number().over(w).alias("frame"))
 
 
-@query()
+_SQL_FRAMES = """WITH RECURSIVE f AS (SELECT user_id AS stream, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, ts, (320 + value % 20 - 10)::DOUBLE AS cx, greatest(20, 100 + value % 8 - 4)::DOUBLE AS w,
+CASE WHEN event_type <> 'error' THEN (60 + value % 12 - 6)::DOUBLE END AS head, event_id % 17 = 0 AS calibrate FROM events)"""
+_SQL_TRACK = _SQL_FRAMES + """, s AS (
+SELECT stream, event_id, nth, cx AS bx, w AS bw, CASE WHEN head IS NULL THEN 0.6::DOUBLE ELSE greatest(0.15::DOUBLE, greatest(5, head) / w) END AS br, 0::BIGINT AS adapted, {fixed0} AS fixed FROM f WHERE nth = 1
+UNION ALL SELECT f.stream, f.event_id, f.nth, CASE WHEN {cal} THEN f.cx WHEN near THEN 0.995::DOUBLE * bx + 0.005::DOUBLE * f.cx ELSE bx END, CASE WHEN {cal} THEN f.w WHEN near THEN 0.995::DOUBLE * bw + 0.005::DOUBLE * f.w ELSE bw END,
+CASE WHEN {cal} THEN CASE WHEN head IS NULL THEN 0.6::DOUBLE ELSE greatest(0.15::DOUBLE, greatest(5, head) / f.w) END WHEN near AND head IS NOT NULL THEN 0.995::DOUBLE * br + 0.005::DOUBLE * greatest(0.15::DOUBLE, head / f.w) ELSE br END, adapted + near::INT, fixed OR {cal}
+FROM (SELECT f.*, s.bx, s.bw, s.br, s.adapted, s.fixed, NOT s.fixed AND NOT {cal} AND abs(f.cx - s.bx) / greatest(1, s.bw) < 0.10::DOUBLE AND f.w / greatest(1, s.bw) >= 0.95::DOUBLE AND f.w / greatest(1, s.bw) <= 1.05::DOUBLE AS near FROM f JOIN s ON f.stream = s.stream AND f.nth = s.nth + 1) f)"""
+
+
+@query(_SQL_TRACK.format(cal="FALSE", fixed0="FALSE") + " SELECT stream, nth AS frames, round(bx, 6) AS cx, round(bw, 6) AS width, round(br, 6) AS ratio, adapted FROM s QUALIFY row_number() OVER (PARTITION BY stream ORDER BY nth DESC) = 1")
 def ema_tracker(spark, d):
-    """STM-02: a recursion whose gate depends on the state; tested against a plain loop."""
+    """STM-02: a recursion whose gate depends on the state."""
     return rounded(tracker.baselines(T.frames(spark, d)))
 
 
+@query(_SQL_TRACK.format(cal="calibrate", fixed0="calibrate") + """, g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY stream ORDER BY nth))) / 1000000.0::DOUBLE AS gap FROM f), r AS (SELECT stream, event_id, nth, CASE WHEN gap IS NOT NULL THEN 1 / greatest(0.0001::DOUBLE, gap) END AS rate FROM g),
+a AS (SELECT stream, event_id, avg(rate) OVER (PARTITION BY stream ORDER BY nth ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS fps FROM r)
+SELECT stream, event_id, round(bx, 6) AS base_cx, round(bw, 6) AS base_w, round(br, 6) AS base_ratio, fixed AS calibrated, round(fps, 6) AS fps FROM s JOIN a USING (stream, event_id)""")
+def tracker_frames(spark, d):
+    """STM-02, STM-03, STM-08: the baseline after each frame, with calibrations as control events, and the rolling frame rate."""
+    frames = T.frames(spark, d).withColumn("control", F.when(F.col("event_id") % 17 == 0, "calibrate"))
+    return rounded(tracker.follow(frames))
+
+
 # --- duplicates -----------------------------------------------------------------------------------------------------
 
 _SPLIT = "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'valid' ELSE 'test' END"
@@ -293,9 +307,10 @@ def hash_near_duplicates(spark, d):
     return dedup.near_pairs(_hashes(spark, d), 5)
 
 
-@query()
+@query(_SQL_NEAR.replace("WITH t AS", "WITH RECURSIVE t AS") + """, b AS (SELECT a_key AS u, b_key AS v FROM pr UNION SELECT b_key, a_key FROM pr), r AS (SELECT u AS node, u AS other FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.other = b.u)
+SELECT node, min(other) AS root FROM r GROUP BY node""")
 def dup_components(spark, d):
-    """DUP-06, DUP-07: tested against union-find."""
+    """DUP-06, DUP-07."""
     return dedup.components(dedup.near_pairs(_hashes(spark, d), 5), "a_key", "b_key")
 
 
@@ -432,4 +447,4 @@ def safe_casts(spark, d):
     return T.read(spark, d, "events").select("event_id", F.coalesce(k.cast("int"), F.lit(0)).alias("k"), F.upper(F.trim("event_type")).alias("kind"), F.split(F.concat("event_type", F.lit("_x")), "_")[0].alias("head"), F.col("event_type").try_cast("double").isNull().alias("bad"))
 
 
-from tarn.plans import audits, learning, live, vision  # noqa: E402, F401  (they register their queries)
+from tarn.plans import audits, learning, live, surfaces, vision  # noqa: E402, F401  (they register their queries)

@@ -8,6 +8,7 @@ from tarn.operators import batch, pairs, pose, public, quality, stereo
 from tarn.plans.catalog import _SQL_3D, _SQL_CAND, _SQL_VIEW, _VIEW_JOINTS
 from tarn.plans.registry import query, rounded
 from tarn.sources import tables as T
+from tarn.streaming import chain, live
 
 _E = lambda i: f"embedding[{i + 1}]::DOUBLE"
 _LEN = lambda a, b: f"sqrt(pow({b}_x - {a}_x, 2) + pow({b}_y - {a}_y, 2))"
@@ -87,21 +88,27 @@ def keypoint_quality(spark, d):
 
 def _same_person_sql(thorough: bool) -> str:
     rel = ", ".join(f"{p}_w * {p}_h / 2073600.0::DOUBLE AS {p}_area, CASE WHEN {p}_c0 > 0.25 THEN ({p}_y0 - {p}_top) / greatest({p}_h, 1) END AS {p}_nose, CASE WHEN {p}_c5 > 0.25 AND {p}_c6 > 0.25 THEN abs({p}_x5 - {p}_x6) / greatest({p}_w, 1) END AS {p}_span, CASE WHEN {p}_c0 > 0.25 AND {p}_c11 > 0.25 THEN abs({p}_y11 - {p}_y0) END AS {p}_rise, ({p}_left + {p}_w / 2) / 1920 AS {p}_mid" for p in "ab")
-    cases = ["WHEN r > 2.5 OR r < 0.4 THEN 'AREA_EXTREME' WHEN r > 2 OR r < 0.5 THEN 'AREA_HIGH'", "WHEN abs(a_nose - b_nose) > 0.20 THEN 'NOSE_MISMATCH' WHEN abs(a_nose - b_nose) > 0.10 THEN 'NOSE_DIVERGENT'", "WHEN a_span > 0.30 AND b_span > 0.30 THEN 'BOTH_FRONTAL'"]
+    text = lambda head, *values: "{'n': %d, 't': '" + head + "'" + "".join(f" || format('{{:.{n}f}}', {v}) || '{tail}'" for v, n, tail in values) + "}"
+    gap, rise = "abs(a_nose - b_nose)", "(b_rise / greatest(a_rise, 1))"
+    cases = [
+        f"WHEN r > 2.5 OR r < 0.4 THEN {text('AREA_RATIO_EXTREME(', ('r', 2, ')')) % 2} WHEN r > 2 OR r < 0.5 THEN {text('AREA_RATIO_HIGH(', ('r', 2, ')')) % 1}",
+        f"WHEN {gap} > 0.20 THEN {text('NOSE_POS_MISMATCH(d=', (gap, 3, ')')) % 2} WHEN {gap} > 0.10 THEN {text('NOSE_POS_DIVERGENT(d=', (gap, 3, ')')) % 1}",
+        f"WHEN a_span > 0.30 AND b_span > 0.30 THEN {text('BOTH_FRONTAL_SPAN(c1=', ('a_span', 3, ',c2='), ('b_span', 3, ')')) % 3}",
+    ]
     if thorough:
-        cases[2] += " WHEN a_span IS NOT NULL AND b_span > 0.25 THEN 'LATERAL_WIDE'"
-        cases += ["WHEN b_rise / greatest(a_rise, 1) > 2 OR b_rise / greatest(a_rise, 1) < 0.5 THEN 'TORSO_EXTREME'", "WHEN NOT (a_mid > 0.2 AND a_mid < 0.8) THEN 'A_OFF_CENTRE'", "WHEN NOT (b_mid > 0.2 AND b_mid < 0.9) THEN 'B_OFF_CENTRE'"]
+        cases[2] += f" WHEN a_span IS NOT NULL AND b_span > 0.25 THEN {text('LATERAL_WIDE_SPAN(c2=', ('b_span', 3, ')')) % 1}"
+        cases += [f"WHEN {rise} > 2 OR {rise} < 0.5 THEN {text('TORSO_V_EXTREME(ratio=', (rise, 2, ')')) % 2}", f"WHEN NOT (a_mid > 0.2 AND a_mid < 0.8) THEN {text('C1_OFF_CENTER') % 1}", f"WHEN NOT (b_mid > 0.2 AND b_mid < 0.9) THEN {text('C2_OFF_CENTER') % 1}"]
     fired = ", ".join(f"CASE {c} END" for c in cases)
-    worth = "CASE f WHEN 'BOTH_FRONTAL' THEN 3 WHEN 'AREA_EXTREME' THEN 2 WHEN 'NOSE_MISMATCH' THEN 2 WHEN 'TORSO_EXTREME' THEN 2 ELSE 1 END"
-    return _SQL_PAIRS + f""", r AS (SELECT capture_id, a_has AND b_has AS ok, {rel} FROM p), q AS (SELECT *, b_area / greatest(a_area, 0.001) AS r FROM r), f AS (SELECT capture_id, ok, list_filter([{fired}], lambda x: x IS NOT NULL) AS fl FROM q),
-s AS (SELECT capture_id, CASE WHEN ok THEN coalesce(list_sum([{worth} FOR f IN fl]), 0) ELSE 0 END::INT AS score, CASE WHEN ok THEN array_to_string(fl, '; ') ELSE '' END AS flags, ok FROM f)
-SELECT capture_id, score, flags, CASE WHEN NOT ok THEN 'NO_TARGET' WHEN score = 0 THEN 'SAME_PERSON' WHEN score <= 2 THEN 'LIKELY_SAME' WHEN score <= 4 THEN 'SUSPICIOUS' ELSE 'WRONG_PERSON' END AS verdict FROM s"""
+    said = "CASE WHEN NOT ok THEN 'C1_target=' || CASE WHEN a_has THEN 'True' ELSE 'False' END || ', C2_target=' || CASE WHEN b_has THEN 'True' ELSE 'False' END WHEN len(fl) = 0 THEN 'CLEAN' ELSE array_to_string([x.t FOR x IN fl], '; ') END AS flags, " if thorough else ""
+    return _SQL_PAIRS + f""", r AS (SELECT capture_id, a_has, b_has, a_has AND b_has AS ok, {rel} FROM p), q AS (SELECT *, b_area / greatest(a_area, 0.001) AS r FROM r), f AS (SELECT capture_id, a_has, b_has, ok, list_filter([{fired}], lambda x: x IS NOT NULL) AS fl FROM q),
+s AS (SELECT *, CASE WHEN ok THEN coalesce(list_sum([x.n FOR x IN fl]), 0) ELSE 0 END::INT AS score FROM f)
+SELECT capture_id, score, {said}CASE WHEN NOT ok THEN 'NO_TARGET' WHEN score = 0 THEN 'SAME_PERSON' WHEN score <= 2 THEN 'LIKELY_SAME' WHEN score <= 4 THEN 'SUSPICIOUS' ELSE 'WRONG_PERSON' END AS verdict FROM s"""
 
 
 @query(_same_person_sql(False))
 def same_person_short(spark, d):
     """QC-02."""
-    return pairs.correspondence(T.pairs(spark, d, (0, 5, 6, 11))).select("capture_id", "score", "flags", "verdict")
+    return pairs.correspondence(T.pairs(spark, d, (0, 5, 6, 11))).select("capture_id", "score", "verdict")
 
 
 @query(_same_person_sql(True))
@@ -110,6 +117,56 @@ def same_person_long(spark, d):
     return pairs.correspondence(T.pairs(spark, d, (0, 5, 6, 11)), thorough=True).select("capture_id", "score", "flags", "verdict")
 
 
+def _gate_sql(desk: bool, source: str = "p") -> str:
+    """QC-07 in SQL: a CASE in the order of the checks."""
+    rules = [f"NOT {p}_has THEN 'REJECT_NO_PERSON_{cam}'" for cam, p in (("CAM01", "a"), ("CAM02", "b"))]
+    for j in (5, 6, 11, 12):
+        for cam, p in (("CAM01", "a"), ("CAM02", "b")):
+            rules.append(f"{p}_c{j} < 0.25{f' AND NOT {p}_ex' if desk and j > 6 else ''} THEN 'REJECT_{cam}_LOW_CONF_JOINT_{j}'")
+    for cam, p, n in (("CAM01", "a", 5), ("CAM02", "b", 3)):
+        rules.append(f"sqrt({' + '.join(f'pow(({p}_{a}5 + {p}_{a}6 - {p}_{a}11 - {p}_{a}12) / 2, 2)' for a in 'xy')}) < {n} THEN 'REJECT_{cam}_DEGENERATE_TORSO_SCALE'")
+    return "CASE " + " ".join(f"WHEN {r}" for r in rules) + " ELSE 'VALID_2D' END"
+
+
+@query(_SQL_PAIRS + f" SELECT capture_id, {_gate_sql(False)} AS code FROM p")
+def reject_gate_codes(spark, d):
+    """QC-07."""
+    return quality.reject_gate(T.pairs(spark, d, (5, 6, 11, 12))).select("capture_id", "code")
+
+
+# where both shoulders (or, seen from the side, one) are there and a hip isn't, hips are put under them
+_SQL_DESK = _SQL_PAIRS + ", e AS (SELECT *, " + ", ".join(f"{p}_c5 >= 0.25 AND {p}_c6 >= 0.25 AS {p}_b, ({p}_c5 >= 0.25 {op} {p}_c6 >= 0.25) AND ({p}_c11 < 0.25 OR {p}_c12 < 0.25) AS {p}_ex" for p, op in (("a", "AND"), ("b", "OR"))) + " FROM p), " + (
+    "k AS (SELECT *, " + ", ".join(f"CASE WHEN {p}_b THEN greatest(20, sqrt(pow({p}_x6 - {p}_x5, 2) + pow({p}_y6 - {p}_y5, 2))) ELSE 60 END AS {p}_wd, CASE WHEN {p}_b THEN ({p}_x5 + {p}_x6) / 2 WHEN {p}_c5 >= 0.25 THEN {p}_x5 ELSE {p}_x6 END AS {p}_sx, CASE WHEN {p}_b THEN ({p}_y5 + {p}_y6) / 2 WHEN {p}_c5 >= 0.25 THEN {p}_y5 ELSE {p}_y6 END AS {p}_sy" for p in "ab") + " FROM e), "
+    "h AS (SELECT capture_id, a_has, b_has, a_ex, b_ex, " + ", ".join(
+        f"{p}_x5, {p}_y5, {p}_c5, {p}_x6, {p}_y6, {p}_c6, CASE WHEN {p}_ex THEN {p}_mx - 0.45 * {p}_wd ELSE {p}_x11 END AS {p}_x11, CASE WHEN {p}_ex THEN {p}_mx + 0.45 * {p}_wd ELSE {p}_x12 END AS {p}_x12, "
+        f"CASE WHEN {p}_ex THEN 0.85 ELSE {p}_c11 END AS {p}_c11, CASE WHEN {p}_ex THEN 0.85 ELSE {p}_c12 END AS {p}_c12, CASE WHEN {p}_ex THEN least(1070, {p}_sy + greatest(1.15 * {p}_wd, 70)) ELSE {p}_y11 END AS {p}_y11, CASE WHEN {p}_ex THEN least(1070, {p}_sy + greatest(1.15 * {p}_wd, 70)) ELSE {p}_y12 END AS {p}_y12"
+        for p in "ab") + " FROM (SELECT *, " + ", ".join(f"CASE WHEN capture_id % 3 = 0 THEN {p}_sx ELSE 950 + 0.15 * ({p}_sx - 950) END AS {p}_mx" for p in "ab") + " FROM k))"
+)
+
+
+def _desk_pairs(spark, d):
+    base = F.when(F.col("capture_id") % 3 > 0, 950.0)
+    return T.pairs(spark, d, chain.JOINTS).withColumns({"a_base_cx": base, "b_base_cx": base, "left_side": F.col("capture_id") % 2 == 0})
+
+
+@query(_SQL_DESK + f""", z AS (SELECT capture_id, a_ex, b_ex, a_has, b_has, {_gate_sql(True)} AS code FROM h)
+SELECT capture_id, a_ex AS a_extrapolated, b_ex AS b_extrapolated, CASE WHEN a_has AND b_has AND code = 'VALID_2D' THEN 'VALID' ELSE 'REJECTED' END AS status, CASE WHEN NOT a_has THEN 'CAM01: No person detected' WHEN NOT b_has THEN 'CAM02: No person detected' WHEN code = 'VALID_2D' THEN 'OK' ELSE code END AS reason FROM z""")
+def desk_pairs(spark, d):
+    """STM-05 up to the model: extrapolation, gate and features of both views in one call."""
+    return chain.infer_pairs(_desk_pairs(spark, d))
+
+
+@query(_SQL_DESK + """, w AS (SELECT *, (a_x5 + a_x6) / 2 AS cx, sqrt(pow(a_x6 - a_x5, 2) + pow(a_y6 - a_y5, 2)) AS w, (a_y5 + a_y6) / 2 - nose AS head FROM (SELECT h.*, p.a_y0 AS nose FROM h JOIN p USING (capture_id))),
+q AS (SELECT *, (cx - 950) / 700 AS dx, greatest(1, w) / 700 AS wr, greatest(0, head) / greatest(1, w) / 0.5 AS dr FROM w)
+SELECT capture_id, a_ex AS a_extrapolated, CASE WHEN capture_id % 3 = 0 THEN 'upright' WHEN dx > 0.15 THEN 'leaning_left' WHEN dx < -0.15 THEN 'leaning_right' WHEN wr >= 1.03 AND dr <= 0.92 THEN 'slouching' WHEN wr >= 1.07 THEN 'leaning_forward' WHEN wr <= 0.93 THEN 'leaning_backward' ELSE 'upright' END AS profile,
+CASE WHEN NOT a_has THEN 'REJECT_NO_PERSON_DETECTED' WHEN a_c5 < 0.25 THEN 'REJECT_CAM01_LOW_CONF_JOINT_5' WHEN a_c6 < 0.25 THEN 'REJECT_CAM01_LOW_CONF_JOINT_6' WHEN a_c11 < 0.25 THEN 'REJECT_CAM01_LOW_CONF_JOINT_11' WHEN a_c12 < 0.25 THEN 'REJECT_CAM01_LOW_CONF_JOINT_12' ELSE 'OK' END AS reason FROM q""")
+def desk_singles(spark, d):
+    """STM-06 up to the model: one view, the other's features from the profile that the baseline suggests (FEA-18)."""
+    known = F.col("capture_id") % 3 > 0
+    one = _desk_pairs(spark, d).withColumns({"base_cx": F.when(known, 950.0), "base_w": F.when(known, 700.0), "base_ratio": F.when(known, 0.5)})
+    return chain.infer_single(one, live.profile_table(spark)).select("capture_id", "a_extrapolated", "profile", "reason")
+
+
 def _nine_sql():
     mids = ", ".join(f"({p}_{a}{i} + {p}_{a}{j}) / 2 AS {p}{n}_{a}" for p in "ab" for n, i, j in (("top", 5, 6), ("low", 11, 12)) for a in "xy")
     at = ", ".join(f"{p}_{a}{j} AS {p}{j}_{a}" for p, js in (("a", (1, 2, 5, 6)),) for j in js for a in "xy")
@@ -139,7 +196,8 @@ def selector_benchmark(spark, d):
 @query()
 def stereo_quality(spark, d):
     """QC-04, GEO-08..13: tested by round trips of known points."""
-    return rounded(stereo.final_quality(stereo.synthetic_pairs(T.pose3d(spark, d, range(17))), stereo.example_rig()))
+    rigs = {f"CAL_{k:03d}": stereo.example_rig() for k in range(1, 11)}
+    return rounded(stereo.final_quality(stereo.synthetic_pairs(T.pose3d(spark, d, range(17))), rigs))
 
 
 @query()

@@ -48,11 +48,11 @@ def read_rigs(spark: SparkSession, path: str, allowed: list[str] | None = None)
     return rigs.filter(F.col("calibration_id").isin(allowed)) if allowed is not None else rigs
 
 
-def read_coco(spark: SparkSession, path: str) -> DataFrame:
+def read_coco(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """SRC-06, JOI-10, ARR-06: one row an annotation with its image, category and triples (x, y, visibility); an image without any has annotation_id -1 and class no_annotation.
     The split is the name of the file's folder. Spark hides files whose names begin with an underscore: such exports must be renamed."""
     schema = "images array<struct<id long, file_name string, width int, height int>>, annotations array<struct<id long, image_id long, category_id long, bbox array<double>, keypoints array<double>>>, categories array<struct<id long, name string>>"
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     doc = raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("split"), F.from_json("value", schema).alias("d"))
     part = lambda c, p: doc.select("split", F.explode(f"d.{c}").alias("r")).select("split", *(F.col(f"r.{k}").alias(n) for k, n in p.items()))
     images = part("images", {"id": "image_id", "file_name": "file_name", "width": "width", "height": "height"})
@@ -118,20 +118,30 @@ def pending(keys: DataFrame, done: DataFrame, key: str) -> DataFrame:
 # --- writers --------------------------------------------------------------------------------------------------------
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
 def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, append: bool = False) -> None:
-    """SNK-01..03: a fixed order of columns; a header also where no row is left; appended rows must have the columns of those before them."""
+    """SNK-01..03: a fixed order of columns; a header also where no row is left. Appended rows must have the columns of those before them; the first append makes the table."""
     df = df.select(*(fields or df.columns))
     spark = df.sparkSession
-    if append:
+    if append and written(spark, path):
         seen = spark.read.option("header", True).csv(path).columns
         if seen != df.columns:
             raise ValueError(f"columns {df.columns} don't match {seen}")
     df.write.mode("append" if append else "overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_documents(df: DataFrame, path: str, key: str) -> None:
-    """SNK-04: JSON lines with the key first, many to a file; NULLs are kept."""
-    df.select(key, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").parquet(path)
+def write_documents(df: DataFrame, path: str, key: str, each: bool = False) -> None:
+    """SNK-04: a JSON document a row, NULLs kept. Lines, many to a file; with ``each`` a folder ``key=value`` a document, for readers that want files, which suits small tables."""
+    doc = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    if each:
+        doc.repartition("key").write.mode("overwrite").partitionBy("key").text(path)
+    else:
+        doc.select("value").write.mode("overwrite").text(path)
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
@@ -143,6 +153,11 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 
 
+def reset(spark: SparkSession, source: str, target: str) -> None:
+    """SNK-07: a new version of a Parquet table with its columns and no rows, never in place."""
+    spark.read.parquet(source).limit(0).write.mode("errorifexists").parquet(target)
+
+
 def delete_keys(spark: SparkSession, source: str, target: str, key: str, gone: DataFrame) -> None:
-    """SNK-06, SNK-07: a new version of a Parquet table without some keys, never in place; with all keys gone its schema is left."""
+    """SNK-06: a new version of a Parquet table without some keys, never in place; rows whose key is NULL stay."""
     spark.read.parquet(source).join(gone.select(key).distinct(), key, "left_anti").write.mode("errorifexists").parquet(target)

@@ -5,7 +5,7 @@ The state (``tracker.baselines`` or ``tracker.track``) is joined or carried by t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.geometry import norm
@@ -48,6 +48,33 @@ def choose_profile(df: DataFrame) -> DataFrame:
     return df.withColumn("profile", F.when(~known, "upright").when(aside > 0.15, "leaning_left").when(aside < -0.15, "leaning_right").when((wider >= 1.03) & (drop <= 0.92), "slouching").when(wider >= 1.07, "leaning_forward").when(wider <= 0.93, "leaning_backward").otherwise("upright"))
 
 
+#: features of the second camera's view, in the order of PROFILE_VALUES
+PROFILE_FEATURES = (
+    "nose_x", "nose_y", "lsho_x", "lsho_y", "rsho_x", "rsho_y", "lhip_x", "lhip_y", "rhip_x", "rhip_y", "shoulder_slope", "hip_slope", "torso_inclination",
+    "head_torso_angle", "head_to_shoulder", "torso_length", "head_offset", "torso_offset", "ear_h", "ear_v", "ear_neck",
+)
+# What the second camera typically sees of each posture.
+PROFILE_VALUES = {
+    "upright": (0.1622, -0.9837, -0.0576, -0.7358, -0.0049, -0.703, -0.0144, -0.0261, 0.0144, 0.0261, 44.3802, 76.6574, 6.7579, 48.3779, 0.3573, 0.7271, 0.1934, -0.0312, 1.2313, 4.5309, 119.5911),
+    "leaning_forward": (0.2535, -0.9208, 0.0363, -0.7211, 0.0786, -0.6927, -0.0122, -0.0221, 0.0122, 0.0221, 30.9484, 78.2687, 8.181, 46.0543, 0.3676, 0.7183, 0.2029, 0.0574, 1.8776, 4.4247, 121.3679),
+    "leaning_backward": (0.0094, -0.9915, -0.1619, -0.714, -0.1539, -0.6844, 0.0004, -0.0293, -0.0004, 0.0293, 64.9556, 94.0692, 17.9205, 50.1643, 0.3493, 0.7413, 0.1673, -0.1579, 0.3437, 3.5647, 117.1729),
+    "slouching": (0.2566, -0.9464, 0.0184, -0.7248, 0.0221, -0.6925, 0.0008, -0.0277, -0.0008, 0.0277, 67.3428, 88.4698, 5.1238, 50.1096, 0.3816, 0.7139, 0.2364, 0.0202, 1.6125, 4.7514, 117.021),
+    "leaning_left": (0.1839, -0.9702, -0.0477, -0.7486, -0.0081, -0.7481, -0.0079, -0.021, 0.0079, 0.021, 2.5866, 80.1472, 4.8056, 51.9088, 0.3435, 0.7536, 0.2118, -0.0279, 1.4757, 4.7478, 113.4874),
+    "leaning_right": (0.1483, -0.9825, -0.0516, -0.7319, -0.0604, -0.6669, 0.0039, -0.0328, -0.0039, 0.0328, 106.7496, 93.2947, 8.0054, 48.6868, 0.3803, 0.7099, 0.2043, -0.056, 0.8904, 3.2695, 118.6081),
+}
+
+
+def profile_table(spark: SparkSession) -> DataFrame:
+    """PROFILE_VALUES, a row a posture."""
+    return spark.createDataFrame([(name, *values) for name, values in PROFILE_VALUES.items()], ", ".join(["profile string", *(f"{c} double" for c in PROFILE_FEATURES)]))
+
+
+def swapped(df: DataFrame, swap: str = "swap") -> DataFrame:
+    """STM-04: where ``swap`` is true the two cameras change places (columns a_ and b_)."""
+    other = {f"{p}_{c[2:]}": f"{'ba'['ab'.index(p)]}_{c[2:]}" for c in df.columns for p in c[:1] if c[:2] in ("a_", "b_")}
+    return df.select(*(F.when(F.col(swap), F.col(other[c])).otherwise(F.col(c)).alias(c) if c in other else F.col(c) for c in df.columns))
+
+
 def with_profile(features: DataFrame, profiles: DataFrame, prefix: str = "cam02_") -> DataFrame:
     """The second half of FEA-18: the constant features of the chosen profile stand in for the missing camera. ``profiles`` has one row a class (six at most), so it is broadcast."""
     cols = [F.col(c).alias(f"{prefix}{c}") for c in profiles.columns if c != "profile"]

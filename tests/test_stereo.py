@@ -1,6 +1,7 @@
 """Stereo geometry: known points survive projection, undistortion and triangulation; the rules on the result by hand-made rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tarn.operators import stereo
 from tarn.sources import tables
@@ -37,8 +38,30 @@ def test_lift_finds_the_poses(spark):
 
 
 def test_decisions_cover_the_early_exits(spark):
-    got = {r.decision for r in stereo.final_quality(stereo.synthetic_pairs(tables.pose3d(spark, SF, range(17))), stereo.example_rig()).collect()}
-    assert {"NO_TARGET", "EXCLUDE_3D_WRONG_PERSON", "EXCLUDE_3D_DEGENERATE_RIG"} <= got and len(got) >= 5
+    rows = stereo.final_quality(stereo.synthetic_pairs(tables.pose3d(spark, SF, range(17))), stereo.example_rig()).collect()
+    got = {r.decision for r in rows}
+    assert {"EXCLUDE_3D", "EXCLUDE_3D_WRONG_PERSON", "EXCLUDE_3D_DEGENERATE_RIG"} <= got and len(got) >= 5
+    assert all(r.core is None for r in rows if r.verdict == "NO_TARGET" or "RIG" in r.decision) and all(r.core is not None and r.masked_err >= 0 for r in rows if r.decision.startswith("INCLUDE"))
+    said = {r.reason.split("(")[0].split(":")[0] for r in rows}
+    assert {"Target lost", "Full 3D", "Partial 3D", "Strong evidence of cross-camera person mismatch "} <= said
+
+
+def test_each_row_has_its_own_rig(spark):
+    """Two rigs in one table give what each gives alone; a row without a rig, or with 16 joints, has no joint."""
+    near, far = stereo.example_rig(), stereo.example_rig()
+    far = stereo.Rig(**{**far.__dict__, "T": far.T * 1.2, "P2": far.P2 * np.array([[1, 1, 1, 1.2]] * 3)})
+    pairs = stereo.synthetic_pairs(tables.pose3d(spark, SF, range(17)))
+    even = F.col("capture_id") % 2 == 0
+    both = pairs.withColumn("calibration_id", F.when(F.col("capture_id") == 7, "lost").when(even, "near").otherwise("far")).withColumn("c1", F.when(F.col("capture_id") == 8, F.slice("c1", 1, 16)).otherwise(F.col("c1")))
+    got = {r.capture_id: r for r in stereo.final_quality(both, {"near": near, "far": far}).collect()}
+    alone = {k: {r.capture_id: r for r in stereo.final_quality(pairs.withColumn("calibration_id", F.lit(k)), rig).collect()} for k, rig in (("near", near), ("far", far))}
+    for i, r in got.items():
+        if i in (7, 8):
+            assert r.core in (None, 0)
+            continue
+        want = alone["near" if i % 2 == 0 else "far"][i]
+        assert (r.decision, r.core, r.depth, r.core_err, r.reason) == (want.decision, want.core, want.depth, want.core_err, want.reason)
+    assert any(alone["near"][i].depth != alone["far"][i].depth for i in got)
 
 
 def test_calibration_document():

@@ -6,7 +6,8 @@ together the budget: with sources in order of size / weight, those below the lev
 
 A document of a source is expected target / size times, the same for each. Prefix sums of that in a fixed order, plus one random offset a source,
 cross whole numbers; it is emitted once for each crossing. The order goes by size class first and
-turns around from class to class, so that what a source takes in words stays near its target. The prefix sum is rank * expectation; ranks come from blocks (source, size class, salt) whose counts are summed first, so that no source,
+turns around from class to class, so that what a source takes in words stays near its target; and of OFFSETS offsets, evenly spaced from a random one,
+the source gets the one whose words come nearest, which matters where a few long documents make up a source. The prefix sum is rank * expectation; ranks come from blocks (source, size class, salt) whose counts are summed first, so that no source,
 however hot, is ranked in one task.
 
 Nulls: null text has size 0; null sources are one source. Sources without words have target 0 and take none. Repeated rows and equal ids are documents of their own.
@@ -24,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2
 BLOCK = 1_000
+OFFSETS = 32
 SEED = "mix"
 
 
@@ -68,9 +70,13 @@ def copies(light: DataFrame) -> DataFrame:
     block = block.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*(F.col(k).alias(f"b_{k}") for k in key), "before")
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.when(F.col("class") % 2 == 0, F.col("size")).otherwise(-F.col("size")), "tie", "key")))
     joined = ranked.join(block, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")) & (F.col("salt") == F.col("b_salt")))
-    rank = F.col("before") + F.col("nth")
-    up = F.floor(rank * F.col("rate") + F.col("offset")) - F.floor((rank - 1) * F.col("rate") + F.col("offset"))
-    return joined.withColumn("copies", F.least(up, F.ceil(F.col("rate")))).drop(*(f"b_{k}" for k in key), "before", "nth", "salt", "salts", "class", "offset", "rate")
+    placed = cut(joined.withColumn("rank", F.col("before") + F.col("nth")).drop(*(f"b_{k}" for k in key), "before", "nth", "salt", "salts", "class"))
+    up = lambda at: F.least(F.floor(F.col("rank") * F.col("rate") + at) - F.floor((F.col("rank") - 1) * F.col("rate") + at), F.ceil(F.col("rate")))
+    moved = [F.col("offset") + i / OFFSETS - F.floor(F.col("offset") + i / OFFSETS) for i in range(OFFSETS)]
+    words_at = placed.groupBy("source").agg(F.first("target").alias("t"), F.first("offset").alias("offset"), *(F.sum(up(at) * F.col("size")).alias(f"w{i}") for i, at in enumerate(moved)))
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{i}") - F.col("t")).alias("gap"), F.lit(i).alias("i")) for i in range(OFFSETS))))["i"]
+    chosen = words_at.select(F.col("source").alias("s"), (F.col("offset") + nearest / OFFSETS - F.floor(F.col("offset") + nearest / OFFSETS)).alias("at"))
+    return placed.join(chosen, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", up(F.col("at"))).drop("s", "at", "rank", "offset", "rate")
 
 
 def _light(docs: DataFrame, *more: Column) -> DataFrame:
@@ -97,7 +103,8 @@ def mix(docs: DataFrame) -> DataFrame:
     if not times.filter("m_rows > 1").isEmpty():
         taken = taken.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(mark)))
         own = F.floor(F.col(nth) * own / F.col("m_rows")) - F.floor((F.col(nth) - 1) * own / F.col("m_rows"))
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), own.cast("int"))).alias(name), mark).select(*(F.col(f"`{c}`") for c in docs.columns), name)
+    each = taken.select(*(F.col(f"`{c}`") for c in docs.columns), F.posexplode(F.array_repeat(F.lit(0), own.cast("int"))).alias(name, mark))
+    return each.drop(mark).withColumn(name, F.col(name) + 1)
 
 
 ORACLE_SQL = r"""
@@ -113,9 +120,12 @@ l AS (SELECT *, (1.5::DOUBLE * total - 2.0::DOUBLE * coalesce(sum(ssize) OVER (O
 lv AS (SELECT arg_min(level, full_at) AS level FROM l WHERE full_at >= level),
 t AS (SELECT source, n, ssize, least(2.0::DOUBLE * ssize, lv.level * w) AS target,
           ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off FROM l, lv),
-r AS (SELECT doc_id, size, ssize, target, off, CASE WHEN ssize > 0 THEN target / ssize ELSE 0 END AS rate,
+r AS (SELECT doc_id, c.source, size, ssize, target, off, CASE WHEN ssize > 0 THEN target / ssize ELSE 0 END AS rate,
           row_number() OVER (PARTITION BY c.source ORDER BY class, tie % ceil(m / 1000.0)::BIGINT, CASE WHEN class % 2 = 0 THEN size ELSE -size END, tie, doc_id) AS k
-      FROM (SELECT *, count(*) OVER (PARTITION BY source, class) AS m FROM c) c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
+      FROM (SELECT *, count(*) OVER (PARTITION BY source, class) AS m FROM c) c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT off, rate, k, size, target, source, j, off + j / 32.0::DOUBLE - floor(off + j / 32.0::DOUBLE) AS u FROM r, range(32) x(j)),
+g AS (SELECT source, j, any_value(u) AS u, abs(sum(least(floor(k * rate + u) - floor((k - 1) * rate + u), ceil(rate)) * size) - any_value(target)) AS gap FROM o GROUP BY source, j),
+b AS (SELECT source, arg_min(u, [gap, j]) AS u FROM g GROUP BY source)
 SELECT doc_id, size, ssize AS source_size, target,
-       (least(floor(k * rate + off) - floor((k - 1) * rate + off), ceil(rate)) * size)::BIGINT AS taken FROM r
+       (least(floor(k * rate + u) - floor((k - 1) * rate + u), ceil(rate)) * size)::BIGINT AS taken FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source
 """

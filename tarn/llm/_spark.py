@@ -75,3 +75,12 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 def text_hash(text: str) -> Column:
     """128 bits that stand for a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def by_text(docs: DataFrame, keep: list[str], text: str, run, made: str) -> DataFrame:
+    """``mapInArrow`` over the texts: ``run`` gets batches of the columns k0, k1, ... (``keep``) and ``body``, and returns k0, k1, ... and the columns ``made``; names of ``keep`` may be any
+    but those."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("body"))
+    out = inner.mapInArrow(run, ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), made]))
+    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

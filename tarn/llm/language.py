@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.llm._spark import by_text
 from tarn.llm._words import chunks
 
 PER_LANGUAGE = 120
@@ -210,18 +211,18 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def identify(docs: DataFrame, samples: dict[str, str], keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep``, lang_pred and score of each document."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
         parser = _parser(samples)
         for batch in batches:
-            for i, j, data, offsets in chunks(batch.column("_text")):
+            for i, j, data, offsets in chunks(batch.column("body")):
                 raw = data.tobytes()
                 langs, scores = parser.predict([raw[offsets[d] : offsets[d + 1]].decode("utf-8", "replace") for d in range(j - i)])
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+    return by_text(docs, keep, text, run, "lang_pred string, score double")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,10 @@ Spans of decoded layers are added to the base spans; base spans stay. Kinds: ass
 Compressed layers are read whole, all members, in pieces of LAYER_BYTES (a parameter against decompression bombs) that overlap by OVERLAP; of larger ones only
 what can hold a secret is kept. ``n_cut`` counts pieces that end in a run longer than the overlap, and zstd streams where zstandard isn't installed.
 
-Nulls: null text has no spans. Empty and repeated rows each get their row. Whole texts are scanned, linear in their length; other columns are ignored.
+Base64 runs under 16 letters decode to less than 12 bytes, which can hold no secret (the shortest has 16 characters).
+
+Nulls: null text has no spans. Empty and repeated rows each get their row. Whole texts are scanned; the time is linear in the length of a layer and in the number of layers, so a token whose
+escapes are nested d deep costs d times its length. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm._spark import by_text
 from tarn.llm._words import chunks
 
 KINDS = ("assign", "access", "hex")
 LAYER_BYTES = 8 << 20
 OVERLAP = 64 << 10
 CACHE_BYTES = 64 << 20
-SHORTEST_BASE64 = 16
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -436,23 +439,23 @@ _SPAN_PA = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("e
 
 def find(docs: DataFrame, keep: list[str], text: str = "text", limit: int = LAYER_BYTES) -> DataFrame:
     """The columns ``keep``, base and decoded (arrays of start, kind, end), n_layers, n_cut of each document."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [f"k{i}" for i in range(len(keep))]
 
     def spans(x):
         return [{"start": a, "kind": KINDS[k], "end": b} for a, k, b in x]
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offsets in chunks(batch.column("_text")):
+            for i, j, data, offsets in chunks(batch.column("body")):
                 n, raw = j - i, memoryview(data)
                 base, decoded, layers, cuts = [[]] * n, [[]] * n, [0] * n, [0] * n
                 for d in np.flatnonzero(_flags(data, offsets)).tolist():
                     first, more, layers[d], cuts[d] = worklist(str(raw[offsets[d] : offsets[d + 1]], "utf-8", "replace"), limit)
                     base[d], decoded[d] = spans(first), spans(more)
                 part = batch.slice(i, n)
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in range(len(keep))), pa.array(base, _SPAN_PA), pa.array(decoded, _SPAN_PA), pa.array(layers, pa.int64()), pa.array(cuts, pa.int64())], [*keep, "base", "decoded", "n_layers", "n_cut"])
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(base, _SPAN_PA), pa.array(decoded, _SPAN_PA), pa.array(layers, pa.int64()), pa.array(cuts, pa.int64())], [*names, "base", "decoded", "n_layers", "n_cut"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in keep) + f"base {_SPANS}, decoded {_SPANS}, n_layers bigint, n_cut bigint")
+    return by_text(docs, keep, text, run, f"base {_SPANS}, decoded {_SPANS}, n_layers bigint, n_cut bigint")
 
 
 def _joined(spans):

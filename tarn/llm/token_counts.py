@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm._spark import cut, join_hot, shared_dir, text_hash
+from tarn.llm._spark import by_text, cut, join_hot, shared_dir, text_hash
 from tarn.llm._words import ALNUM, SPACED, chunks
 
 KEY = ["source", "lang", "tokenizer"]
@@ -69,14 +69,14 @@ def tokens(text: pa.Array) -> list[np.ndarray]:
 
 def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and, for each tokenizer, the count of each document's tokens (- in its name is _)."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    own = [f"k{i}" for i in range(len(keep))]
     names = [k.replace("-", "_") for k in TOKENIZERS]
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in range(len(keep))), *map(pa.array, tokens(batch.column("_text")))], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in own), *map(pa.array, tokens(batch.column("body")))], [*own, *names])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} bigint" for n in names)]))
+    return by_text(docs, keep, text, run, ", ".join(f"{n} bigint" for n in names))
 
 
 class Rollup:

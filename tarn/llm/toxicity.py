@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._spark import cut
+from tarn.llm._spark import by_text, cut
 from tarn.llm._words import ALNUM, LOWER, ngrams, word_chunks
 
 SAMPLE = 12_000
@@ -227,15 +227,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
     """The columns ``keep`` and the score of each document."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
         for batch in batches:
-            for i, j, words in word_chunks(batch.column("_text"), ALNUM, LOWER):
+            for i, j, words in word_chunks(batch.column("body"), ALNUM, LOWER):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in range(len(keep))), pa.array(model.scores(words))], [*keep, name])
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(model.scores(words))], [*names, name])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` double")
+    return by_text(docs, keep, text, run, f"`{name}` double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

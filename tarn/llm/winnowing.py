@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm._spark import by_text
 from tarn.llm._words import ngrams, window_min
 
 GRAM = 24
@@ -63,14 +64,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """The columns ``keep``, hashes and positions of each document; no shuffle."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
         for batch in batches:
-            got = [fingerprint(codes(t or ""), gram, window) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in range(len(keep))), pa.array([h.astype(np.int64) for h, _ in got], pa.list_(pa.int64())), pa.array([p for _, p in got], pa.list_(pa.int32()))], [*keep, "hashes", "positions"])
+            got = [fingerprint(codes(t or ""), gram, window) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([h.astype(np.int64) for h, _ in got], pa.list_(pa.int64())), pa.array([p for _, p in got], pa.list_(pa.int32()))], [*names, "hashes", "positions"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "hashes array<bigint>, positions array<int>")
+    return by_text(docs, keep, text, run, "hashes array<bigint>, positions array<int>")
 
 
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"

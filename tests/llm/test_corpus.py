@@ -204,6 +204,8 @@ def test_secret_query(spark, empty):
         want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
     assert len(got) == len(rows) and secrets.digest(empty).collect() == []
+    clash = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"base": F.lit(1), "_text": F.lit("token = abcdef123456"), "n_layers": F.lit("x"), "spans": F.lit(2)})
+    assert sorted(map(str, secrets.digest(clash).collect())) == sorted(map(str, got))
 
 
 # --- 4 mixing, 5 rollups, 8, 9: SQL
@@ -304,6 +306,7 @@ def test_toxicity_query(spark, empty):
     none = toxicity.digest(docs.limit(5).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string"))), labels.limit(0)).toPandas()
     assert (none.predicted == 0).all() and len(none) == 6
     assert toxicity.keep_clean(docs.withColumn("score", F.lit(1)), labels).columns == [*docs.columns, "score"]
+    assert toxicity.digest(empty, labels).collect() == [] and toxicity.keep_clean(empty, labels).columns == empty.columns
 
 
 # --- 8 substrings
@@ -353,11 +356,3 @@ def test_decontamination(spark, docs, limit):
     got = decontaminate.decontaminate(docs, bench, ["doc_id"], broadcast_bytes=limit)
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in got.collect()) == want
     assert decontaminate.clean(docs, bench).columns == docs.columns and decontaminate.decontaminate(docs, bench.limit(0), ["doc_id"], broadcast_bytes=limit).filter("n_hit > 0").count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF)
-    assert out.columns == [*docs.columns, "copy"] and 0 < out.count()

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +21,28 @@ def exact_groups(df: DataFrame, key: str, body: str) -> DataFrame:
     return df.filter(F.col(body).isNotNull()).select(key, "split", sha.alias("sha")).groupBy("sha").agg(F.count("*").alias("n"), F.min(key).alias("first"), F.count_distinct("split").alias("splits")).filter("n >= 2")
 
 
+@lru_cache(1 << 16)
+def _bits(word: str) -> bytes:
+    return hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:8]
+
+
 def simhash(df: DataFrame, key: str, body: str) -> DataFrame:
-    """64-bit hash of each text in two halves (hi, lo): the sign of the sum of its distinct words' md5 bits. Each row is folded by itself, nothing is shuffled:
-    two bits' counts share a number (32 bits each, so any number of words fits)."""
-    half = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
-    marks = F.transform(F.array_distinct(F.split(F.lower(body), r"\s+")), lambda t: F.md5(t.cast("binary")))
-    tokens = df.select(key, F.transform(marks, lambda h: F.struct(half(h, 1).alias("hi"), half(h, 9).alias("lo"))).alias("_w"))
-    mask = F.lit((1 << 32) + 1)
-    zero = F.array_repeat(F.lit(0).cast("bigint"), 32)
-    # number b of a half's 16 holds the counts of its bits b and b + 16
-    lanes = lambda c, b: F.shiftright(c, b).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftright(c, b + 16).bitwiseAND(F.lit(1)), 32)
-    each = lambda w: F.array(*(lanes(w[h], b) for h in ("hi", "lo") for b in range(16)))
-    sums = F.aggregate("_w", zero, lambda acc, w: F.zip_with(acc, each(w), lambda x, y: x + y))
-    counted = tokens.select(key, F.size("_w").alias("_n"), sums.alias("_s"))
-    count = lambda h, b: F.shiftrightunsigned(F.get("_s", F.lit(h * 16 + b % 16)), 32 * (b // 16)).bitwiseAND(F.lit((1 << 32) - 1))
-    word = lambda h: reduce(lambda x, y: x + y, (F.when(2 * count(h, b) > F.col("_n"), F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(32)))
-    return counted.filter("_n > 0").select(key, word(0).alias("hi"), word(1).alias("lo"))
+    """64-bit hash of each text in two halves (hi, lo): the sign of the sum of its distinct words' md5 bits; NULL texts have none. Rows are hashed by themselves in Arrow batches, nothing is
+    shuffled. (As a fold over arrays in Columns the same took 80 microseconds a word; exploded words shuffle 64 sums a text.)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = re.compile(r"[ \t\n\x0b\f\r]+")
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 8), np.uint8)
+            for i, text in enumerate(batch.column("body")):
+                words = {*space.split(text.as_py().lower())}
+                ones = np.unpackbits(np.frombuffer(b"".join(map(_bits, words)), np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                out[i] = np.packbits(2 * ones > len(words))
+            halves = out.view(">u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["key", "hi", "lo"])
+
+    light = df.select(F.col(key).alias("key"), F.col(body).alias("body")).filter(F.col("body").isNotNull())
+    return light.mapInArrow(run, f"key {dict(df.dtypes)[key]}, hi bigint, lo bigint").withColumnRenamed("key", key)
 
 
 def hamming():

@@ -69,13 +69,17 @@ def stratified_folds(df: DataFrame, group: str, label: str, classes: list, folds
 
 def augment(train: DataFrame, label: str, key: str, features: list[str], targets: list, each: int, level: float = 0.015, seed: int = 42) -> DataFrame:
     """SPL-08: ``each`` new rows per target class, half between two rows of the class (weight .15 to .85, half the noise), half a row with noise of ``level``
-    deviations. Randomness is a hash of class and number, so reruns agree. Sources
-    are drawn from at most 4 * ``each`` rows of the class in seeded order, so no task ranks a whole class. All original rows stay unchanged."""
+    deviations. Randomness is a hash of class and number, so reruns agree. Sources are drawn, with repeats, from a seeded
+    random 4 * ``each`` rows of the class; about twice as many are let through by a hash before they are ranked, so no task ranks a whole class. All original rows stay unchanged."""
     from pyspark.sql import Window
 
     src = train.filter(F.col(label).isin(*targets)).select(label, key, *features)
-    stats = src.groupBy(label).agg(F.least(F.count("*"), F.lit(4 * each)).alias("_n"), *(F.stddev_pop(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(f"_s_{c}") for c in features))
-    ranked = src.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(seeded(key, str(seed)), key))).filter(F.col("_i") <= 4 * each).withColumn("_i", F.col("_i") - 1)
+    stats = src.groupBy(label).agg(*(F.stddev_pop(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(f"_s_{c}") for c in features))
+    share = src.groupBy(label).agg((F.lit(8.0 * each) / F.count("*")).alias("_share")).withColumnRenamed(label, "_l")  # a row a target class
+    dice = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit("dice")), F.lit(1 << 30)) / float(1 << 30)
+    few = src.join(F.broadcast(share), F.col(label) == F.col("_l")).filter(dice < F.col("_share")).drop("_l", "_share")
+    stats = stats.join(few.groupBy(label).agg(F.least(F.count("*"), F.lit(4 * each)).alias("_n")), label)
+    ranked = few.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(seeded(key, str(seed)), key))).filter(F.col("_i") <= 4 * each).withColumn("_i", F.col("_i") - 1)
     unit = lambda *parts: (F.pmod(F.xxhash64(F.lit(seed), label, "_k", *map(F.lit, parts)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     normal = lambda c: F.sqrt(-2 * F.log(unit("u", c))) * F.cos(6.283185307179586 * unit("v", c))
     new = stats.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumns({"_blend": F.col("_k") < each // 2, "_a": F.floor(unit("a") * F.col("_n")).cast("int"), "_b": F.floor(unit("b") * F.col("_n")).cast("int"), "_w": 0.15 + 0.70 * unit("w")})

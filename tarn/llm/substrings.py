@@ -5,18 +5,18 @@ also starts earlier, in order of (doc_id, start). Each document is cut into non-
 As WINDOW >= 2 * BLOCK - 1, every window holds a whole block of its own document, so a repeated window always shares a
 block of its first occurrence with a rolling BLOCK-word run of the other. Hence:
 
-1. *Index and probe.* Documents are dealt into groups of a few MB (the bytes of all texts are counted first) by a hash of doc_id. Each group sends the distinct hashes
+1. *Index and probe.* Documents are dealt into groups of a few MB (the bytes of all texts are counted first) by a hash of doc_id and text. Each group sends the distinct hashes
    of all its rolling runs of BLOCK words once, marked when one of them is a reference block (index) and when it occurs more
    than once in the group; hash buckets tell each group by one bit per hash which of them met a block elsewhere.
-2. *Extend.* Only windows around a met anchor go on. Each group sends the distinct hashes of these with the least doc_id;
-   the buckets answer with one bit: does an earlier document have it. Within a group earlier starts are known already.
+2. *Extend.* Only windows around a met anchor go on. Each group sends the distinct hashes of these with the least (doc_id, start);
+   the buckets answer with one bit: does another group have an earlier one. Within a group earlier starts are known already.
 3. Words covered by a later window go; unions of such windows are the maximal exact repeats.
 
 A passage of a third of all documents costs each group one entry, so no bucket and no task grows with a hot passage, and
 nothing but bits comes back. Texts are shuffled once (Spark reuses the exchange), positions never are.
 
 Nulls: null text has no words; null doc_id sorts before all others. Rows that repeat a doc_id are one place in the order: neither is earlier
-than the other at equal starts. Copies: all but the least doc_id lose every word if they have a window. Empty tables give no rows.
+than the other at equal starts. They are spread by their texts, so a doc_id, or none, in a third of all rows fills no task unless the texts are equal too. Copies: all but the least doc_id lose every word if they have a window. Empty tables give no rows.
 Hashes have 64 bits in step 2; equal hashes count as equal windows (for 10**12 windows the chance that any two clash is below 3 %).
 """
 
@@ -92,6 +92,14 @@ def _unplanes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
+def _unplanes32(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def _planes32(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
 def _entries(group: int, bucket: list, a: list, b: list) -> pa.Table:
     return pa.table({"grp": pa.array([group] * len(bucket), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
@@ -117,7 +125,7 @@ def _repeats(docs: DataFrame, doc_id: str, text: str, window: int, block: int, w
     size += 32 * n
     groups = max(32, size // GROUP_BYTES)
     buckets = 1 << max(6, (size // (1 << 22)).bit_length())
-    dealt = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(groups)).cast("int").alias("grp"), F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    dealt = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(groups)).cast("int").alias("grp"), F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
     spread = F.col("grp")
 
     def index(table: pa.Table) -> pa.Table:
@@ -147,19 +155,21 @@ def _repeats(docs: DataFrame, doc_id: str, text: str, window: int, block: int, w
             return _entries(0, [], [], [])
         words, ids = _group(left)
         kinds, pos, which, _ = _anchors(words, block)
-        _, _, _, kinds, _, doc, _ = _candidates(words, ids, _bits(right, kinds, buckets), pos, which, window, block)
+        _, _, _, kinds, _, doc, start = _candidates(words, ids, _bits(right, kinds, buckets), pos, which, window, block)
         at = _parts(kinds, buckets)
         full = [b for b in range(buckets) if at[b + 1] > at[b]]
-        return _entries(key[0].as_py(), full, [kinds[at[b] : at[b + 1]].tobytes() for b in full], [_planes(doc[at[b] : at[b + 1]]) for b in full])
+        return _entries(key[0].as_py(), full, [kinds[at[b] : at[b + 1]].tobytes() for b in full], [_planes(doc[at[b] : at[b + 1]]) + _planes32(start[at[b] : at[b + 1]]) for b in full])
 
     def earliest(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-        keys, doc = np.concatenate(own), np.concatenate([_unplanes(x) for x in table.column("b").to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+        places = [(_unplanes(x[: 8 * len(h)]), _unplanes32(x[8 * len(h) :])) for x, h in zip(table.column("b").to_pylist(), own, strict=True)]
+        keys, doc, start = np.concatenate(own), np.concatenate([x for x, _ in places]), np.concatenate([x for _, x in places])
+        order = np.lexsort((start, doc, keys))
+        keys, doc, start = keys[order], doc[order], start[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        least = np.flatnonzero(new)[np.cumsum(new) - 1]
         flags = np.empty(len(keys), bool)
-        flags[order] = least[np.cumsum(new) - 1] < doc[order]
+        flags[order] = (doc > doc[least]) | (start > start[least])
         return _answered(table, flags, [len(x) for x in own])
 
     def judge(key, left: pa.Table, right: pa.Table) -> pa.Table:

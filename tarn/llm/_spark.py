@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
             spark.sparkContext.setCheckpointDir(found)

@@ -11,7 +11,7 @@ Two ways to join, chosen by the measured size of the benchmark, with the same re
 * up to ``broadcast_bytes`` of benchmark text (a parameter, and a proven bound on what is sent), the sorted fingerprints and
   windows go to the executors and documents are scanned once, without a shuffle;
 * beyond it, fingerprints of documents and of items are joined by a shuffle, hits go back to their documents by key, and the
-  windows they extend to are joined with the items' windows by a second shuffle.
+  windows they extend to are joined with the items' windows by a second shuffle. Texts that are equal, by a 64-bit hash and their length, go as one.
 
 Nulls: null text has no words, a null ``item_id`` gives an item without a name: its words count as hit, it isn't listed.
 Empty benchmark: nothing is hit. Items with equal text are all listed; an ``item_id`` that repeats is listed once. Repeated

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,20 @@ def difference_hashes(spark, d):
     return T.read(spark, d, "embeddings").select("vec_id", gray.alias("gray")).select("vec_id", files.difference_hash().alias("dhash"))
 
 
+@query("""SELECT * FROM (VALUES ('CAL_001', 0.1::DOUBLE, 520::DOUBLE), ('CAL_002', 0.2::DOUBLE, 530::DOUBLE), ('CAL_003', 0.3::DOUBLE, 540::DOUBLE)) t(calibration_id, baseline, focal)""")
+def rig_documents(spark, d):
+    """SRC-12, SRC-03: calibration documents by id, an allow-list, and the shift in either spelling."""
+    path = workspace(spark, "rigs")
+    for k in range(1, 5):
+        name = "translation_vector_T" if k % 2 else "translation_vector_T_m"
+        doc = {"calibration_id": f"CAL_{k:03d}", "extrinsics": {name: [[0.0], [k / 10], [0.0]]}, "intrinsics_refined": {"K1": [[510.0 + 10 * k, 0, 320], [0, 515, 240], [0, 0, 1]]}}
+        files.write_text(spark, f"{path}/CAL_{k:03d}_stereo.json", json.dumps(doc))
+    rigs = files.read_rigs(spark, path, ["CAL_001", "CAL_002", "CAL_003"])
+    shift = F.flatten(F.coalesce("doc.extrinsics.translation_vector_T", "doc.extrinsics.translation_vector_T_m"))
+    size = F.sqrt(F.aggregate(shift, F.lit(0.0), lambda a, x: a + x * x))
+    return rounded(rigs.select("calibration_id", size.alias("baseline"), F.get(F.get("doc.intrinsics_refined.K1", F.lit(0)), F.lit(0)).alias("focal")))
+
+
 _CONFIG = "path: /data/x\ntrain: images/train # folder\nnc: 3\nrate: 0.5\nnames: [good, 'bad', 7]\nkpt_shape:\n  - 17\n  - 3\nflip:\n  left: 1\n  right: 2\n"
 
 

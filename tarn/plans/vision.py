@@ -156,6 +156,15 @@ def desk_pairs(spark, d):
     return chain.infer_pairs(_desk_pairs(spark, d))
 
 
+_ANSWER = """'{"a_extrapolated":' || a_ex || ',"b_extrapolated":' || b_ex || ',"status":"' || CASE WHEN reason = 'OK' THEN 'VALID' ELSE 'REJECTED' END || '","reason":"' || reason || '"}'"""
+
+
+@query(_SQL_DESK + f""", z AS (SELECT capture_id, a_ex, b_ex, CASE WHEN NOT a_has THEN 'CAM01: No person detected' WHEN NOT b_has THEN 'CAM02: No person detected' ELSE replace({_gate_sql(True)}, 'VALID_2D', 'OK') END AS reason FROM h) SELECT capture_id, {_ANSWER} AS value FROM z""")
+def pair_answers(spark, d):
+    """ORC-03: the answer to each pair as JSON, up to the model."""
+    return chain.as_json(chain.infer_pairs(_desk_pairs(spark, d)))
+
+
 @query(_SQL_DESK + """, w AS (SELECT *, (a_x5 + a_x6) / 2 AS cx, sqrt(pow(a_x6 - a_x5, 2) + pow(a_y6 - a_y5, 2)) AS w, (a_y5 + a_y6) / 2 - nose AS head FROM (SELECT h.*, p.a_y0 AS nose FROM h JOIN p USING (capture_id))),
 q AS (SELECT *, (cx - 950) / 700 AS dx, greatest(1, w) / 700 AS wr, greatest(0, head) / greatest(1, w) / 0.5 AS dr FROM w)
 SELECT capture_id, a_ex AS a_extrapolated, CASE WHEN capture_id % 3 = 0 THEN 'upright' WHEN dx > 0.15 THEN 'leaning_left' WHEN dx < -0.15 THEN 'leaning_right' WHEN wr >= 1.03 AND dr <= 0.92 THEN 'slouching' WHEN wr >= 1.07 THEN 'leaning_forward' WHEN wr <= 0.93 THEN 'leaning_backward' ELSE 'upright' END AS profile,

@@ -124,6 +124,16 @@ def written(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small document of the driver's (a calibration, a summary) at a path of any file system; SNK-05."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+
+
 def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, append: bool = False) -> None:
     """SNK-01..03: a fixed order of columns; a header also where no row is left. Appended rows must have the columns of those before them; the first append makes the table."""
     df = df.select(*(fields or df.columns))

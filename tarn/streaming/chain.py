@@ -90,8 +90,8 @@ def predict_stereo(pairs: DataFrame, rig: stereo.Rig, model: Fitted) -> DataFram
 
 
 def as_json(answers: DataFrame) -> DataFrame:
-    """ORC-03, ORC-04: one JSON text a capture; the fields of a rejected one are null."""
-    return answers.select("capture_id", F.to_json(F.struct("code", "label_pred", "confidence", "probs"), {"ignoreNullFields": "false"}).alias("value"))
+    """ORC-03, ORC-04: one JSON text a capture with all fields of its answer; what a rejected one lacks is null."""
+    return answers.select("capture_id", F.to_json(F.struct(*(c for c in answers.columns if c != "capture_id")), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def serve(stream: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import decontaminate, language, mixing, ngram_join, pii, secrets, substrings, token_counts, toxicity, winnowing
+from tarn.llm import alignment, byte_pairs, decontaminate, fill_middle, language, mixing, ngram_join, pii, secrets, substrings, token_counts, toxicity, winnowing
 from tarn.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,9 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": of(substrings.digest),
         "op9_decontamination": of(lambda docs, bench: decontaminate.digest(decontaminate.decontaminate(docs, bench, ["doc_id"])), "benchmark"),
         "op10_language": of(language.digest),
+        "op11_byte_pairs": of(byte_pairs.digest),
+        "op12_fill_middle": of(fill_middle.digest),
+        "op13_alignment": of(alignment.digest),
     }
 
 
@@ -36,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_token_counts": token_counts.ORACLE_SQL,
         "op8_substring_dedup": substrings.ORACLE_SQL,
         "op9_decontamination": decontaminate.ORACLE_SQL,
+        "op12_fill_middle": fill_middle.ORACLE_SQL,
     }

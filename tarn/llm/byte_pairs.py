@@ -3,7 +3,7 @@
 Encoding a word never depends on other words, so a corpus is cut into blocks of texts (``BLOCK_BYTES``), and each block's *distinct* words are replayed together (``REPLAY_WORDS`` at a time): their
 bytes lie in one flat array, an inverted index leads from each mergeable pair (named by the rank of its merge) to the positions where it stands, and merges are applied in rank order
 to exactly those positions. A merge touches its two neighbours only: their new pairs are entered in the index. Nothing is shuffled; memory is bounded by a block, the vocabulary and ``MEMO_WORDS`` words
-whose tokens a worker remembers between blocks (that saves time and changes no result).
+whose tokens a worker remembers between blocks, those met in most blocks (that saves time and changes no result).
 
 Edge cases: null counts as empty (no tokens, empty decoded text); a text of any length is encoded whole; a word of any length costs n log n; rows that repeat are encoded each; other columns are kept,
 and those named like a result are replaced by it. Texts are valid UTF-8, as Spark's strings are.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 #: words replayed together: their index and positions then fit in a core's cache, which takes half the time of all of a block's words at once
 REPLAY_WORDS = 4_000
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 MEMO_CHARS = 64
 
 
@@ -42,17 +42,25 @@ class Merges:
         self.words = regex.compile(pattern).findall
         self.single = np.array([self.rank[bytes([b])] for b in range(256)])
         # the merge of each pair of bytes, -1 if there is none
-        self.first = np.array([[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+        self.double = np.array([[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         self.pairs: dict[int, int] = {}  # what ``pair`` found, by both ids in one number
-        self.memo: dict[str, tuple[int, ...]] = {}
+        size = np.array([len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)])
+        self.size, self.start = size, np.cumsum(size) - size
+        self.data = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(size))), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        """The memo, empty: the number of each word, where its tokens lie in ``flat``, how many they are, and in how many blocks it was."""
+        self.memo: dict[str, int] = {}
+        self.flat, self.first, self.count, self.seen = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def pair(self, left: int, right: int) -> int:
         """The rank of the merge of two tokens, -1 if there is none."""
         found = self.pairs[left << 24 | right] = self.rank.get(self.bytes[left] + self.bytes[right], -1)
         return found
 
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The tokens of each word: all merges of the vocabulary, in rank order, over all words."""
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all words, number of each word's): all merges of the vocabulary, in rank order, over all words."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         # one slot before each word and one after the last keep words apart
         starts = np.cumsum(sizes + 1) - sizes
@@ -62,7 +70,7 @@ class Merges:
         token = self.single[data]
         token[gap] = -1
         now = np.full(len(data), -1)  # the merge that the pair starting here would be
-        now[:-1] = np.where(gap[:-1] | gap[1:], -1, self.first[data[:-1], data[1:]])
+        now[:-1] = np.where(gap[:-1] | gap[1:], -1, self.double[data[:-1], data[1:]])
         at = np.flatnonzero(now >= 0)
         at = at[np.argsort(now[at], kind="stable")]
         found, begin = np.unique(now[at], return_index=True)
@@ -126,37 +134,62 @@ class Merges:
                         late = after[late]
         tokens = np.array(token)
         alive = np.concatenate([[0], np.cumsum(tokens >= 0)])
-        flat = tokens[tokens >= 0].tolist()
-        return [tuple(flat[i:j]) for i, j in zip(alive[starts].tolist(), alive[starts + sizes].tolist(), strict=True)]
-
-    def learn(self, words: set[str]) -> None:
-        """Fill the memo with the tokens of new words. A word that is a token itself is that token."""
-        new = []
-        for w in words:
-            raw = w.encode()
-            whole = self.rank.get(raw)
-            if whole is None:
-                new.append((w, raw))
-            else:
-                self.memo[w] = (whole,)
-        for i in range(0, len(new), REPLAY_WORDS):
-            some = new[i : i + REPLAY_WORDS]
-            self.memo.update(zip((w for w, _ in some), self.replay([raw for _, raw in some]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.words(t) for t in texts]
+        return tokens[tokens >= 0].astype(np.int32), alive[starts + sizes] - alive[starts]
+
+    def learn(self, words: list[str]) -> None:
+        """Add new words to the memo. A word that is a token itself is that token."""
+        raw = [w.encode() for w in words]
+        whole = np.fromiter((self.rank.get(r, -1) for r in raw), np.int64, len(raw))
+        known, rest = np.flatnonzero(whole >= 0), np.flatnonzero(whole < 0)
+        tokens, counts = [whole[known].astype(np.int32)], [np.ones(len(known), np.int64)]
+        for i in range(0, len(rest), REPLAY_WORDS):
+            t, c = self.replay([raw[j] for j in rest[i : i + REPLAY_WORDS].tolist()])
+            tokens.append(t)
+            counts.append(c)
+        begin = len(self.count)
+        self.memo.update(zip((words[j] for j in np.concatenate([known, rest]).tolist()), range(begin, begin + len(words)), strict=True))
+        self._keep(np.concatenate([self.flat, *tokens]), np.concatenate([self.count, *counts]), np.concatenate([self.seen, np.zeros(len(words), np.int64)]))
+
+    def _keep(self, flat: np.ndarray, count: np.ndarray, seen: np.ndarray) -> None:
+        self.flat, self.count, self.seen = flat, count, seen
+        self.first = np.cumsum(count) - count
+
+    def _tidy(self, long: list[str]) -> None:
+        """Drop long words, and when the memo is full those met in the fewest blocks."""
+        if len(self.memo) <= MEMO_WORDS and not long:
+            return
+        stay = np.ones(len(self.count), bool)
+        stay[[self.memo[w] for w in long]] = False
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = set(chain.from_iterable(cut)).difference(self.memo)
-        self.learn(new)
-        out = [list(chain.from_iterable(map(self.memo.__getitem__, words))) for words in cut]
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                del self.memo[w]
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+            stay[np.argsort(-self.seen, kind="stable")[MEMO_WORDS // 2 :]] = False
+            self.seen //= 2
+        number = np.cumsum(stay) - 1
+        self.memo = {w: int(number[i]) for w, i in self.memo.items() if stay[i]}
+        self._keep(self.flat[np.repeat(stay, self.count)], self.count[stay], self.seen[stay])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all texts, number of each text's)."""
+        cut = [self.words(t) for t in texts]
+        words = list(chain.from_iterable(cut))
+        new = list(set(words).difference(self.memo))
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        self.seen[np.unique(at)] += 1
+        size = self.count[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+        self._tidy([w for w in new if len(w) > MEMO_CHARS])
+        return ids, np.diff(upto)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all tokens, how many bytes lie before each and in all)."""
+        size = self.size[ids]
+        if (size == 0).any():
+            raise ValueError("an id is not in the vocabulary")
+        ends = np.cumsum(size)
+        return self.data[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate([[0], ends])
 
 
 @functools.lru_cache(4)
@@ -187,12 +220,12 @@ def encoder(ranks_path: str, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = merges(ranks, pattern)
         for batch in batches:
-            values, sizes = [], [0]
+            values, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
             for block in blocks(batch.to_pylist()):
-                ids = known.encode(block)
-                sizes += map(len, ids)
-                values.append(np.fromiter(chain.from_iterable(ids), np.int32))
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
+                ids, count = known.encode(block)
+                values.append(ids)
+                sizes.append(count)
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(values)))
 
     return encode
 
@@ -205,7 +238,15 @@ def decoder(ranks_path: str, pattern: str):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = merges(ranks, pattern)
         for batch in batches:
-            yield pa.array([known.decode(ids or ()) for ids in batch.to_pylist()], pa.binary())
+            ids = batch.flatten().to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(batch.value_lengths().fill_null(0).to_numpy())])
+            parts, i = [], 0
+            while i < len(batch):
+                j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_BYTES, "right")) - 1)
+                data, before = known.decode(ids[at[i] : at[j]])
+                parts.append(pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(before[at[i : j + 1] - at[i]].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]))
+                i = j
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return decode
 

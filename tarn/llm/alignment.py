@@ -7,14 +7,18 @@ Where the work goes: texts are encoded and aligned where they lie, and what the
 their shuffle. To score, no more than ``HOT_PAIRS`` pairs, those of the highest counts, are sent to every task as sorted arrays (20 bytes a pair); a text's pairs that aren't among them are shuffled to the rest of the counts. Both ways give
 the same sums, and the second is left out when there is no such pair.
 
-Edge cases: texts that are null or empty, or that either tokeniser can't give back byte for byte (B normalises some), have no tokens: zeros, and '' for the groups. Rows that repeat count as documents of their own. Texts are encoded whole. Other columns are
-kept; those named like a result are replaced.
+Edge cases: texts that are null or empty, or that either tokeniser can't give back byte for byte (B normalises some), have no tokens: zeros, and '' for the groups. Rows that repeat count as documents of their own. Texts are encoded whole. Columns that are
+kept may have any names but those of the results.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -22,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._spark import cut, shared_dir
+from tarn.llm._spark import by_text, cut, shared_dir
 from tarn.llm.byte_pairs import blocks
 
 #: pairs whose counts every task gets, at most
 HOT_PAIRS = 1 << 20
 #: ids are below this, so a document of a block and a pair fit in 64 bits
 _IDS = 1 << 20
-_ALIGNED = "struct<a array<int>, b array<int>, a_ends array<int>, b_ends array<int>>"
-_LINKED = "struct<n_links bigint, groups string, pairs array<bigint>, times array<bigint>>"
+#: texts whose tokens are held at once, in characters (a longer text stands alone)
+BLOCK_CHARS = 1 << 18
 
 
 def _letters_of_bytes() -> dict[str, int]:
@@ -62,20 +66,49 @@ class Both:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.a_size = np.array([len(t) for t in self.a_bytes])
-        self.b_size = np.array([len(t) for t in self.b_bytes])
+        self.a_tokens, self.b_tokens = Tokens(self.a_bytes), Tokens(self.b_bytes)
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Tokens of both; none where a text is empty or isn't given back."""
+    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(tokens of all texts, where each text's begin, and end) of both; none where a text is empty or isn't given back."""
         spaced = [" " + t for t in texts]
-        ours = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        theirs = self.b.encode(texts, num_threads=1)
-        out = []
-        for text, a, b in zip(spaced, ours, theirs, strict=True):
-            raw = text.encode()
-            same = len(raw) > 1 and b"".join(map(self.b_bytes.__getitem__, b)) == raw and b"".join(map(self.a_bytes.__getitem__, a)) == raw
-            out.append((a, b) if same else ([], []))
-        return out
+        raw = [t.encode() for t in spaced]
+        ours = _flat([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
+        theirs = _flat(self.b.encode(texts, num_threads=1))
+        want, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        same = np.diff(ends) > 1
+        for (ids, at), tokens in ((ours, self.a_tokens), (theirs, self.b_tokens)):
+            got, before = tokens.joined(ids)
+            if len(got) == len(want) and (before[at] == ends).all():
+                off = np.flatnonzero(got != want)
+                same[np.searchsorted(ends, off, "right") - 1] = False
+            else:
+                same &= np.array([got[i:j].tobytes() == r for r, i, j in zip(raw, before[at[:-1]], before[at[1:]], strict=True)])
+        return (ours, theirs) if same.all() else (_only(ours, same), _only(theirs, same))
+
+
+class Tokens:
+    """The bytes of each token of a vocabulary, one after the other."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens])
+        self.start, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all tokens, how many lie before each token, and in all)."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.data[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate([[0], ends])
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.cumsum([0, *map(len, ids)])
+    return np.fromiter(chain.from_iterable(ids), np.int32, at[-1]), at
+
+
+def _only(tokens: tuple[np.ndarray, np.ndarray], same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, at = tokens
+    per = np.diff(at)
+    return ids[np.repeat(same, per)], np.concatenate([[0], np.cumsum(per * same)])
 
 
 @functools.lru_cache(2)
@@ -95,31 +128,41 @@ def groups(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(border) + 1, beyond[border]
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", made: str = "alignment") -> DataFrame:
-    """Adds ``made``: the token ids of both and, for each group, how many tokens of each lie up to its end. The driver reads both vocabularies (about 2 MB) and sends them with the plan."""
+class Aligned:
+    """The tokens and groups of a block of texts: ids ``a`` and ``b``, and how many tokens of each lie up to each group's end; ``a_at``, ``b_at`` and ``g_at`` say where each text's begin, and end."""
+
+    def __init__(self, known: Both, texts: list[str]):
+        (self.a, self.a_at), (self.b, self.b_at) = known.encode(texts)
+        self.a_ends, self.b_ends = groups(known.a_tokens.size[self.a], known.b_tokens.size[self.b])  # texts end where groups do
+        self.g_at = np.searchsorted(self.a_ends, self.a_at, "right")
+
+    def lists(self) -> list[pa.ListArray]:
+        """Both ids and both ends, the latter counted from the text's beginning, a list for each text."""
+        per = np.diff(self.g_at)
+        parts = (self.a, self.a_at), (self.b, self.b_at), (self.a_ends - np.repeat(self.a_at[:-1], per), self.g_at), (self.b_ends - np.repeat(self.b_at[:-1], per), self.g_at)
+        return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.astype(np.int32))) for values, at in parts]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """``make`` of the texts (last column) of each block of a batch, beside the block's other columns."""
+    for batch in batches:
+        i = 0
+        for block in blocks(batch.column(batch.num_columns - 1).to_pylist(), BLOCK_CHARS):
+            made = make(block)
+            part = batch.slice(i, len(block))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made.values()], [*batch.schema.names[:-1], *made])
+            i += len(block)
+
+
+def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, then the token ids ``a`` and ``b`` and, for each group, how many tokens of each lie up to its end: ``a_ends``, ``b_ends``. The driver reads both vocabularies (about 2 MB) and sends them with the plan."""
     a_json, b_model = Path(a_path).read_bytes(), Path(b_path).read_bytes()
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches):
         known = both(a_json, b_model)
-        for batch in batches:
-            values: tuple[list, ...] = ([], [], [], [])
-            sizes: tuple[list, ...] = ([0], [0], [0], [0])
-            for block in blocks(batch.to_pylist()):
-                coded = known.encode(block)
-                a, b = (np.fromiter((i for pair in coded for i in pair[k]), np.int32) for k in (0, 1))
-                na, nb = (np.cumsum([0, *(len(pair[k]) for pair in coded)]) for k in (0, 1))
-                a_ends, b_ends = groups(known.a_size[a], known.b_size[b])  # texts end where groups do
-                upto = np.searchsorted(a_ends, na, "right")
-                per = np.diff(upto)
-                parts = (a, b, a_ends - np.repeat(na[:-1], per), b_ends - np.repeat(nb[:-1], per))
-                for v, s, part, count in zip(values, sizes, parts, (np.diff(na), np.diff(nb), per, per), strict=True):
-                    v.append(part.astype(np.int32))
-                    s.extend(count.tolist())
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum(s), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *v]))) for v, s in zip(values, sizes, strict=True)]
-            yield pa.StructArray.from_arrays(lists, ["a", "b", "a_ends", "b_ends"])
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn(made, F.arrow_udf(run, _ALIGNED)(F.col(f"`{text}`")))
+        return _by_block(batches, lambda texts: dict(zip(("a", "b", "a_ends", "b_ends"), Aligned(known, texts).lists(), strict=True)))
+
+    return by_text(docs, keep, text, run, "a array<int>, b array<int>, a_ends array<int>, b_ends array<int>")
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,53 +190,52 @@ def _links(a: np.ndarray, b: np.ndarray, doc: np.ndarray, na: np.ndarray, nb: np
     return key[begin], np.add.reduceat(times, begin) if len(begin) else times
 
 
-_DOCS = 1 << 12  # texts whose links are made at once; with _IDS twice, under 2**63
-
-
-def links(aligned: DataFrame, alignment: str = "alignment", made: str = "links") -> DataFrame:
-    """Adds ``made``: the number of links, the groups as text (``a1,a2|b1;a3|b2,b3``), and the distinct linked pairs (A id * 2**20 + B id) with the number of times each occurs."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        signs = [np.array([f"{i}{s}" for i in range(1 << 16)], object) for s in (",", "|", ";")]
-
-        def text(ids: np.ndarray, sign: int) -> np.ndarray:
-            if len(ids) and ids.max() >= 1 << 16:
-                return np.array([f"{i}{',|;'[sign]}" for i in ids.tolist()], object)
-            return signs[sign][ids]
-
-        for batch in batches:
-            (a, a_at), (b, b_at), (a_ends, g_at), (b_ends, _) = (_lists(batch.field(k)) for k in range(4))
-            strings, counts, pairs, times, sizes = [], [], [], [], [0]
-            i = 0
-            while i < len(batch):
-                # texts of about half a million tokens, or one longer text
-                j = min(max(i + 1, int(np.searchsorted(a_at, a_at[i] + (1 << 19), "right")) - 1), i + _DOCS, len(batch))
-                per = np.diff(g_at[i : j + 1])
-                doc = np.repeat(np.arange(j - i), per)
-                ga, gb = a_ends[g_at[i] : g_at[j]] + a_at[i:j][doc] - a_at[i], b_ends[g_at[i] : g_at[j]] + b_at[i:j][doc] - b_at[i]
-                na, nb = np.diff(ga, prepend=0), np.diff(gb, prepend=0)
-                ours, theirs = a[a_at[i] : a_at[j]], b[b_at[i] : b_at[j]]
-                key, n = _links(ours, theirs, doc, na, nb)
-                pairs.append(key % (_IDS * _IDS))
-                times.append(n)
-                sizes += np.bincount(key // (_IDS * _IDS), minlength=j - i).tolist()
-                counts.append(np.bincount(doc, na * nb, j - i).astype(np.int64))
-                # tokens in the order of the text: those of A, then those of B, group by group
-                words = np.empty(len(ours) + len(theirs), object)
-                own, other = text(ours, 0), text(theirs, 0)
-                own[ga - 1], other[gb - 1] = text(ours[ga - 1], 1), text(theirs[gb - 1], 2)
-                words[np.arange(len(ours)) + np.repeat(gb - nb, na)] = own
-                words[np.arange(len(theirs)) + np.repeat(ga, nb)] = other
-                words = words.tolist()
-                bounds = (a_at[i : j + 1] - a_at[i] + b_at[i : j + 1] - b_at[i]).tolist()
-                strings += ["".join(words[p:q])[:-1] for p, q in zip(bounds, bounds[1:], strict=False)]
-                i = j
-            offsets = pa.array(np.cumsum(sizes), pa.int32())
-            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (pairs, times)]
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *counts])), pa.array(strings, pa.string()), *(pa.ListArray.from_arrays(offsets, x) for x in flat)], ["n_links", "groups", "pairs", "times"])
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return aligned.withColumn(made, F.arrow_udf(run, _LINKED)(F.col(f"`{alignment}`")))
+def _names(ids: np.ndarray, last: np.ndarray, end: str) -> np.ndarray:
+    """Decimal ids, each with a comma after it, or ``end`` after the last of its group."""
+    names = _decimal(",")[ids]
+    names[last] = _decimal(end)[ids[last]]
+    return names
+
+
+@functools.lru_cache(3)
+def _decimal(end: str) -> np.ndarray:
+    return np.array([f"{i}{end}" for i in range(1 << 16)], object)
+
+
+def linked(block: Aligned) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of a block: the number of links and the groups as text (``a1,a2|b1;a3|b2,b3``); then the distinct linked pairs (A id * 2**20 + B id), how often each occurs, and where each text's begin, and end."""
+    a, b, ga, gb = (x.astype(np.int64) for x in (block.a, block.b, block.a_ends, block.b_ends))
+    texts = len(block.a_at) - 1
+    doc = np.repeat(np.arange(texts), np.diff(block.g_at))
+    na, nb = np.diff(ga, prepend=0), np.diff(gb, prepend=0)
+    key, times = _links(a, b, doc, na, nb)
+    upto = np.searchsorted(key, np.arange(texts + 1) * _IDS * _IDS)
+    count = np.zeros(texts, np.int64)
+    np.add.at(count, doc, na * nb)
+    # tokens in the order of the text: those of A, then those of B, group by group
+    words = np.empty(len(a) + len(b), object)
+    words[np.arange(len(a)) + np.repeat(gb - nb, na)] = _names(a, ga - 1, "|")
+    words[np.arange(len(b)) + np.repeat(ga, nb)] = _names(b, gb - 1, ";")
+    words, bounds = words.tolist(), (block.a_at + block.b_at).tolist()
+    return count, ["".join(words[p:q])[:-1] for p, q in itertools.pairwise(bounds)], key % (_IDS * _IDS), times, upto
+
+
+def links(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, then n_a, n_b, n_groups, n_links, groups_sha256 ('' without tokens) and the distinct linked ``pairs`` with the ``times`` each occurs; a block at a time, from texts to counts."""
+    a_json, b_model = Path(a_path).read_bytes(), Path(b_path).read_bytes()
+
+    def row(block: Aligned) -> dict[str, pa.Array]:
+        count, names, pairs, times, upto = linked(block)
+        sha = [hashlib.sha256(n.encode()).hexdigest() if n else "" for n in names]
+        lists = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(x)) for x in (pairs, times)]
+        sizes = {n: pa.array(np.diff(at)) for n, at in (("n_a", block.a_at), ("n_b", block.b_at), ("n_groups", block.g_at))}
+        return sizes | {"n_links": pa.array(count), "groups_sha256": pa.array(sha, pa.string()), "pairs": lists[0], "times": lists[1]}
+
+    def run(batches):
+        known = both(a_json, b_model)
+        return _by_block(batches, lambda texts: row(Aligned(known, texts)))
+
+    return by_text(docs, keep, text, run, "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<bigint>")
 
 
 def pair_counts(linked: DataFrame, pairs: str = "pairs") -> DataFrame:
@@ -250,12 +292,7 @@ def scored(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text: str
     spark = docs.sparkSession
     names = [f"k{i}" for i in range(len(keep))]
     plain = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)), F.col(f"`{text}`").alias("text"))
-    made = links(align(plain, a_path, b_path).drop("text"))
-    size = lambda c: F.size(f"alignment.{c}").cast("long")
-    sha = F.when(F.col("links.groups") == "", "").otherwise(F.sha2(F.col("links.groups").cast("binary"), 256))
-    made = made.select(F.monotonically_increasing_id().alias("row"), *names, size("a").alias("n_a"), size("b").alias("n_b"), size("a_ends").alias("n_groups"), "links.n_links", sha.alias("groups_sha256"), "links.pairs", "links.times")
-    import uuid
-
+    made = links(plain, a_path, b_path, names).withColumn("row", F.monotonically_increasing_id())
     where = f"{shared_dir(spark)}/alignment-{uuid.uuid4().hex}"
     made.write.parquet(where)
     kept = spark.read.parquet(where)

@@ -262,8 +262,9 @@ def test_alignment_of_a_corpus(short, hot):
 def test_aligned_tokens_are_real(odd):
     """Groups cut both token lists; the bytes on both sides of each are equal."""
     known = alignment.both(open(A, "rb").read(), open(B, "rb").read())
-    for r in alignment.align(odd, A, B).collect():
-        ours, theirs, a_ends, b_ends = r.alignment
+    rows = alignment.align(odd, A, B, ["doc_id"]).collect()
+    assert len(rows) == odd.count()
+    for _, ours, theirs, a_ends, b_ends in rows:
         assert len(a_ends) == len(b_ends) and (not a_ends or (a_ends[-1], b_ends[-1]) == (len(ours), len(theirs)))
         i = j = 0
         for p, q in zip(a_ends, b_ends, strict=True):

@@ -1,30 +1,30 @@
-"""Training and prediction on pose features with Spark's own learners; scores differ from other libraries' trees, so tests hold them to properties.
+"""Training and prediction on pose features: boosted trees of this library (``boosting``), forests and perceptrons of Spark's.
 
-Folds are fitted one after the other from the driver, each fit being distributed. Medians and scales come from training rows alone.
+Each fit is distributed; the folds of an evaluation, and the draws of a search, are fitted several at a time. Medians and scales come from training rows alone.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-META = ("label", "y", "fold")
+from tarn.operators import boosting
+from tarn.operators.relational import medians
+
 LEARNERS = ("boosted", "forest", "perceptron")
 
 
 def learner(kind: str, width: int, classes: int, weighted: bool = False, **p):
-    """ML-03..06: boosted trees (one against the rest), a forest or a perceptron."""
+    """ML-05, ML-06: a forest or a perceptron."""
     cols = {"featuresCol": "_v", "labelCol": "_y", "predictionCol": "_p"}
-    if kind == "boosted":
-        base = GBTClassifier(featuresCol="_v", labelCol="_y", maxIter=p.get("rounds", 20), maxDepth=p.get("depth", 4), stepSize=p.get("rate", 0.1), subsamplingRate=p.get("rows", 0.8), featureSubsetStrategy=str(p.get("columns", 0.8)), seed=42)
-        return OneVsRest(classifier=base, parallelism=2, **cols, **({"weightCol": "_w"} if weighted else {}))
     if kind == "forest":
         return RandomForestClassifier(numTrees=p.get("trees", 50), maxDepth=p.get("depth", 6), seed=42, rawPredictionCol="_raw", probabilityCol="_prob", **cols, **({"weightCol": "_w"} if weighted else {}))
     if kind == "perceptron":
@@ -46,51 +46,67 @@ class Fitted:
         return df.withColumns(out)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Adds ``label_pred``, ``probs`` (class name to probability) and ``confidence``. One-against-rest margins become probabilities by a soft maximum."""
-        out = self.model.transform(self.prepared(df))
+        """Adds ``label_pred``, ``probs`` (class name to probability) and ``confidence``. Ties go to the earlier class."""
         names = F.array(*map(F.lit, self.classes))
-        if "_prob" in out.columns:
-            p = vector_to_array("_prob")
+        if isinstance(self.model, boosting.Boosted):
+            out = self.prepared(df)
+            out = out.withColumn("_q", self.model.predicted(*(F.col(f"_f_{c}") for c in self.features)))
+            best = F.array_position("_q", F.array_max("_q")).cast("int")
         else:
-            e = F.transform(vector_to_array("rawPrediction"), lambda v: F.exp(F.least(F.greatest(v, F.lit(-30.0)), F.lit(30.0))))
-            p = F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
-        out = out.withColumn("_q", F.slice(p, 1, len(self.classes)))
-        return out.select(*df.columns, F.element_at(names, (F.col("_p") + 1).cast("int")).alias("label_pred"), F.map_from_arrays(names, "_q").alias("probs"), F.array_max("_q").alias("confidence"))
+            out = self.model.transform(self.prepared(df))
+            out = out.withColumn("_q", F.slice(vector_to_array("_prob"), 1, len(self.classes)))
+            best = (F.col("_p") + 1).cast("int")
+        return out.select(*df.columns, F.element_at(names, best).alias("label_pred"), F.map_from_arrays(names, "_q").alias("probs"), F.array_max("_q").alias("confidence"))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.active()
-        meta = json.dumps({"features": self.features, "classes": self.classes, "medians": self.medians, "scales": self.scales})
+        trees = self.model.to_json() if isinstance(self.model, boosting.Boosted) else None
+        if trees is None:
+            self.model.write().overwrite().save(f"{path}/model")
+        meta = json.dumps({"features": self.features, "classes": self.classes, "medians": self.medians, "scales": self.scales, "trees": trees})
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @classmethod
     def load(cls, spark, path: str) -> Fitted:
         m = json.loads(spark.read.text(f"{path}/metadata").first().value)
-        return cls(PipelineModel.load(f"{path}/model"), m["features"], m["classes"], m["medians"], {k: tuple(v) for k, v in m["scales"].items()})
+        model = boosting.Boosted.from_json(m["trees"]) if m.get("trees") else PipelineModel.load(f"{path}/model")
+        return cls(model, m["features"], m["classes"], m["medians"], {k: tuple(v) for k, v in m["scales"].items()})
 
 
-def fit(train: DataFrame, features: list[str], classes: list[str], kind: str, weights: dict[str, float] | None = None, **params) -> Fitted:
-    """ML-09. Rows whose label is not in ``classes`` are left out. A feature that is NULL in all rows is dropped. Weights are by class (SPL-09)."""
+def fit(train: DataFrame, features: list[str], classes: list[str], kind: str, weights: dict[str, float] | None = None, key: str = "capture_id", **params) -> Fitted:
+    """ML-09. Rows whose label is not in ``classes`` are left out. A feature that is NULL in all rows is dropped. Weights are by class (SPL-09). For boosted trees ``params`` are those of ``boosting.Params``, and ``key`` names the rows that are drawn together."""
     train = train.filter(F.col("label").isin(classes))
-    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in features]
-    med = train.agg(*(F.percentile(x, F.lit(0.5)).alias(c) for c, x in zip(features, clean, strict=True))).first()
-    features = [c for c in features if med is not None and med[c] is not None]
+    found = medians(train, features)
+    features = [c for c in features if found[c] is not None]
     if not features:
         raise ValueError("no feature has a value in the training rows")
-    medians = {c: float(med[c]) for c in features}
-    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(medians[c])) for c in features]
+    found = {c: found[c] for c in features}
+    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(found[c])) for c in features]
     st = train.agg(*(F.avg(x).alias(f"a_{c}") for c, x in zip(features, filled, strict=True)), *(F.stddev_pop(x).alias(f"s_{c}") for c, x in zip(features, filled, strict=True))).first()
-    made = Fitted(None, features, list(classes), medians, {c: (float(st[f"a_{c}"]), float(st[f"s_{c}"])) for c in features})
-    y = F.coalesce(*(F.when(F.col("label") == n, float(i)) for i, n in enumerate(classes)))
+    made = Fitted(None, features, list(classes), found, {c: (float(st[f"a_{c}"]), float(st[f"s_{c}"])) for c in features})
     w = F.coalesce(*(F.when(F.col("label") == n, float(v)) for n, v in (weights or {}).items()), F.lit(1.0))
+    ready = made.prepared(train)
+    if kind == "boosted":
+        named = ready.select(F.col(key), "label", w.alias("_w"), *(F.col(f"_f_{c}") for c in features))
+        made.model = boosting.fit(named, [f"_f_{c}" for c in features], list(classes), boosting.Params(**params), [key], weight="_w")
+        made.model.features = list(features)
+        return made
+    y = F.coalesce(*(F.when(F.col("label") == n, float(i)) for i, n in enumerate(classes)))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_v"), learner(kind, len(features), len(classes), bool(weights), **params)])
-    made.model = pipe.fit(made.prepared(train).withColumns({"_y": y, "_w": w}))
+    made.model = pipe.fit(ready.withColumns({"_y": y, "_w": w}))
     return made
 
 
+def at_once(tasks: list[Callable], threads: int = 4) -> list:
+    """Results of independent fits, several of them on the cluster at a time, in order."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(lambda f: f(), tasks))
+
+
 def out_of_fold(df: DataFrame, features: list[str], classes: list[str], kind: str, folds: list[int], **params) -> DataFrame:
     """ML-08: each row predicted by the model that didn't see its fold, in one schema for all learners: ``model``, ``fold``, ``label_true``, ``label_pred``, ``probs``, ``confidence``."""
-    parts = [fit(df.filter(F.col("fold") != k), features, classes, kind, **params).predict(df.filter(F.col("fold") == k)) for k in folds]
+    fits = at_once([lambda k=k: fit(df.filter(F.col("fold") != k), features, classes, kind, **params) for k in folds])
+    parts = [m.predict(df.filter(F.col("fold") == k)) for k, m in zip(folds, fits, strict=True)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -110,14 +126,23 @@ def draws(space: dict[str, list], n: int, seed: int = 42) -> Iterator[dict]:
             yield {k: v[i] for (k, v), i in zip(space.items(), pick, strict=True)}
 
 
-def search(df: DataFrame, features: list[str], classes: list[str], kind: str, space: dict[str, list], n: int, folds: list[int]) -> tuple[dict, float]:
-    """ML-07: the draw with the best mean macro F1 over grouped inner folds (ties: the first)."""
+def search(df: DataFrame, features: list[str], classes: list[str], kind: str, space: dict[str, list], n: int, folds: list[int], halve_at: tuple[int, ...] = ()) -> tuple[dict, float]:
+    """ML-07: the draw with the best mean macro F1 over grouped inner folds (ties: the first). Boosted draws are trained in the same passes (``boosting.search``; values that are missing stay missing), those of other learners several at a time over one cached table."""
     from tarn.operators.evaluate import summary
 
-    best = ({}, -1.0)
-    for params in draws(space, n):
-        oof = out_of_fold(df, features, classes, kind, folds, **params)
-        score = summary(oof.select("fold", F.col("label_true").alias("y"), F.col("label_pred").alias("p")), "fold").agg(F.avg("macro_f1")).first()[0]
-        if score is not None and score > best[1]:
-            best = (params, float(score))
-    return best
+    picks = list(draws(space, n))
+    if kind == "boosted":
+        found = boosting.search(df, features, classes, [boosting.Params(**p) for p in picks], folds, ["capture_id"], halve_at=halve_at)
+        scores = [s if whole else -1.0 for _, s, _, whole in found]
+    else:
+        rows = df.select("capture_id", "fold", "label", *features).cache()
+
+        def score(params: dict) -> float:
+            oof = out_of_fold(rows, features, classes, kind, folds, **params)
+            found = summary(oof.select("fold", F.col("label_true").alias("y"), F.col("label_pred").alias("p")), "fold").agg(F.avg("macro_f1")).first()[0]
+            return -1.0 if found is None else float(found)
+
+        scores = at_once([lambda p=p: score(p) for p in picks])
+        rows.unpersist()
+    best = max(range(len(picks)), key=lambda i: (scores[i], -i))
+    return picks[best], scores[best]

@@ -47,52 +47,80 @@ def groups_in_order(sizes: DataFrame, key: str, n: str, total: int, seed: str =
     return a.select(key, n, F.when(F.col("in_train"), "train").when(F.col("rest") < int(total * valid), "valid").otherwise("test").alias("split"))
 
 
-def exact_median(df: DataFrame, col: str, *by: str, enough: int = 100_000, grid: int = 128) -> DataFrame:
-    """AGG-14: (by, median) of the values that are neither NULL nor NaN, exact (the mean of the middle two), without a group's values in one task's memory.
-
-    Each round keeps a sketch of quantiles a group, which brackets the middle, and counts what lies below the bracket; when at most ``enough`` values (or only equal ones) are in it, they are
-    sorted. One scan a round, and rounds grow with the logarithm of the rows."""
-    names = [f"_b{i}" for i in range(len(by))] or ["_b0"]
-    same = lambda p: reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"{p}{n}")) for n in names))
-    keys = [F.col(c) for c in by] or [F.lit(0)]
-    x = df.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    points = [i / grid for i in range(grid + 1)]
-    state = None
+#: quantile sketches are off by at most one rank in so many
+ACCURACY = 10_000
+#: distinct values that may be sorted together
+ENOUGH = 100_000
+
+
+def _numbers(df: DataFrame, cols: list[str], by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Columns v0, v1, ... without NaN beside the keys b0, b1, ..."""
+    keys = [f"b{i}" for i in range(len(by))]
+    values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]
+    return df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)), *values), keys
+
+
+def _grouped_medians(df: DataFrame, cols: list[str], by: list[str], enough: int) -> DataFrame:
+    """(b0, b1, ..., c, median) of column number c, rows without a value left out.
+
+    One scan sketches all columns and brackets each one's middle; a second counts, below the bracket, and value by value within it, combined before the shuffle. So equal values cost one row, and what is left are two ten-thousandths of the distinct
+    values. While more than ``enough`` are left for a median, they are cut into runs of which one goes on."""
+    x, keys = _numbers(df, cols, by)
+    wide = [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY]
+    one = x.groupBy(*keys).agg(*(F.struct(F.count(f"v{i}").alias("n"), F.percentile_approx(f"v{i}", wide, ACCURACY).alias("q")).alias(f"s{i}") for i in range(len(cols))))
+    names = [f"s{i}" for i in range(len(cols))]
+    if keys:
+        one = cut(one)
+        met = x.join(one.select(*(F.col(k).alias(f"o{k}") for k in keys), *names), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"o{k}")) for k in keys)))
+        bounds = [(F.col(f"s{i}.q")[0], F.col(f"s{i}.q")[1]) for i in range(len(cols))]
+        sizes = one.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"s{i}.n").alias("n")) for i in range(len(cols))))).alias("s")).select(*keys, "s.*")
+    else:
+        row = one.first()
+        met = x
+        edges = [row[n].q or [None, None] for n in names]
+        bounds = [tuple(F.lit(v).cast("double") for v in e) for e in edges]
+        sizes = df.sparkSession.createDataFrame([(i, row[n].n) for i, n in enumerate(names)], "c int, n bigint")
+    at = lambda i: F.when(F.col(f"v{i}") < bounds[i][0], float("-inf")).when(F.col(f"v{i}") <= bounds[i][1], F.col(f"v{i}"))
+    each = met.select(*keys, F.explode(F.filter(F.array(*(F.struct(F.lit(i).alias("c"), at(i).alias("v")) for i in range(len(cols)))), lambda s: s["v"].isNotNull())).alias("s"))
+    left = cut(each.groupBy(*keys, F.col("s.c").alias("c"), F.col("s.v").alias("v")).agg(F.count("*").alias("m")))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"o{k}")) for k in keys), F.col("c") == F.col("oc"))
+    sizes = sizes.filter("n > 0").withColumnsRenamed({k: f"o{k}" for k in [*keys, "c"]})
     while True:
-        if state is None:
-            y = x.withColumns({"_n": F.lit(None).cast("bigint"), "_below": F.lit(0).cast("bigint"), "_lo": F.lit(float("-inf")), "_hi": F.lit(float("inf"))})
-        else:
-            open_ = state.filter("not _done").select(*(F.col(n).alias(f"o{n}") for n in names), "_n", "_lo", "_hi")
-            # ranks are counted anew from the rows, so a sketch that is off costs a round, never the result
-            y = x.join(open_, same("o")).drop(*(f"o{n}" for n in names)).withColumn("_below", F.lit(None).cast("bigint"))
-        inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
-        stat = y.groupBy(*names, "_lo", "_hi").agg(
-            F.count("*").alias("_n"), F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_m"), F.min(F.when(inside, F.col("_x"))).alias("_min"), F.max(F.when(inside, F.col("_x"))).alias("_max"),
-            F.percentile_approx(F.when(inside, F.col("_x")), points, 10_000).alias("_q"),
-        )
-        low, high = F.floor((F.col("_n") - 1) / 2) - F.col("_below"), F.floor(F.col("_n") / 2) - F.col("_below")
-        cell = lambda rank: rank / F.col("_m") * grid
-        hit = (low >= 0) & (high < F.col("_m"))
-        lo = F.get("_q", F.greatest(F.lit(0), F.floor(cell(low) - 1)).cast("int"))
-        hi = F.get("_q", F.least(F.lit(grid), F.ceil(cell(high + 1) + 1)).cast("int"))
-        # a bracket that missed the middle opens to the side where it is
-        stat = stat.withColumns({"_lo": F.when(hit, lo).when(low < 0, float("-inf")).otherwise(F.col("_lo")), "_hi": F.when(hit, hi).when(high >= F.col("_m"), float("inf")).otherwise(F.col("_hi")), "_done": hit & ((F.col("_m") <= enough) | (F.col("_min") == F.col("_max")))})
-        brackets = {"_from": F.col("_min"), "_to": F.col("_max"), "_low": low, "_high": high}
-        new = cut(stat.select(*names, "_n", "_lo", "_hi", "_done", *(v.alias(k) for k, v in brackets.items())))
-        state = new if state is None else cut(state.filter("_done").unionByName(new))
-        if state.filter("not _done").isEmpty():
+        per = left.groupBy(*keys, "c").agg(F.count("*").alias("k"))
+        if (per.agg(F.max("k")).first()[0] or 0) <= enough:
             break
-    last = state.select(*(F.col(n).alias(f"o{n}") for n in names), "_from", "_to", "_low", "_high")
-    equal = F.col("_from") == F.col("_to")
-    few = x.join(last.filter(~equal), same("o")).filter(F.col("_x").between(F.col("_from"), F.col("_to"))).groupBy(*names).agg(F.sort_array(F.collect_list("_x")).alias("_v"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
-    found = few.select(*names, ((F.get("_v", F.col("_low").cast("int")) + F.get("_v", F.col("_high").cast("int"))) / 2).alias("median"))
-    found = found.unionByName(last.filter(equal).select(*(F.col(f"o{n}").alias(n) for n in names), F.col("_from").alias("median")))
-    return found.select(*(F.col(n).alias(c) for n, c in zip(names, by, strict=False)), "median")
+        runs = left.groupBy(*keys, "c").agg(F.percentile_approx("v", [i / 128 for i in range(1, 128)], ACCURACY).alias("q")).withColumnsRenamed({k: f"o{k}" for k in [*keys, "c"]})
+        run = F.size(F.filter("q", lambda e: e < F.col("v")))
+        numbered = left.join(runs, same).select(*keys, "c", "v", "m", run.alias("run"))
+        sums = numbered.groupBy(*keys, "c", "run").agg(F.sum("m").alias("m")).groupBy(*keys, "c").agg(F.sort_array(F.collect_list(F.struct("run", "m"))).alias("runs"))  # 128 at most
+        low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+        before = lambda r: F.aggregate(F.filter("runs", lambda s: s["run"] < r), F.lit(0).cast("bigint"), lambda a, s: a + s["m"])
+        where = lambda rank: F.array_max(F.transform(F.filter("runs", lambda s: before(s["run"]) <= rank), lambda s: s["run"]))
+        kept = sums.join(sizes, same).select(*(F.col(k).alias(f"o{k}") for k in [*keys, "c"]), where(low).alias("from"), where(high).alias("to"))
+        v = F.when(F.col("run") < F.col("from"), float("-inf")).otherwise(F.col("v"))
+        left = cut(numbered.join(kept, same).filter(F.col("run") <= F.col("to")).groupBy(*keys, "c", v.alias("v")).agg(F.sum("m").alias("m")))
+    lists = left.groupBy(*keys, "c").agg(F.sort_array(F.collect_list(F.struct("v", "m"))).alias("vs")).join(sizes, same)
+    # the value at a rank: the last one before which no more than so many values stand
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v"))
+    at_rank = lambda rank: F.aggregate("vs", start, lambda a, s: F.struct((a["seen"] + s["m"]).alias("seen"), F.when(a["seen"] <= rank, s["v"]).otherwise(a["v"]).alias("v")))["v"]
+    return lists.select(*keys, "c", ((at_rank(F.floor((F.col("n") - 1) / 2)) + at_rank(F.floor(F.col("n") / 2))) / 2).alias("median"))
+
+
+def exact_median(df: DataFrame, col: str, *by: str, enough: int = ENOUGH) -> DataFrame:
+    """AGG-14: (by, median) of the values that are neither NULL nor NaN, exact (the mean of the middle two), without a group's values in one task's memory."""
+    found = _grouped_medians(df, [col], list(by), enough)
+    return found.select(*(F.col(f"b{i}").alias(c) for i, c in enumerate(by)), "median")
+
+
+def medians(df: DataFrame, cols: list[str], enough: int = ENOUGH) -> dict[str, float | None]:
+    """ML-01: exact medians of many columns over all rows, in two scans; None for a column without values."""
+    found = {r.c: r.median for r in _grouped_medians(df, cols, [], enough).collect()}  # a row a column
+    return {c: found.get(i) for i, c in enumerate(cols)}
 
 
 def fit_scale(df: DataFrame, *cols: str) -> DataFrame:
     """ML-01, 02: exact medians fill NULLs, then population mean and deviation scale. Medians, means and deviations are single numbers and go into the plan."""
-    med = {c: (exact_median(df, c).first() or [None])[0] for c in cols}
-    full = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double")) for c in cols})
+    med = medians(df, list(cols))
+    full = df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(med[c]).cast("double")) for c in cols})
     stats = full.agg(*(F.avg(c).alias(f"a_{c}") for c in cols), *(F.stddev_pop(c).alias(f"s_{c}") for c in cols)).first()
     return full.withColumns({c: (F.col(c) - F.lit(stats[f"a_{c}"]).cast("double")) / F.lit(stats[f"s_{c}"] or 1.0) for c in cols})

@@ -235,7 +235,9 @@ def source_clip_regex(spark, d):
 @query("SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::INT)::BIGINT AS k, round(avg(value), 6) AS mean, median(value) AS middle FROM events GROUP BY event_type")
 def props_json(spark, d):
     """JSN-01, AGG-14."""
-    return T.read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k"), F.round(F.avg("value"), 6).alias("mean"), F.median("value").alias("middle"))
+    events = T.read(spark, d, "events")
+    plain = events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k"), F.round(F.avg("value"), 6).alias("mean"))
+    return plain.join(relational.exact_median(events, "value", "event_type").withColumnRenamed("median", "middle"), "event_type", "left")
 
 
 @query("SELECT user_id, event_id, round(avg(value) OVER w, 6) AS mean30, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from tarn.operators import evaluate, learning, pose
-from tarn.plans.catalog import _SQL_CLASS, _SQL_PRED, _models
+from tarn.operators import boosting, evaluate, learning, pose
+from tarn.plans.catalog import _SQL_CLASS, _SQL_PRED, _SQL_VIEW, _models
 from tarn.plans.registry import query, rounded
 from tarn.sources import tables as T
 
@@ -22,14 +24,76 @@ def forest_out_of_fold(spark, d):
     return rounded(oof.select("capture_id", "model", "fold", "label_true", "label_pred", "confidence"))
 
 
+# features that every usable view has
+_TREE_FEATURES = ("lsho_x", "lsho_y", "rsho_x", "rsho_y", "rhip_x", "rhip_y", "shoulder_slope", "hip_slope", "torso_inclination", "torso_length", "torso_offset")
+_TREE_ROUNDS, _TREE_RATE, _TREE_BINS = 2, 0.3, 16
+
+
+def _level_sql(r: int, level: int, rows: str) -> str:
+    """One level of all trees of a round: histograms, running sums over bins, and the best split of each node."""
+    n = f"{r}_{level}"
+    part = lambda g, h: f"pow({g} / s, 2) / ({h} / s + 1)"
+    first = 1 if level == 0 else 3
+    return f"""
+h{n} AS (SELECT k, node, f, bin, sum(g) AS g, sum(h) AS h FROM {rows} JOIN tb USING (id) GROUP BY ALL),
+c{n} AS (SELECT k, node, f, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY k, node, f) AS g, sum(h) OVER (PARTITION BY k, node, f) AS h FROM h{n} WINDOW w AS (PARTITION BY k, node, f ORDER BY bin)),
+e{n} AS (SELECT *, ({part('gl', 'hl')} + {part('(g - gl)', '(h - hl)')} - {part('g', 'h')}) / 2 AS gain FROM c{n}, ts WHERE hl / s >= 1 AND (h - hl) / s >= 1),
+t{n} AS (SELECT *, {first} + 2 * (row_number() OVER (PARTITION BY k ORDER BY node) - 1) AS kid FROM (SELECT * FROM e{n} WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY k, node ORDER BY gain DESC, f, bin) = 1)),
+n{n} AS (SELECT a.id, a.k, a.g, a.h, coalesce(t.kid + (b.bin > t.bin)::INT, a.node) AS node FROM {rows} a LEFT JOIN t{n} t ON t.k = a.k AND t.node = a.node LEFT JOIN tb b ON b.id = a.id AND b.f = t.f)"""
+
+
+def _trees_sql() -> str:
+    names = ", ".join(f"'{c}'" for c in _TREE_FEATURES)
+    out = _SQL_VIEW + f""", tx AS (SELECT vec_id AS id, label % 6 AS y, {', '.join(_TREE_FEATURES)} FROM f WHERE ok),
+tu AS (SELECT id, unnest(range({len(_TREE_FEATURES)})) AS f, unnest([{', '.join(_TREE_FEATURES)}]) AS v FROM tx), tq AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS nth, count(*) OVER (PARTITION BY f) AS n FROM tu),
+tcuts AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS bin FROM (SELECT DISTINCT f, v FROM tq JOIN range(1, {_TREE_BINS}) i(i) ON nth = greatest(1, ceil(i * n / {_TREE_BINS}.0::DOUBLE)))),
+tb AS (SELECT u.id, u.f, count(cuts.v) AS bin FROM tu u LEFT JOIN tcuts cuts ON cuts.f = u.f AND cuts.v < u.v GROUP BY u.id, u.f), ts AS (SELECT pow(2, least(36, 56 - floor(log2(count(*))))) AS s FROM tx),
+m0 AS (SELECT id, y, k, 0::DOUBLE AS margin FROM tx, range(6) k(k))"""
+    for r in range(_TREE_ROUNDS):
+        out += f""",
+p{r} AS (SELECT id, y, k, e / sum(e) OVER (PARTITION BY id) AS p FROM (SELECT *, exp(margin - max(margin) OVER (PARTITION BY id)) AS e FROM m{r})),
+g{r} AS (SELECT id, k, 0 AS node, round_even((p - (y = k)::INT) * s, 0)::HUGEINT AS g, round_even(greatest(2 * p * (1 - p), 1e-16) * s, 0)::HUGEINT AS h FROM p{r}, ts),{_level_sql(r, 0, f'g{r}')},{_level_sql(r, 1, f'n{r}_0')},
+l{r} AS (SELECT k, node, -(sum(g) / any_value(s)) / (sum(h) / any_value(s) + 1) * {_TREE_RATE}::DOUBLE AS value FROM n{r}_1, ts GROUP BY k, node),
+m{r + 1} AS (SELECT id, y, m.k, margin + value AS margin FROM m{r} m JOIN n{r}_1 USING (id, k) JOIN l{r} USING (k, node))"""
+    parts = []
+    for r in range(_TREE_ROUNDS):
+        parts += [f"SELECT {r} AS round, k AS cls, t.node, [{names}][t.f + 1] AS feature, round(c.v, 6) AS threshold, round(gain, 6) AS gain, 0::DOUBLE AS value FROM t{r}_{level} t JOIN tcuts c ON c.f = t.f AND c.bin = t.bin" for level in (0, 1)]
+        parts.append(f"SELECT {r}, k, node, NULL, NULL, 0, round(value, 6) FROM l{r}")
+    return out + " SELECT round::INT AS round, cls::INT AS cls, node::INT AS node, feature, threshold, gain, value FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query(_trees_sql())
+def boosted_trees(spark, d):
+    """ML-03: every node of the trees of two rounds, one tree a class a round on shared softmax gradients."""
+    f = _features(spark, d)
+    model = boosting.fit(f, list(_TREE_FEATURES), list(T.CLASSES), boosting.Params(rounds=_TREE_ROUNDS, depth=2, rate=_TREE_RATE), ["capture_id"], bins=_TREE_BINS)
+    return rounded(spark.createDataFrame(model.splits(), "round int, cls int, node int, feature string, threshold double, gain double, value double"))
+
+
 @query()
 def boosted_predictions(spark, d):
-    """ML-03, 04, 09, 10: one held-out fold by boosted trees; tested on a separable set."""
+    """ML-03, 04, 09, 10: one held-out fold by boosted trees; the trees are tested against a plain version."""
     f = _features(spark, d)
     out = learning.fit(f.filter("fold <> 0"), list(pose.VIEW), list(T.CLASSES), "boosted", rounds=5, depth=3).predict(f.filter("fold = 0"))
     return rounded(out.select("capture_id", "label", "label_pred", "confidence"))
 
 
+#: what a search draws from
+SPACE = {
+    "rounds": [3, 4, 5], "depth": [2, 3, 4], "rate": [0.03, 0.05, 0.08, 0.1], "rows": [0.7, 0.8, 0.9, 1.0], "columns": [0.7, 0.8, 0.9, 1.0],
+    "child": [1.0, 2.0, 3.0], "gamma": [0.0, 0.1, 0.5], "alpha": [0.0, 0.01, 0.1], "lam": [0.1, 1.0, 2.0],
+}
+
+
+@query()
+def search_draws(spark, d):
+    """ML-07, SPL-04: eight draws on three grouped folds, all trained in the same passes; tested against one model after the other."""
+    picks = list(learning.draws(SPACE, 8))
+    found = boosting.search(_features(spark, d), list(pose.VIEW), list(T.CLASSES), [boosting.Params(**p) for p in picks], [0, 1, 2], ["capture_id"], bins=32)
+    rows = [(i, json.dumps(p), score, rounds, score == max(s for _, s, _, _ in found)) for i, (p, (_, score, rounds, _)) in enumerate(zip(picks, found, strict=True))]
+    return rounded(spark.createDataFrame(rows, "draw int, params string, macro_f1 double, rounds int, best boolean"))
+
+
 @query()
 def perceptron_predictions(spark, d):
     """ML-05: tested on a separable set."""

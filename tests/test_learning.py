@@ -30,8 +30,9 @@ def test_out_of_fold(toy, kind):
         assert r.probs[r.label_pred] == pytest.approx(r.confidence)
 
 
-def test_save_and_load(spark, toy, tmp_path):
-    m = learning.fit(toy, ["f1", "f2", "f3"], CLASSES, "forest", weights={"slouching": 1.5}, trees=5)
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_save_and_load(spark, toy, tmp_path, kind):
+    m = learning.fit(toy, ["f1", "f2", "f3"], CLASSES, kind, weights={"slouching": 1.5}, **({"trees": 5} if kind == "forest" else {"rounds": 3, "depth": 2}))
     assert m.features == ["f1", "f2"]
     m.save(str(tmp_path / "m"))
     again = learning.Fitted.load(spark, str(tmp_path / "m"))
@@ -47,6 +48,8 @@ def test_draws():
 def test_search(toy):
     params, score = learning.search(toy, ["f1", "f2"], CLASSES, "forest", {"trees": [3, 5], "depth": [2]}, 2, [0, 1])
     assert params["depth"] == 2 and score > 0.8
+    params, score = learning.search(toy, ["f1", "f2", "f3"], CLASSES, "boosted", {"rounds": [2], "depth": [1, 3], "rate": [0.0, 0.5]}, 4, [0, 1])
+    assert params["rate"] == 0.5 and score > 0.8
 
 
 def test_paired_t():

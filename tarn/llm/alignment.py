@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import json
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -27,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm._spark import by_text, cut, shared_dir
-from tarn.llm.byte_pairs import blocks
+from tarn.llm.byte_pairs import Memo, Tokens, blocks
 
 #: pairs whose counts every task gets, at most
 HOT_PAIRS = 1 << 20
+#: how a byte-level tokeniser cuts texts into words (a fixed value: its library's own pattern)
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: ids are below this, so a document of a block and a pair fit in 64 bits
 _IDS = 1 << 20
-#: texts whose tokens are held at once, in characters (a longer text stands alone)
-BLOCK_CHARS = 1 << 18
+#: texts whose tokens are held at once (a longer text stands alone)
+BLOCK_BYTES = 1 << 18
 
 
 def _letters_of_bytes() -> dict[str, int]:
@@ -51,12 +54,16 @@ class Both:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_json.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        # byte-level words never depend on each other, so each distinct one is encoded once; other kinds of tokeniser see whole texts
+        byte_level = json.loads(a_json).get("pre_tokenizer") or {}
+        self.memo = Memo(regex.compile(WORDS).findall, self._words) if byte_level.get("type") == "ByteLevel" and byte_level.get("use_regex") and not byte_level.get("add_prefix_space") else None
         byte = _letters_of_bytes()
         vocabulary = self.a.get_vocab()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -68,11 +75,19 @@ class Both:
             self.b_bytes.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_tokens, self.b_tokens = Tokens(self.a_bytes), Tokens(self.b_bytes)
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, at = _flat([e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)])
+        return ids, np.diff(at)
+
     def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """(tokens of all texts, where each text's begin, and end) of both; none where a text is empty or isn't given back."""
         spaced = [" " + t for t in texts]
         raw = [t.encode() for t in spaced]
-        ours = _flat([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
+        if self.memo is None:
+            ours = _flat([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
+        else:
+            ids, count = self.memo.encode(spaced)
+            ours = ids, np.concatenate([[0], np.cumsum(count)])
         theirs = _flat(self.b.encode(texts, num_threads=1))
         want, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
         same = np.diff(ends) > 1
@@ -86,20 +101,6 @@ class Both:
         return (ours, theirs) if same.all() else (_only(ours, same), _only(theirs, same))
 
 
-class Tokens:
-    """The bytes of each token of a vocabulary, one after the other."""
-
-    def __init__(self, tokens: list[bytes]):
-        self.size = np.array([len(t) for t in tokens])
-        self.start, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
-
-    def joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of all tokens, how many lie before each token, and in all)."""
-        size = self.size[ids]
-        ends = np.cumsum(size)
-        return self.data[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate([[0], ends])
-
-
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     at = np.cumsum([0, *map(len, ids)])
     return np.fromiter(chain.from_iterable(ids), np.int32, at[-1]), at
@@ -147,7 +148,7 @@ def _by_block(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatc
     """``make`` of the texts (last column) of each block of a batch, beside the block's other columns."""
     for batch in batches:
         i = 0
-        for block in blocks(batch.column(batch.num_columns - 1).to_pylist(), BLOCK_CHARS):
+        for block in blocks(batch.column(batch.num_columns - 1), BLOCK_BYTES):
             made = make(block)
             part = batch.slice(i, len(block))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made.values()], [*batch.schema.names[:-1], *made])

@@ -14,45 +14,103 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 #: words replayed together: their index and positions then fit in a core's cache, which takes half the time of all of a block's words at once
 REPLAY_WORDS = 4_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 MEMO_CHARS = 64
 
 
-class Merges:
+class Memo:
+    """Tokens of words that were met before, as arrays: the number of each word, where its tokens lie in ``flat``, how many they are, and in how many blocks it was. ``words`` cuts a text into words, ``tokens`` finds those of new words."""
+
+    def __init__(self, words: Callable[[str], list[str]], tokens: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.words, self.tokens = words, tokens
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self._keep(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _keep(self, flat: np.ndarray, count: np.ndarray, seen: np.ndarray) -> None:
+        self.flat, self.count, self.seen = flat, count, seen
+        self.first = np.cumsum(count) - count
+
+    def _learn(self, words: list[str]) -> None:
+        tokens, counts = self.tokens(words)
+        begin = len(self.count)
+        self.memo.update(zip(words, range(begin, begin + len(words)), strict=True))
+        self._keep(np.concatenate([self.flat, tokens]), np.concatenate([self.count, counts]), np.concatenate([self.seen, np.zeros(len(words), np.int64)]))
+
+    def _tidy(self, long: list[str]) -> None:
+        """Drop long words, and when the memo is full those met in the fewest blocks."""
+        if len(self.memo) <= MEMO_WORDS and not long:
+            return
+        stay = np.ones(len(self.count), bool)
+        stay[[self.memo[w] for w in long]] = False
+        if len(self.memo) > MEMO_WORDS:
+            stay[np.argsort(-self.seen, kind="stable")[MEMO_WORDS // 2 :]] = False
+            self.seen //= 2
+        number = np.cumsum(stay) - 1
+        self.memo = {w: int(number[i]) for w, i in self.memo.items() if stay[i]}
+        self._keep(self.flat[np.repeat(stay, self.count)], self.count[stay], self.seen[stay])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all texts, number of each text's)."""
+        cut = [self.words(t) for t in texts]
+        words = list(chain.from_iterable(cut))
+        new = list(set(words).difference(self.memo))
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        self.seen[np.unique(at)] += 1
+        size = self.count[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+        self._tidy([w for w in new if len(w) > MEMO_CHARS])
+        return ids, np.diff(upto)
+
+
+class Tokens:
+    """The bytes of each token of a vocabulary, one after the other; b"" where an id is free."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens])
+        self.start, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all tokens, how many lie before each token, and in all)."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.data[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate([[0], ends])
+
+
+class Merges(Memo):
     """A vocabulary as ranks: ``rank[bytes]`` is a token's id and, for tokens of two bytes or more, the turn of the merge that makes it. ``pattern`` cuts texts into words."""
 
     def __init__(self, ranks: bytes, pattern: str):
         import regex
 
+        super().__init__(regex.compile(pattern).findall, self.tokens_of)
         rows = [line.split() for line in ranks.splitlines() if line.strip()]
         self.rank = {base64.b64decode(a): int(b) for a, b in rows}
         self.bytes = {i: t for t, i in self.rank.items()}
-        self.words = regex.compile(pattern).findall
         self.single = np.array([self.rank[bytes([b])] for b in range(256)])
         # the merge of each pair of bytes, -1 if there is none
         self.double = np.array([[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         self.pairs: dict[int, int] = {}  # what ``pair`` found, by both ids in one number
-        size = np.array([len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)])
-        self.size, self.start = size, np.cumsum(size) - size
-        self.data = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(size))), np.uint8)
-        self.forget()
-
-    def forget(self) -> None:
-        """The memo, empty: the number of each word, where its tokens lie in ``flat``, how many they are, and in how many blocks it was."""
-        self.memo: dict[str, int] = {}
-        self.flat, self.first, self.count, self.seen = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = Tokens([self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)])
 
     def pair(self, left: int, right: int) -> int:
         """The rank of the merge of two tokens, -1 if there is none."""
@@ -136,60 +194,26 @@ class Merges:
         alive = np.concatenate([[0], np.cumsum(tokens >= 0)])
         return tokens[tokens >= 0].astype(np.int32), alive[starts + sizes] - alive[starts]
 
-    def learn(self, words: list[str]) -> None:
-        """Add new words to the memo. A word that is a token itself is that token."""
+    def tokens_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of new words, number of each word's). A word that is a token itself is that token; the others are replayed."""
         raw = [w.encode() for w in words]
-        whole = np.fromiter((self.rank.get(r, -1) for r in raw), np.int64, len(raw))
-        known, rest = np.flatnonzero(whole >= 0), np.flatnonzero(whole < 0)
-        tokens, counts = [whole[known].astype(np.int32)], [np.ones(len(known), np.int64)]
+        ids = np.fromiter((self.rank.get(r, -1) for r in raw), np.int32, len(raw))
+        counts = np.ones(len(raw), np.int64)
+        rest = np.flatnonzero(ids < 0)
+        parts = []
         for i in range(0, len(rest), REPLAY_WORDS):
-            t, c = self.replay([raw[j] for j in rest[i : i + REPLAY_WORDS].tolist()])
-            tokens.append(t)
-            counts.append(c)
-        begin = len(self.count)
-        self.memo.update(zip((words[j] for j in np.concatenate([known, rest]).tolist()), range(begin, begin + len(words)), strict=True))
-        self._keep(np.concatenate([self.flat, *tokens]), np.concatenate([self.count, *counts]), np.concatenate([self.seen, np.zeros(len(words), np.int64)]))
-
-    def _keep(self, flat: np.ndarray, count: np.ndarray, seen: np.ndarray) -> None:
-        self.flat, self.count, self.seen = flat, count, seen
-        self.first = np.cumsum(count) - count
-
-    def _tidy(self, long: list[str]) -> None:
-        """Drop long words, and when the memo is full those met in the fewest blocks."""
-        if len(self.memo) <= MEMO_WORDS and not long:
-            return
-        stay = np.ones(len(self.count), bool)
-        stay[[self.memo[w] for w in long]] = False
-        if len(self.memo) > MEMO_WORDS:
-            stay[np.argsort(-self.seen, kind="stable")[MEMO_WORDS // 2 :]] = False
-            self.seen //= 2
-        number = np.cumsum(stay) - 1
-        self.memo = {w: int(number[i]) for w, i in self.memo.items() if stay[i]}
-        self._keep(self.flat[np.repeat(stay, self.count)], self.count[stay], self.seen[stay])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens of all texts, number of each text's)."""
-        cut = [self.words(t) for t in texts]
-        words = list(chain.from_iterable(cut))
-        new = list(set(words).difference(self.memo))
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        self.seen[np.unique(at)] += 1
-        size = self.count[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
-        self._tidy([w for w in new if len(w) > MEMO_CHARS])
-        return ids, np.diff(upto)
+            some = rest[i : i + REPLAY_WORDS]
+            tokens, counts[some] = self.replay([raw[j] for j in some.tolist()])
+            parts.append(tokens)
+        out = np.repeat(ids, counts)
+        out[np.repeat(ids < 0, counts)] = np.concatenate([np.zeros(0, np.int32), *parts])
+        return out, counts
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all tokens, how many bytes lie before each and in all)."""
-        size = self.size[ids]
-        if (size == 0).any():
+        if (self.known.size[ids] == 0).any():
             raise ValueError("an id is not in the vocabulary")
-        ends = np.cumsum(size)
-        return self.data[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate([[0], ends])
+        return self.known.joined(ids)
 
 
 @functools.lru_cache(4)
@@ -198,18 +222,15 @@ def merges(ranks: bytes, pattern: str) -> Merges:
     return Merges(ranks, pattern)
 
 
-def blocks(texts: list[str | None], limit: int = BLOCK_BYTES) -> Iterator[list[str]]:
-    """Consecutive texts of about ``limit`` characters together; a longer one alone."""
-    block, size = [], 0
-    for t in texts:
-        t = t or ""
-        if block and size + len(t) > limit:
-            yield block
-            block, size = [], 0
-        block.append(t)
-        size += len(t)
-    if block:
-        yield block
+def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[list[str]]:
+    """Consecutive texts of about ``limit`` bytes together; a longer one alone; null is empty."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + limit, "right")))
+        yield [t or "" for t in texts.slice(i, j - i).to_pylist()]
+        i = j
 
 
 def encoder(ranks_path: str, pattern: str):
@@ -221,7 +242,7 @@ def encoder(ranks_path: str, pattern: str):
         known = merges(ranks, pattern)
         for batch in batches:
             values, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for block in blocks(batch.to_pylist()):
+            for block in blocks(batch):
                 ids, count = known.encode(block)
                 values.append(ids)
                 sizes.append(count)

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -123,8 +124,9 @@ def test_unknown_ids():
 
 
 def test_blocks_keep_every_text():
-    assert list(byte_pairs.blocks(["aa", None, "b" * 9, "c", "d"], 3)) == [["aa", ""], ["b" * 9], ["c", "d"]]
-    assert list(byte_pairs.blocks([])) == []
+    texts = pa.array(["x", "aa", None, "b" * 9, "c", "d", "é"])
+    assert list(byte_pairs.blocks(texts.slice(1), 3)) == [["aa", ""], ["b" * 9], ["c", "d"], ["é"]]
+    assert list(byte_pairs.blocks(texts.slice(0, 0))) == []
 
 
 # ---- cuts

@@ -32,6 +32,8 @@ from tarn.llm.byte_pairs import Memo, Tokens, blocks
 
 #: pairs whose counts every task gets, at most
 HOT_PAIRS = 1 << 20
+#: links of a group that are listed one by one
+SHORT = 4096
 #: how a byte-level tokeniser cuts texts into words (a fixed value: its library's own pattern)
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: ids are below this, so a document of a block and a pair fit in 64 bits
@@ -173,22 +175,27 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(a: np.ndarray, b: np.ndarray, doc: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document and pair as one number, how often it occurs), sorted and distinct, of groups with ``na`` and ``nb`` tokens. The ids of a side are made distinct within each group first, so a long group costs its distinct pairs only."""
+    """(document and pair as one number, how often it occurs), sorted and distinct, of groups with ``na`` and ``nb`` tokens. Where a group has more than SHORT links, the ids of a side are made distinct within each group first, so it costs its distinct pairs only."""
 
     def distinct(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * _IDS + ids, return_counts=True)
         return key % _IDS, times, np.bincount(key // _IDS, minlength=len(sizes))
 
-    (a, ta, na), (b, tb, nb) = distinct(a, na), distinct(b, nb)
+    plain = len(na) == 0 or int((na * nb).max()) <= SHORT
+    if not plain:
+        (a, ta, na), (b, tb, nb) = distinct(a, na), distinct(b, nb)
     width = np.repeat(nb, na)  # B ids that each A id meets
     left = np.repeat(np.arange(len(a)), width)
     step = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width)
     right = np.repeat(np.repeat(np.cumsum(nb) - nb, na), width) + step
     key = (np.repeat(np.repeat(doc, na), width) * _IDS + a[left]) * _IDS + b[right]
-    order = np.argsort(key, kind="stable")
-    key, times = key[order], (ta[left] * tb[right])[order]
+    if plain:
+        key = np.sort(key)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], (ta[left] * tb[right])[order]
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[begin], np.add.reduceat(times, begin) if len(begin) else times
+    return key[begin], np.diff(np.append(begin, len(key))) if plain else np.add.reduceat(times, begin)
 
 
 def _names(ids: np.ndarray, last: np.ndarray, end: str) -> np.ndarray:

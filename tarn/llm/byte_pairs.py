@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm._spark import by_text
+
 BLOCK_BYTES = 1 << 20
 #: words replayed together: their index and positions then fit in a core's cache, which takes half the time of all of a block's words at once
 REPLAY_WORDS = 4_000
@@ -295,7 +297,28 @@ def joined(ids: Column) -> Column:
     return F.concat_ws(" ", ids.cast("array<string>"))
 
 
+def round_trip(docs: DataFrame, keep: list[str], text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``keep``, then ``ids`` and what they ``decoded`` to: encoding and decoding in one pass, a block at a time, so a task runs one worker and holds one block. Kept columns may have any names but those two."""
+    own = _standard() if ranks_path is None or pattern is None else ()
+    ranks, words = Path(ranks_path or own[0]).read_bytes(), pattern or own[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = merges(ranks, words)
+        for batch in batches:
+            i = 0
+            for block in blocks(batch.column(batch.num_columns - 1)):
+                ids, count = known.encode(block)
+                data, before = known.decode(ids)
+                at = np.concatenate([[0], np.cumsum(count)])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+                back = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(before[at].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(block)).columns[:-1], lists, back], [*batch.schema.names[:-1], "ids", "decoded"])
+                i += len(block)
+
+    return by_text(docs, keep, text, run, "ids array<int>, decoded binary")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The query's rows: number and hash of the tokens, hash of what they decode to."""
-    coded = decode(encode(docs.select("doc_id", "text")).drop("text"))
+    coded = round_trip(docs, ["doc_id"])
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -261,6 +261,15 @@ def test_alignment_of_a_corpus(short, hot):
     assert any(r[1] == 0 and r[7] == "" for r in want) and any(r[4] > r[3] for r in want)
 
 
+def test_long_groups_give_the_same(short, monkeypatch):
+    known = alignment.both(open(A, "rb").read(), open(B, "rb").read())
+    texts = [r.text or "" for r in short.collect()]
+    plain = alignment.linked(alignment.Aligned(known, texts))
+    monkeypatch.setattr(alignment, "SHORT", 1)
+    for x, y in zip(plain, alignment.linked(alignment.Aligned(known, texts)), strict=True):
+        assert list(x) == list(y)
+
+
 def test_aligned_tokens_are_real(odd):
     """Groups cut both token lists; the bytes on both sides of each are equal."""
     known = alignment.both(open(A, "rb").read(), open(B, "rb").read())

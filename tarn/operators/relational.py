@@ -35,16 +35,35 @@ def first_match(*rules: tuple[Column, str], otherwise: str) -> Column:
     return F.coalesce(*(F.when(c, F.lit(v)) for c, v in rules), F.lit(otherwise))
 
 
+def in_order(df: DataFrame, *order: Column | str, parts: int | None = None, **sums: str) -> DataFrame:
+    """Adds ``_part``, ``_at`` (how many rows come before in ``order``, which must leave no ties) and, by name, the sum of a column over those rows. No task sees all rows: ranges of the order are
+    numbered each on its own, then moved by the totals of the ranges before them (a row a range). ``parts`` fixes the number of ranges."""
+    dealt = cut(df.repartitionByRange(*([parts] if parts else []), *order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy("_part").agg(F.count("*").alias("_at"), *(F.sum(c).alias(n) for n, c in sums.items()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    moved = totals.select(F.col("_part").alias("_of"), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_by_{n}") for n in ("_at", *sums)))
+    w = Window.partitionBy("_part").orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    here = {"_at": F.row_number().over(w) - 1} | {n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}
+    out = dealt.withColumns({f"_in_{n}": c for n, c in here.items()}).join(F.broadcast(moved), F.col("_part") == F.col("_of"))
+    return out.select(*df.columns, "_part", *((F.col(f"_in_{n}") + F.col(f"_by_{n}")).alias(n) for n in here))
+
+
 def groups_in_order(sizes: DataFrame, key: str, n: str, total: int, seed: str = "split", train: float = 0.70, valid: float = 0.15) -> DataFrame:
     """SPL-01: groups in a seeded order fill train, then valid, then test; the group that crosses a target still goes there.
-    ``sizes`` has one row a group, so the running sums see groups, not rows."""
-    order = Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary")), key)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    a = sizes.withColumn("before", F.coalesce(F.sum(n).over(before), F.lit(0)))
-    a = a.withColumn("in_train", F.col("before") < int(total * train))
-    rest = F.sum(F.when(F.col("in_train"), 0).otherwise(F.col(n))).over(before)
-    a = a.withColumn("rest", F.coalesce(rest, F.lit(0)))
-    return a.select(key, n, F.when(F.col("in_train"), "train").when(F.col("rest") < int(total * valid), "valid").otherwise("test").alias("split"))
+    ``sizes`` has one row a group. Train is a run at the beginning of the order, so what came before in the rest is a difference."""
+    seeded = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    a = in_order(sizes.select(key, n, seeded.alias("_o")), "_o", key, _before=n)
+    in_train = F.col("_before") < int(total * train)
+    taken = a.filter(in_train).agg(F.coalesce(F.max(F.col("_before") + F.col(n)), F.lit(0)).alias("_taken"))  # one row
+    rest = F.col("_before") - F.col("_taken")
+    return a.crossJoin(F.broadcast(taken)).select(key, n, F.when(in_train, "train").when(rest < int(total * valid), "valid").otherwise("test").alias("split"))
+
+
+def numbered_groups(df: DataFrame, group: str) -> DataFrame:
+    """SPL-05: (group, fold, n): leave-one-group-out folds, numbered from 0 in the order of the groups; NULL first."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    return in_order(sizes, F.asc_nulls_first(group)).select(group, F.col("_at").cast("int").alias("fold"), "n")
 
 
 #: quantile sketches are off by at most one rank in so many

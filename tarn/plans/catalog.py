@@ -350,8 +350,7 @@ def group_split_fill(spark, d):
 @query("SELECT grp, (dense_rank() OVER (ORDER BY grp) - 1)::INT AS fold, n FROM (SELECT c_nationkey AS grp, count(*) AS n FROM customer GROUP BY 1)")
 def logo_folds(spark, d):
     """SPL-05."""
-    g = T.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("grp")).agg(F.count("*").alias("n"))
-    return g.select("grp", (F.dense_rank().over(Window.orderBy("grp")) - 1).alias("fold"), "n")
+    return relational.numbered_groups(T.read(spark, d, "customer").withColumnRenamed("c_nationkey", "grp"), "grp")
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS q, l_extendedprice AS p FROM lineitem), m AS (SELECT median(q) AS mq, median(p) AS mp FROM b),

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from tarn.functions.geometry import EPS, angle, dot, mid, minus, norm, slope
 
 CORE = (5, 6, 11, 12)
-NAMES = {5: "left_shoulder", 6: "right_shoulder", 11: "left_hip", 12: "right_hip"}
+NAMES = {0: "nose", 5: "left_shoulder", 6: "right_shoulder", 11: "left_hip", 12: "right_hip"}
+# Feature names as models and files have them.
 VIEW = (
-    "nose_x", "nose_y", "lsho_x", "lsho_y", "rsho_x", "rsho_y", "lhip_x", "lhip_y", "rhip_x", "rhip_y", "shoulder_slope", "hip_slope", "torso_inclination",
-    "head_torso_angle", "torso_length", "head_to_shoulder", "torso_offset", "head_offset", "ear_h", "ear_v", "ear_neck",
+    "nose_x", "nose_y", "left_shoulder_x", "left_shoulder_y", "right_shoulder_x", "right_shoulder_y", "left_hip_x", "left_hip_y", "right_hip_x", "right_hip_y",
+    "shoulder_slope_deg", "hip_slope_deg", "torso_inclination_deg", "head_torso_angle_deg", "head_to_shoulder_norm", "torso_length_norm", "head_horizontal_offset_norm", "torso_horizontal_offset_norm",
+    "ear_shoulder_horizontal_norm", "ear_shoulder_vertical_norm", "ear_neck_angle_deg",
 )
 
 
@@ -47,7 +49,7 @@ def view_features(df: DataFrame, least: float = 0.25) -> DataFrame:
     values = [
         F.when(nose, p["0"][0]), F.when(nose, p["0"][1]), *p["5"], *p["6"], *p["11"], *p["12"],
         slope(p["6"][0] - p["5"][0], p["6"][1] - p["5"][1]), slope(p["12"][0] - p["11"][0], p["12"][1] - p["11"][1]), angle(torso, (F.lit(0.0), F.lit(-1.0))),
-        F.when(nose, angle(head, torso)), norm(*torso), F.when(nose, norm(*head)), m[0] - hip[0], F.when(nose, p["0"][0] - m[0]),
+        F.when(nose, angle(head, torso)), F.when(nose, norm(*head)), norm(*torso), F.when(nose, p["0"][0] - m[0]), m[0] - hip[0],
         (p["e"][0] - m[0]) / span, (m[1] - p["e"][1]) / span, F.when(nose, angle(minus(neck, p["e"]), minus(neck, m))),
     ]
     return df.select(*keep, "ok", *(F.when(F.col("ok"), v).alias(n) for v, n in zip(values, VIEW, strict=True)))
@@ -61,7 +63,13 @@ def two_views(df: DataFrame) -> DataFrame:
     return pairs.groupBy("capture_id").agg(F.count_distinct("camera").alias("views"), F.bool_and("ok").alias("usable"), F.max(F.when(F.col("camera") == "cam01", F.col("label"))).alias("label"), *(pick(cam, c) for cam in ("cam01", "cam02") for c in VIEW))
 
 
-SPACE = ("shoulder_roll", "hip_roll", "torso_lateral", "torso_sagittal", "torso_inclination", "head_torso_angle", "head_depth", "head_lateral", "shoulder_depth", "hip_depth")
+# Names of what is derived from joints in space.
+SPACE = (
+    "shoulder_roll_deg", "hip_roll_deg", "torso_lateral_lean_deg", "torso_sagittal_lean_deg", "torso_3d_inclination_deg", "head_torso_angle_3d_deg", "head_depth_offset_norm", "head_lateral_offset_norm",
+    "shoulder_depth_asymmetry_norm", "hip_depth_asymmetry_norm",
+)
+#: names of the coordinates in space, before SPACE
+PLACES = tuple(f"{NAMES[j]}_{a}" for j in (0, *CORE) for a in "xyz")
 
 
 def _scaled(df: DataFrame) -> DataFrame:
@@ -83,7 +91,7 @@ def space_features(df: DataFrame) -> DataFrame:
         slope(p[6][0] - p[5][0], p[6][1] - p[5][1]), slope(p[12][0] - p[11][0], p[12][1] - p[11][1]), F.degrees(F.atan2(t[0], -t[1])), F.degrees(F.atan2(t[2], -t[1])),
         angle(t, (F.lit(0.0), F.lit(-1.0), F.lit(0.0))), F.when(nose, angle(head, t)), F.when(nose, head[2]), F.when(nose, head[0]), p[6][2] - p[5][2], p[12][2] - p[11][2],
     ]
-    return df.select("vec_id", "label", "ok", *(F.when(nose if j == 0 else F.lit(True), F.col(f"{a}{j}")).alias(f"{a}{j}") for j in (0, *CORE) for a in "xyz"), *(F.when(F.col("ok"), v).alias(n) for v, n in zip(values, SPACE, strict=True)))
+    return df.select("vec_id", "label", "ok", *(F.when(nose if j == 0 else F.lit(True), F.col(f"{a}{j}")).alias(f"{NAMES[j]}_{a}") for j in (0, *CORE) for a in "xyz"), *(F.when(F.col("ok"), v).alias(n) for v, n in zip(values, SPACE, strict=True)))
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -118,7 +126,7 @@ def body_frame(df: DataFrame) -> DataFrame:
 
 #: joints of the body frame, in order, and what is derived from them
 BODY_JOINTS = (0, *CORE)
-BODY = ("shoulder_roll", "hip_roll", "torso_inclination", "head_torso_angle", "head_depth", "head_lateral", "shoulder_depth")
+BODY = tuple(n for n in SPACE if n not in ("torso_lateral_lean_deg", "torso_sagittal_lean_deg", "hip_depth_asymmetry_norm"))
 
 
 def body_features(df: DataFrame) -> DataFrame:
@@ -131,5 +139,5 @@ def body_features(df: DataFrame) -> DataFrame:
         slope(p[6][0] - p[5][0], p[6][1] - p[5][1]), slope(p[12][0] - p[11][0], p[12][1] - p[11][1]), angle(t, (F.lit(0.0), F.lit(1.0), F.lit(0.0))),
         F.when(nose, angle(head, t)), F.when(nose, head[2]), F.when(nose, head[0]), p[6][2] - p[5][2],
     ]
-    joints = [F.when(nose if j == 0 else F.lit(True), F.col(f"{a}{j}")).alias(f"{a}{j}") for j in BODY_JOINTS for a in "xyz"]
+    joints = [F.when(nose if j == 0 else F.lit(True), F.col(f"{a}{j}")).alias(f"{NAMES[j]}_{a}") for j in BODY_JOINTS for a in "xyz"]
     return df.select("vec_id", "label", "reason", *joints, *(v.alias(n) for v, n in zip(values, BODY, strict=True)))

@@ -35,10 +35,10 @@ s AS (SELECT *, greatest({', '.join(f'sqrt(x{j}*x{j}+y{j}*y{j})' for j in (5, 6,
 n AS (SELECT vec_id, label, reason, nose_ok, reason IS NULL AND far >= 1e-6 AS ok, {', '.join(f'CASE WHEN reason IS NULL AND far >= 1e-6 THEN x{j}/far END AS x{j}, CASE WHEN reason IS NULL AND far >= 1e-6 THEN y{j}/far END AS y{j}' for j in ('0', '5', '6', '11', '12', 'e'))} FROM s),
 m AS (SELECT *, (x5+x6)/2 AS mx, (y5+y6)/2 AS my, (x5+x6)/2 - (x11+x12)/2 AS tx, (y5+y6)/2 - (y11+y12)/2 AS ty, x0 - (x5+x6)/2 AS dx, y0 - (y5+y6)/2 AS dy, greatest(sqrt((x6-x5)*(x6-x5)+(y6-y5)*(y6-y5)), 1e-6) AS span FROM n),
 f AS (SELECT vec_id, label, reason, nose_ok, ok,
-  CASE WHEN nose_ok THEN x0 END AS nose_x, CASE WHEN nose_ok THEN y0 END AS nose_y, x5 AS lsho_x, y5 AS lsho_y, x6 AS rsho_x, y6 AS rsho_y, x11 AS lhip_x, y11 AS lhip_y, x12 AS rhip_x, y12 AS rhip_y,
-  degrees(atan2(y6-y5, x6-x5)) AS shoulder_slope, degrees(atan2(y12-y11, x12-x11)) AS hip_slope, {_ANG(('tx', 'ty'), ('0.0', '-1.0'))} AS torso_inclination,
-  CASE WHEN nose_ok THEN {_ANG(('dx', 'dy'), ('tx', 'ty'))} END AS head_torso_angle, sqrt(tx*tx+ty*ty) AS torso_length, CASE WHEN nose_ok THEN sqrt(dx*dx+dy*dy) END AS head_to_shoulder, mx - (x11+x12)/2 AS torso_offset, CASE WHEN nose_ok THEN x0 - mx END AS head_offset,
-  (xe - mx)/span AS ear_h, (my - ye)/span AS ear_v, CASE WHEN nose_ok THEN {_ANG(('(x0+mx)/2-xe', '(y0+my)/2-ye'), ('(x0+mx)/2-mx', '(y0+my)/2-my'))} END AS ear_neck FROM m)
+  CASE WHEN nose_ok THEN x0 END AS nose_x, CASE WHEN nose_ok THEN y0 END AS nose_y, x5 AS left_shoulder_x, y5 AS left_shoulder_y, x6 AS right_shoulder_x, y6 AS right_shoulder_y, x11 AS left_hip_x, y11 AS left_hip_y, x12 AS right_hip_x, y12 AS right_hip_y,
+  degrees(atan2(y6-y5, x6-x5)) AS shoulder_slope_deg, degrees(atan2(y12-y11, x12-x11)) AS hip_slope_deg, {_ANG(('tx', 'ty'), ('0.0', '-1.0'))} AS torso_inclination_deg,
+  CASE WHEN nose_ok THEN {_ANG(('dx', 'dy'), ('tx', 'ty'))} END AS head_torso_angle_deg, sqrt(tx*tx+ty*ty) AS torso_length_norm, CASE WHEN nose_ok THEN sqrt(dx*dx+dy*dy) END AS head_to_shoulder_norm, mx - (x11+x12)/2 AS torso_horizontal_offset_norm, CASE WHEN nose_ok THEN x0 - mx END AS head_horizontal_offset_norm,
+  (xe - mx)/span AS ear_shoulder_horizontal_norm, (my - ye)/span AS ear_shoulder_vertical_norm, CASE WHEN nose_ok THEN {_ANG(('(x0+mx)/2-xe', '(y0+my)/2-ye'), ('(x0+mx)/2-mx', '(y0+my)/2-my'))} END AS ear_neck_angle_deg FROM m)
 """
 _VIEW_JOINTS = (0, 3, 4, 5, 6, 11, 12)
 _R = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
@@ -55,11 +55,11 @@ def pose2d_multiview(spark, d):
     return rounded(pose.two_views(pose.view_features(T.pose2d(spark, d, _VIEW_JOINTS))))
 
 
-@query(f"""{_SQL_VIEW} SELECT label, count(*) AS views, count(*) FILTER (WHERE ok) AS usable, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 4) AS usable_pct, round(avg(torso_inclination), 6) AS inclination, round(avg(head_torso_angle), 6) AS head_torso FROM f GROUP BY label""")
+@query(f"""{_SQL_VIEW} SELECT label, count(*) AS views, count(*) FILTER (WHERE ok) AS usable, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 4) AS usable_pct, round(avg(torso_inclination_deg), 6) AS inclination, round(avg(head_torso_angle_deg), 6) AS head_torso FROM f GROUP BY label""")
 def pose2d_by_class(spark, d):
     f = pose.view_features(T.pose2d(spark, d, _VIEW_JOINTS))
     usable = F.count_if("ok")
-    return f.groupBy("label").agg(F.count("*").alias("views"), usable.alias("usable"), F.round(100.0 * usable / F.count("*"), 4).alias("usable_pct"), F.round(F.avg("torso_inclination"), 6).alias("inclination"), F.round(F.avg("head_torso_angle"), 6).alias("head_torso"))
+    return f.groupBy("label").agg(F.count("*").alias("views"), usable.alias("usable"), F.round(100.0 * usable / F.count("*"), 4).alias("usable_pct"), F.round(F.avg("torso_inclination_deg"), 6).alias("inclination"), F.round(F.avg("head_torso_angle_deg"), 6).alias("head_torso"))
 
 
 @query(f"{_SQL_VIEW} SELECT coalesce(reason, 'valid') AS reason, nose_ok, count(*) AS n FROM f GROUP BY 1, 2")
@@ -75,8 +75,8 @@ q AS (SELECT vec_id, label, x0 IS NOT NULL AS nose_ok, x5 IS NOT NULL AND x6 IS
 @query(f"""{_SQL_3D}, s AS (SELECT *, CASE WHEN valid THEN greatest({', '.join(f'sqrt(x{j}*x{j}+y{j}*y{j}+z{j}*z{j})' for j in _J3)}) END AS far FROM q),
 n AS (SELECT vec_id, nose_ok, valid AND far >= 1e-6 AS ok, {', '.join(f'CASE WHEN valid AND far >= 1e-6 THEN {a}{j}/far END AS {a}{j}' for j in _J3 for a in 'xyz')} FROM s),
 m AS (SELECT *, (x5+x6)/2-(x11+x12)/2 AS tx, (y5+y6)/2-(y11+y12)/2 AS ty, (z5+z6)/2-(z11+z12)/2 AS tz, x0-(x5+x6)/2 AS dx, y0-(y5+y6)/2 AS dy, z0-(z5+z6)/2 AS dz FROM n)
-SELECT vec_id, coalesce(ok, false) AS ok, {', '.join(f'round({a}{j}, 6) AS {a}{j}' for j in _J3 for a in 'xyz')}, round(degrees(atan2(y6-y5, x6-x5)), 6) AS shoulder_roll, round(degrees(atan2(y12-y11, x12-x11)), 6) AS hip_roll, round(degrees(atan2(tx, -ty)), 6) AS torso_lateral, round(degrees(atan2(tz, -ty)), 6) AS torso_sagittal,
-round({_ANG(('tx', 'ty', 'tz'), ('0.0', '-1.0', '0.0'))}, 6) AS torso_inclination, round({_ANG(('dx', 'dy', 'dz'), ('tx', 'ty', 'tz'))}, 6) AS head_torso_angle, round(dz, 6) AS head_depth, round(dx, 6) AS head_lateral, round(z6-z5, 6) AS shoulder_depth, round(z12-z11, 6) AS hip_depth FROM m""")
+SELECT vec_id, coalesce(ok, false) AS ok, {', '.join(f'round({a}{j}, 6) AS {pose.NAMES[j]}_{a}' for j in _J3 for a in 'xyz')}, round(degrees(atan2(y6-y5, x6-x5)), 6) AS shoulder_roll_deg, round(degrees(atan2(y12-y11, x12-x11)), 6) AS hip_roll_deg, round(degrees(atan2(tx, -ty)), 6) AS torso_lateral_lean_deg, round(degrees(atan2(tz, -ty)), 6) AS torso_sagittal_lean_deg,
+round({_ANG(('tx', 'ty', 'tz'), ('0.0', '-1.0', '0.0'))}, 6) AS torso_3d_inclination_deg, round({_ANG(('dx', 'dy', 'dz'), ('tx', 'ty', 'tz'))}, 6) AS head_torso_angle_3d_deg, round(dz, 6) AS head_depth_offset_norm, round(dx, 6) AS head_lateral_offset_norm, round(z6-z5, 6) AS shoulder_depth_asymmetry_norm, round(z12-z11, 6) AS hip_depth_asymmetry_norm FROM m""")
 def pose3d_features(spark, d):
     return rounded(pose.space_features(T.pose3d(spark, d)).withColumn("ok", F.coalesce("ok", F.lit(False))).drop("label"))
 
@@ -89,12 +89,12 @@ z AS (SELECT vec_id, nose_ok, {', '.join(f'b0*x{j}+b1*y{j}+b2*z{j} AS x{j}, a0*x
 s AS (SELECT *, greatest({', '.join(f'sqrt(x{j}*x{j}+y{j}*y{j}+z{j}*z{j})' for j in _J3)}) AS far FROM z),
 n AS (SELECT vec_id, nose_ok, {', '.join(f'{a}{j}/far AS {a}{j}' for j in _J3 for a in 'xyz')} FROM s),
 m AS (SELECT *, (x5+x6)/2-(x11+x12)/2 AS tx, (y5+y6)/2-(y11+y12)/2 AS ty, (z5+z6)/2-(z11+z12)/2 AS tz, x0-(x5+x6)/2 AS dx, y0-(y5+y6)/2 AS dy, z0-(z5+z6)/2 AS dz FROM n)
-SELECT vec_id, {', '.join(f'round({a}{j}, 5) + 0.0 AS {a}{j}' for j in _J3 for a in 'xyz')}, round(degrees(atan2(y6-y5, x6-x5)), 5) + 0.0 AS shoulder_roll, round(degrees(atan2(y12-y11, x12-x11)), 5) + 0.0 AS hip_roll,
-round({_ANG(('tx', 'ty', 'tz'), ('0.0', '1.0', '0.0'))}, 4) + 0.0 AS torso_inclination, round({_ANG(('dx', 'dy', 'dz'), ('tx', 'ty', 'tz'))}, 5) AS head_torso_angle, round(dz, 5) AS head_depth, round(dx, 5) AS head_lateral, round(z6-z5, 5) + 0.0 AS shoulder_depth FROM m""")
+SELECT vec_id, {', '.join(f'round({a}{j}, 5) + 0.0 AS {pose.NAMES[j]}_{a}' for j in _J3 for a in 'xyz')}, round(degrees(atan2(y6-y5, x6-x5)), 5) + 0.0 AS shoulder_roll_deg, round(degrees(atan2(y12-y11, x12-x11)), 5) + 0.0 AS hip_roll_deg,
+round({_ANG(('tx', 'ty', 'tz'), ('0.0', '1.0', '0.0'))}, 4) + 0.0 AS torso_3d_inclination_deg, round({_ANG(('dx', 'dy', 'dz'), ('tx', 'ty', 'tz'))}, 5) AS head_torso_angle_3d_deg, round(dz, 5) AS head_depth_offset_norm, round(dx, 5) AS head_lateral_offset_norm, round(z6-z5, 5) + 0.0 AS shoulder_depth_asymmetry_norm FROM m""")
 def pose3d_canonical(spark, d):
     """FEA-06, FEA-08: all 22 values; zero has no sign here."""
     f = pose.body_features(T.pose3d(spark, d))
-    digits = {"torso_inclination": 4}
+    digits = {"torso_3d_inclination_deg": 4}
     return f.select("vec_id", *((F.round(c, digits.get(c, 5)) + 0.0).alias(c) for c in f.columns if c not in ("vec_id", "label", "reason")))
 
 

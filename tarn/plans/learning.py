@@ -25,7 +25,7 @@ def forest_out_of_fold(spark, d):
 
 
 # features that every usable view has
-_TREE_FEATURES = ("lsho_x", "lsho_y", "rsho_x", "rsho_y", "rhip_x", "rhip_y", "shoulder_slope", "hip_slope", "torso_inclination", "torso_length", "torso_offset")
+_TREE_FEATURES = ("left_shoulder_x", "left_shoulder_y", "right_shoulder_x", "right_shoulder_y", "right_hip_x", "right_hip_y", "shoulder_slope_deg", "hip_slope_deg", "torso_inclination_deg", "torso_length_norm", "torso_horizontal_offset_norm")
 _TREE_ROUNDS, _TREE_RATE, _TREE_BINS = 2, 0.3, 16
 
 

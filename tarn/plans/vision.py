@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import batch, pairs, pose, public, quality, stereo
 from tarn.plans.catalog import _SQL_3D, _SQL_CAND, _SQL_VIEW, _VIEW_JOINTS
-from tarn.plans.registry import query, rounded
+from tarn.plans.registry import SQL, query, rounded
 from tarn.sources import tables as T
 from tarn.streaming import chain, live
 
@@ -316,13 +316,13 @@ def _manifest(spark, d):
     return T.read(spark, d, "documents").select(F.col("doc_id").alias("capture_id")).withColumn("decision", F.expr(_DECISION))
 
 
-@query(_SQL_VIEW + f""", t AS (SELECT vec_id // 2 AS capture_id, count(DISTINCT vec_id % 2) AS views, bool_and(ok) AS usable, {', '.join(f"max(CASE WHEN vec_id % 2 = {i} THEN {c} END) AS {cam}_{c}" for i, cam in enumerate(('cam01', 'cam02')) for c in ('torso_inclination', 'torso_length'))} FROM f GROUP BY 1),
+@query(_SQL_VIEW + f""", t AS (SELECT vec_id // 2 AS capture_id, count(DISTINCT vec_id % 2) AS views, bool_and(ok) AS usable, {', '.join(f"max(CASE WHEN vec_id % 2 = {i} THEN {c} END) AS {cam}_{c}" for i, cam in enumerate(('cam01', 'cam02')) for c in pose.VIEW)} FROM f GROUP BY 1),
 st AS (SELECT doc_id AS capture_id, CASE WHEN coalesce(views, 0) < 2 THEN 'INVALID_ANNOTATION' WHEN NOT coalesce(usable, false) THEN 'INVALID_CORE_KEYPOINTS' ELSE 'USABLE' END AS status, t.* EXCLUDE (capture_id) FROM documents LEFT JOIN t ON doc_id = t.capture_id)
-SELECT capture_id, status, {', '.join(f"round(CASE WHEN status = 'USABLE' THEN {c} END, 6) AS {c}" for c in ('cam01_torso_inclination', 'cam02_torso_inclination', 'cam01_torso_length', 'cam02_torso_length'))} FROM st""")
+SELECT capture_id, status, {', '.join(f"round(CASE WHEN status = 'USABLE' THEN {c} END, 6) AS {c}" for c in (f'{cam}_{v}' for cam in ('cam01', 'cam02') for v in pose.VIEW))} FROM st""")
 def batch_2d(spark, d):
     """FEA-09, JSN-01, AGG-24."""
     f = batch.views_of(_manifest(spark, d).select("capture_id"), T.pose2d(spark, d, _VIEW_JOINTS))
-    return rounded(f.select("capture_id", "status", *(f"{cam}_{c}" for c in ("torso_inclination", "torso_length") for cam in ("cam01", "cam02"))))
+    return rounded(f.select("capture_id", "status", *(f"{cam}_{c}" for cam in ("cam01", "cam02") for c in pose.VIEW)))
 
 
 @query(_SQL_3D + f""", s AS (SELECT vec_id, valid AND greatest(sqrt(x5*x5+y5*y5+z5*z5), sqrt(x6*x6+y6*y6+z6*z6), sqrt(x11*x11+y11*y11+z11*z11), sqrt(x12*x12+y12*y12+z12*z12)) >= 1e-6 AS ok FROM q), m AS (SELECT doc_id AS capture_id FROM documents),
@@ -335,6 +335,16 @@ def batch_3d(spark, d):
     return a.join(b, "capture_id").groupBy("decision", "status", "body_status").agg(F.count("*").alias("n"))
 
 
+_BODY = [*pose.PLACES, *pose.BODY]
+
+
+@query(f"SELECT doc_id AS capture_id, {', '.join(_BODY)} FROM ({SQL['pose3d_canonical']}) JOIN documents ON vec_id = doc_id WHERE ({_DECISION.replace('capture_id', 'doc_id')}) LIKE 'INCLUDE%' AND left_shoulder_x IS NOT NULL")
+def batch_bodies(spark, d):
+    """FEA-11: the 22 values of every usable capture of a manifest."""
+    f = batch.bodies_of(_manifest(spark, d), T.pose3d(spark, d)).filter("status = 'USABLE'")
+    return f.select("capture_id", *((F.round(c, 4 if c == "torso_3d_inclination_deg" else 5) + 0.0).alias(c) for c in _BODY))
+
+
 @query(_SQL_3D + " SELECT n AS bodies, n AS hips_centred, n AS hip_axis, n AS shoulders_above, n AS torso_upright FROM (SELECT count(*) AS n FROM q WHERE valid)")
 def body_semantics(spark, d):
     """FEA-07: the facts hold for every body."""

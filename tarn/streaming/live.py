@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.geometry import norm
+from tarn.operators import pose
 
 SURE = 0.25
 PROFILES = ("upright", "leaning_forward", "leaning_backward", "leaning_left", "leaning_right", "slouching")
@@ -49,10 +50,7 @@ def choose_profile(df: DataFrame) -> DataFrame:
 
 
 #: features of the second camera's view, in the order of PROFILE_VALUES
-PROFILE_FEATURES = (
-    "nose_x", "nose_y", "lsho_x", "lsho_y", "rsho_x", "rsho_y", "lhip_x", "lhip_y", "rhip_x", "rhip_y", "shoulder_slope", "hip_slope", "torso_inclination",
-    "head_torso_angle", "head_to_shoulder", "torso_length", "head_offset", "torso_offset", "ear_h", "ear_v", "ear_neck",
-)
+PROFILE_FEATURES = pose.VIEW
 # What the second camera typically sees of each posture.
 PROFILE_VALUES = {
     "upright": (0.1622, -0.9837, -0.0576, -0.7358, -0.0049, -0.703, -0.0144, -0.0261, 0.0144, 0.0261, 44.3802, 76.6574, 6.7579, 48.3779, 0.3573, 0.7271, 0.1934, -0.0312, 1.2313, 4.5309, 119.5911),

@@ -86,7 +86,7 @@ def test_body_frame_invariants(spark):
 def test_body_frame_can_be_filtered(spark):
     f = pose.body_features(tables.pose3d(spark, SF))
     whole = f.toPandas()
-    assert f.filter("reason is null and head_depth > 0").count() == int((whole.reason.isna() & (whole.head_depth > 0)).sum()) > 0
+    assert f.filter("reason is null and head_depth_offset_norm > 0").count() == int((whole.reason.isna() & (whole.head_depth_offset_norm > 0)).sum()) > 0
 
 
 def test_mcnemar_p():

@@ -209,7 +209,7 @@ def test_desk_chain_with_a_model(spark):
     one = p.withColumns({"base_cx": F.lit(950.0), "base_w": F.lit(700.0), "base_ratio": F.lit(0.5)})
     single = chain.infer_single(one, live.profile_table(spark), model).collect()
     assert {r.status for r in single} == {"VALID", "REJECTED"} and all((r.prediction == "REJECT") == (r.status == "REJECTED") for r in single)
-    assert live.profile_table(spark).filter("profile = 'slouching'").first().ear_neck == 117.021 and live.profile_table(spark).count() == 6
+    assert live.profile_table(spark).filter("profile = 'slouching'").first().ear_neck_angle_deg == 117.021 and live.profile_table(spark).count() == 6
 
 
 def png(a, kind=0):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import boosting
 from tarn.operators.relational import medians
+from tarn.session import cut
 
 LEARNERS = ("boosted", "forest", "perceptron")
 
@@ -75,13 +76,15 @@ class Fitted:
 
 def fit(train: DataFrame, features: list[str], classes: list[str], kind: str, weights: dict[str, float] | None = None, key: str = "capture_id", **params) -> Fitted:
     """ML-09. Rows whose label is not in ``classes`` are left out. A feature that is NULL in all rows is dropped. Weights are by class (SPL-09). For boosted trees ``params`` are those of ``boosting.Params``, and ``key`` names the rows that are drawn together."""
-    train = train.filter(F.col("label").isin(classes))
+    own = [c for c in (key, "fold") if c in train.columns and c not in features]
+    # what is scanned several times is computed once
+    train = cut(train.filter(F.col("label").isin(classes)).select("label", *own, *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features)))
     found = medians(train, features)
     features = [c for c in features if found[c] is not None]
     if not features:
         raise ValueError("no feature has a value in the training rows")
     found = {c: found[c] for c in features}
-    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(found[c])) for c in features]
+    filled = [F.coalesce(F.col(c), F.lit(found[c])) for c in features]
     st = train.agg(*(F.avg(x).alias(f"a_{c}") for c, x in zip(features, filled, strict=True)), *(F.stddev_pop(x).alias(f"s_{c}") for c, x in zip(features, filled, strict=True))).first()
     made = Fitted(None, features, list(classes), found, {c: (float(st[f"a_{c}"]), float(st[f"s_{c}"])) for c in features})
     w = F.coalesce(*(F.when(F.col("label") == n, float(v)) for n, v in (weights or {}).items()), F.lit(1.0))

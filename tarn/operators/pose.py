@@ -83,7 +83,7 @@ def _scaled(df: DataFrame) -> DataFrame:
 
 def space_features(df: DataFrame) -> DataFrame:
     """Camera-frame features and coordinates (FEA-05)."""
-    df = _scaled(df)
+    df = _settled(_scaled(df))
     p = {j: tuple(F.col(f"{a}{j}") for a in "xyz") for j in (0, *CORE)}
     m, hip, nose = mid(p[5], p[6]), mid(p[11], p[12]), F.col("nose_ok")
     t, head = minus(m, hip), minus(p[0], m)

@@ -448,4 +448,4 @@ def safe_casts(spark, d):
     return T.read(spark, d, "events").select("event_id", F.coalesce(k.cast("int"), F.lit(0)).alias("k"), F.upper(F.trim("event_type")).alias("kind"), F.split(F.concat("event_type", F.lit("_x")), "_")[0].alias("head"), F.col("event_type").try_cast("double").isNull().alias("bad"))
 
 
-from tarn.plans import audits, learning, live, surfaces, vision  # noqa: E402, F401  (they register their queries)
+from tarn.plans import answers, audits, learning, live, surfaces, vision  # noqa: E402, F401  (they register their queries)

@@ -13,7 +13,7 @@ from tarn.sources import tables as T
 
 
 def _features(spark, d):
-    f = pose.view_features(T.pose2d(spark, d, (0, 3, 4, 5, 6, 11, 12))).filter("ok")
+    f = pose._settled(pose.view_features(T.pose2d(spark, d, (0, 3, 4, 5, 6, 11, 12)))).filter("ok")
     return f.select(F.col("vec_id").alias("capture_id"), (F.floor(F.col("vec_id") / 2) % 3).cast("int").alias("fold"), T.label("label").alias("label"), *pose.VIEW)
 
 

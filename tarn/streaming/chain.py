@@ -81,12 +81,13 @@ def infer_single(views: DataFrame, profiles: DataFrame, model: Fitted | None = N
     return _prediction(df, model, ["capture_id", "a_extrapolated", "profile"])
 
 
-def predict_stereo(pairs: DataFrame, rig: stereo.Rig, model: Fitted) -> DataFrame:
+def predict_stereo(pairs: DataFrame, rig: stereo.Rig | dict[str, stereo.Rig], model: Fitted) -> DataFrame:
     """STM-07: joints of two calibrated views, lifted, gated and described in the camera's frame."""
-    lifted = stereo.live_pose(pairs, rig)
-    f = pose.space_features(lifted.withColumnRenamed("capture_id", "vec_id").withColumn("label", F.lit(None).cast("string")))
-    gate = lifted.select(F.col("capture_id").alias("vec_id"), F.when(F.col("code") == "VALID_3D", "VALID").otherwise(F.col("code")).alias("code"))
-    return _answer(f.join(gate, "vec_id").withColumnRenamed("vec_id", "capture_id"), model)
+    lifted = pose._settled(stereo.live_pose(pairs, rig))
+    # the gate's answer goes along as the label, so joints are lifted once and nothing is joined
+    code = F.when(F.col("code") == "VALID_3D", "VALID").otherwise(F.col("code"))
+    f = pose.space_features(lifted.withColumnRenamed("capture_id", "vec_id").withColumn("label", code))
+    return _answer(pose._settled(f).withColumnsRenamed({"vec_id": "capture_id", "label": "code"}), model)
 
 
 def as_json(answers: DataFrame) -> DataFrame:

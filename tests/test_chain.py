@@ -34,12 +34,39 @@ def test_pairs_one_table_and_stream(spark, tmp_path):
 def test_stereo(spark):
     pose3 = tables.pose3d(spark, SF, range(17))
     f = pose.space_features(tables.pose3d(spark, SF)).filter("ok").withColumn("label", tables.label("label"))
-    model = learning.fit(f, list(pose.SPACE), list(tables.CLASSES), "forest", trees=3)
-    rows = chain.predict_stereo(stereo.synthetic_pairs(pose3), stereo.example_rig(), model).collect()
+    model = learning.fit(f.withColumnRenamed("vec_id", "capture_id"), list(pose.SPACE), list(tables.CLASSES), "boosted", rounds=2, depth=2)
+    rigs = stereo.example_rigs()
+    rows = chain.predict_stereo(stereo.synthetic_pairs(pose3, rigs), rigs, model).collect()
     assert len(rows) == pose3.count() and all((r.label_pred is None) == (r.code != "VALID") for r in rows)
     assert any(r.code == "VALID" for r in rows) and any(r.code.startswith("REJECT_3D") for r in rows)
 
 
+def test_a_saved_model_answers_the_same(spark, tmp_path):
+    """From joints to class: the model read back from its files gives the answers of the one that was fitted, and those of its trees asked one row at a time."""
+    views = pose.two_views(pose._settled(pose.view_features(tables.pose2d(spark, SF, chain.JOINTS)))).filter("usable").withColumn("label", tables.label("label"))
+    names = [f"{cam}_{c}" for cam in ("cam01", "cam02") for c in pose.VIEW]
+    model = learning.fit(views, names, list(tables.CLASSES), "boosted", rounds=3, depth=2)
+    model.save(f"file://{tmp_path}/m")
+    again = learning.Fitted.load(spark, f"file://{tmp_path}/m")
+    base = F.when(F.col("capture_id") % 3 > 0, 950.0)
+    pairs = tables.pairs(spark, SF, chain.JOINTS).withColumns({"a_base_cx": base, "b_base_cx": base, "left_side": F.col("capture_id") % 2 == 0})
+    rows = {r.capture_id: r for r in chain.infer_pairs(pairs, model).collect()}
+    assert rows == {r.capture_id: r for r in chain.infer_pairs(pairs, again).collect()}
+    assert {r.status for r in rows.values()} == {"VALID", "REJECTED"}
+    for r in rows.values():
+        if r.status == "VALID":
+            assert r.prediction == max(tables.CLASSES, key=lambda c: (r.probabilities[c], -tables.CLASSES.index(c))) and r.confidence == max(r.probabilities.values()) and abs(sum(r.probabilities.values()) - 1) < 1e-9
+        else:
+            assert r.prediction == "REJECT" and r.confidence == 0 and not any(r.probabilities.values())
+    # views as they are, without desk rules: features straight to the trees
+    asked = views.select("capture_id", *again.features).toPandas().set_index("capture_id")
+    filled = asked.astype(float).fillna(again.medians)
+    scaled = (filled - [again.scales[c][0] for c in again.features]) / [again.scales[c][1] or 1.0 for c in again.features]
+    want = dict(zip(asked.index, again.model.probabilities(scaled.to_numpy()), strict=True))
+    for r in chain.predict_pairs(tables.pose2d(spark, SF, chain.JOINTS), again).filter("code = 'VALID'").collect():
+        assert all(abs(r.probs[c] - p) < 1e-9 for c, p in zip(tables.CLASSES, want[r.capture_id], strict=True))
+
+
 def test_profiles(spark):
     rows = [("aside", 120.0, 100.0, 60.0, 100.0), ("other", 80.0, 100.0, 60.0, 100.0), ("slouch", 100.0, 104.0, 50.0, 100.0), ("front", 100.0, 108.0, 70.0, 100.0), ("back", 100.0, 93.0, 60.0, 100.0), ("none", 100.0, 104.0, None, 100.0), ("unknown", 500.0, 100.0, 60.0, None)]
     df = spark.createDataFrame([(n, cx, w, h, b, b, 0.6) for n, cx, w, h, b in rows], "n string, cx double, w double, head double, base_cx double, base_w double, base_ratio double")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -108,27 +106,52 @@ def difference_hashes(spark, d):
     return T.read(spark, d, "embeddings").select("vec_id", gray.alias("gray")).select("vec_id", files.difference_hash().alias("dhash"))
 
 
-@query("""SELECT * FROM (VALUES ('CAL_001', 0.1::DOUBLE, 520::DOUBLE), ('CAL_002', 0.2::DOUBLE, 530::DOUBLE), ('CAL_003', 0.3::DOUBLE, 540::DOUBLE)) t(calibration_id, baseline, focal)""")
+@query("""SELECT vec_id::VARCHAR AS key, CASE WHEN vec_id % 13 > 0 THEN 'IMG_' || vec_id END AS image_id, CASE WHEN vec_id % 13 > 0 AND vec_id % 5 > 0 THEN round(embedding[1]::DOUBLE, 6) END AS score, vec_id % 13 > 0 AND vec_id % 5 = 0 AS not_a_number,
+CASE WHEN vec_id % 13 > 0 AND vec_id % 3 > 0 THEN round(embedding[2]::DOUBLE, 6) END AS y FROM embeddings""")
+def document_files(spark, d):
+    """SRC-03, SRC-05: a file a view, read by key: literal NaN, missing and unknown fields, and every thirteenth document broken off in the middle."""
+    path = workspace(spark, "views")
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double").cast("string")
+    score = F.when(F.col("vec_id") % 5 == 0, "NaN").otherwise(e(0))
+    points = F.when(F.col("vec_id") % 3 > 0, F.concat(F.lit(', "keypoints": [['), e(0), F.lit(", "), e(1), F.lit("]]"))).otherwise(F.lit(""))
+    whole = F.concat(F.lit('{"image_id": "IMG_'), F.col("vec_id").cast("string"), F.lit('", "other": [1, {}], "composite_score": '), score, points, F.lit("}"))
+    text = F.when(F.col("vec_id") % 13 == 0, F.substring(whole, 1, 12)).otherwise(whole)
+    files.write_texts(T.read(spark, d, "embeddings").withColumn("text", text), path, "vec_id", "text")
+    v = files.read_documents(spark, path, files.PERSON, glob="*.txt")
+    score = F.col("doc.composite_score")
+    return rounded(v.select("key", "doc.image_id", F.nanvl(score, F.lit(None).cast("double")).alias("score"), F.coalesce(F.isnan(score), F.lit(False)).alias("not_a_number"), F.get(F.get("doc.keypoints", F.lit(0)), F.lit(1)).alias("y")))
+
+
+@query("""SELECT 'CAL_' || s_suppkey AS calibration_id, round(sqrt(pow(s_acctbal::DOUBLE / 10000, 2) + 0.25), 6) AS baseline, round(510 + s_nationkey::DOUBLE, 6) AS focal FROM supplier WHERE s_suppkey % 4 > 0""")
 def rig_documents(spark, d):
-    """SRC-12, SRC-03: calibration documents by id, an allow-list, and the shift in either spelling."""
+    """SRC-12: calibration documents, a file a rig, with an allow-list and the shift in either spelling."""
     path = workspace(spark, "rigs")
-    for k in range(1, 5):
-        name = "translation_vector_T" if k % 2 else "translation_vector_T_m"
-        doc = {"calibration_id": f"CAL_{k:03d}", "extrinsics": {name: [[0.0], [k / 10], [0.0]]}, "intrinsics_refined": {"K1": [[510.0 + 10 * k, 0, 320], [0, 515, 240], [0, 0, 1]]}}
-        files.write_text(spark, f"{path}/CAL_{k:03d}_stereo.json", json.dumps(doc))
-    rigs = files.read_rigs(spark, path, ["CAL_001", "CAL_002", "CAL_003"])
-    shift = F.flatten(F.coalesce("doc.extrinsics.translation_vector_T", "doc.extrinsics.translation_vector_T_m"))
-    size = F.sqrt(F.aggregate(shift, F.lit(0.0), lambda a, x: a + x * x))
+    s = T.read(spark, d, "supplier").withColumn("id", F.concat(F.lit("CAL_"), F.col("s_suppkey").cast("string")))
+    shift = F.array(F.array(F.col("s_acctbal").cast("double") / 10000), F.array(F.lit(0.3)), F.array(F.lit(0.4)))
+    camera = F.struct(F.array(F.array(510.0 + F.col("s_nationkey"), F.lit(0.0), F.lit(320.0))).alias("K1"))
+    own, other = (F.to_json(F.struct(F.col("id").alias("calibration_id"), F.struct(shift.alias(n)).alias("extrinsics"), camera.alias("intrinsics_refined"))) for n in ("translation_vector_T", "translation_vector_T_m"))
+    files.write_texts(s.withColumn("text", F.when(F.col("s_suppkey") % 2 == 0, own).otherwise(other)), path, "id", "text")
+    allowed = s.filter("s_suppkey % 4 > 0").select(F.col("id").alias("calibration_id"))
+    rigs = files.read_rigs(spark, path, glob="*.txt").join(allowed, "calibration_id", "left_semi")
+    moved = F.flatten(F.coalesce("doc.extrinsics.translation_vector_T", "doc.extrinsics.translation_vector_T_m"))
+    size = F.sqrt(F.aggregate(moved, F.lit(0.0), lambda a, x: a + x * x))
     return rounded(rigs.select("calibration_id", size.alias("baseline"), F.get(F.get("doc.intrinsics_refined.K1", F.lit(0)), F.lit(0)).alias("focal")))
 
 
-_CONFIG = "path: /data/x\ntrain: images/train # folder\nnc: 3\nrate: 0.5\nnames: [good, 'bad', 7]\nkpt_shape:\n  - 17\n  - 3\nflip:\n  left: 1\n  right: 2\n"
+_ENTRIES = (
+    ("path", "'/data/' || n_name"), ("nc", "n_nationkey::VARCHAR"), ("rate", "n_regionkey || '.5'"), ("names", "'[' || chr(39) || lower(n_name) || chr(39) || ', ' || n_nationkey || ']'"),
+    ("kpt_shape", "'[' || n_nationkey || ', 3]'"), ("flip", "'{' || chr(39) || 'left' || chr(39) || ': ' || n_regionkey || ', ' || chr(39) || 'right' || chr(39) || ': ' || chr(39) || 'r' || chr(39) || '}'"),
+)
 
 
-@query("""SELECT * FROM (VALUES ('path', '/data/x'), ('train', 'images/train'), ('nc', '3'), ('rate', '0.5'), ('names', '[''good'', ''bad'', 7]'), ('kpt_shape', '[17, 3]'), ('flip', '{''left'': 1, ''right'': 2}')) t("key", "value")""")
+@query(" UNION ALL ".join(f"SELECT n_name AS config, '{k}' AS entry, {v} AS value FROM nation" for k, v in _ENTRIES))
 def config_values(spark, d):
-    """SRC-08."""
-    return spark.createDataFrame([(k, str(v)) for k, v in files.read_config(_CONFIG).items()], "key string, value string")
+    """SRC-08: a configuration file a nation: scalars, comments, both kinds of lists and a map."""
+    path = workspace(spark, "configs")
+    text = F.format_string("path: /data/%s\nnc: %d # classes\nrate: %d.5\n# names\nnames: [%s, %d]\nkpt_shape:\n  - %d\n  - 3\nflip:\n  left: %d\n  right: 'r'\n", "n_name", "n_nationkey", "n_regionkey", F.lower("n_name"), "n_nationkey", "n_nationkey", "n_regionkey")
+    files.write_texts(T.read(spark, d, "nation").withColumn("text", text), path, "n_name", "text")
+    found = files.read_configs(spark, path, "*.txt")
+    return found.select(F.url_decode(F.regexp_extract("path", "/key=([^/]+)/", 1)).alias("config"), "entry", "value")
 
 
 @query("""SELECT '| r_regionkey | r_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS report FROM region""")
@@ -231,13 +254,15 @@ def dataset_audit(spark, d):
     return reports.audit(i.join(h, F.col("doc_id") == F.col("key")))["summary"]
 
 
-@query("SELECT * FROM (VALUES (1, 'write', 'done'), (2, 'broken', 'failed'), (3, 'again', 'skipped'), (4, 'last', 'done')) t(nth, step, status)")
+@query("SELECT unnest([1, 2, 3, 4, 5]) AS nth, unnest(['write', 'sum', 'broken', 'again', 'last']) AS step, unnest(['done', 'done', 'failed', 'skipped', 'done']) AS status, unnest([count(*), count(DISTINCT c_nationkey), NULL, NULL, count(*) FILTER (WHERE c_acctbal < 0)]) AS rows FROM customer")
 def step_report(spark, d):
-    """ORC-01, ORC-02: steps in order; one fails without stopping the rest, one finds its output written."""
-    out = workspace(spark, "steps")
+    """ORC-01, ORC-02: steps in order, each on what an earlier one wrote; one fails without stopping the rest, one finds its output written. ``rows``: what a step that ran left behind."""
+    a, b, c = (workspace(spark, n) for n in ("customers", "nations", "debts"))
     steps = [
-        runner.Step("write", lambda s: T.read(s, d, "region").write.parquet(out), (out,)), runner.Step("broken", lambda s: None, (f"{out}-none",)),
-        runner.Step("again", lambda s: None, (out,)), runner.Step("last", lambda s: None),
+        runner.Step("write", lambda s: T.read(s, d, "customer").write.parquet(a), (a,)), runner.Step("sum", lambda s: s.read.parquet(a).groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("sum")).write.parquet(b), (b,)),
+        runner.Step("broken", lambda s: None, (f"{a}-none",)), runner.Step("again", lambda s: None, (a,)), runner.Step("last", lambda s: s.read.parquet(a).filter("c_acctbal < 0").write.parquet(c), (c,)),
     ]
-    report = runner.run(spark, steps[:2], go_on=True) + runner.run(spark, steps[2:], skip_written=True)
-    return spark.createDataFrame([(i, r["step"], r["status"]) for i, r in enumerate(report, 1)], "nth int, step string, status string")
+    report = runner.run(spark, steps[:3], go_on=True) + runner.run(spark, steps[3:], skip_written=True)
+    left = {"write": a, "sum": b, "last": c}
+    rows = [(i, r["step"], r["status"], spark.read.parquet(left[r["step"]]).count() if r["status"] == "done" else None) for i, r in enumerate(report, 1)]
+    return spark.createDataFrame(rows, "nth int, step string, status string, rows bigint")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,10 +27,11 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = N
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in number}) if number else df
 
 
-def read_documents(spark: SparkSession, path: str, schema: str, suffix: str = "") -> DataFrame:
-    """SRC-03, SRC-05: one row a JSON document with ``key``, its file name without ``suffix`` and .json. Literal NaN is accepted and a broken document is a row of NULLs."""
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}.json")
-    key = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*?)" + suffix + r"\.json$", 1)
+def read_documents(spark: SparkSession, path: str, schema: str, suffix: str = "", glob: str | None = None) -> DataFrame:
+    """SRC-03, SRC-05: one row a JSON document with ``key``: the value of its folder ``key=...`` where it lies in one (as ``write_texts`` puts it), else its file name without ``suffix`` and .json. Literal NaN is accepted and a broken document is a row of NULLs."""
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob or f"*{suffix}.json")
+    folder = F.nullif(F.url_decode(F.regexp_extract("_metadata.file_path", r"/key=([^/]+)/[^/]+$", 1)), F.lit(""))
+    key = F.coalesce(folder, F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*?)" + suffix + r"\.json$", 1))
     return text.select(key.alias("key"), F.from_json("value", schema, {"allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}).alias("doc"))
 
 
@@ -42,9 +46,9 @@ def annotated(images: DataFrame, first: DataFrame, second: DataFrame) -> DataFra
     return j.select(*images.columns, F.when(status == "OK", doc).alias("doc"), status.alias("status"))
 
 
-def read_rigs(spark: SparkSession, path: str, allowed: list[str] | None = None) -> DataFrame:
+def read_rigs(spark: SparkSession, path: str, allowed: list[str] | None = None, glob: str | None = None) -> DataFrame:
     """SRC-12: stereo calibrations by id; a small table that plans may broadcast."""
-    rigs = read_documents(spark, path, RIG, "_stereo").select(F.coalesce("doc.calibration_id", "key").alias("calibration_id"), "doc")
+    rigs = read_documents(spark, path, RIG, "_stereo", glob).select(F.coalesce("doc.calibration_id", "key").alias("calibration_id"), "doc")
     return rigs.filter(F.col("calibration_id").isin(allowed)) if allowed is not None else rigs
 
 
@@ -95,6 +99,19 @@ def read_config(text: str) -> dict:
     return out
 
 
+def read_configs(spark: SparkSession, path: str, glob: str = "*.yaml") -> DataFrame:
+    """SRC-08 for many files: a row a file and entry, ``path``, ``entry`` and ``value`` as Python writes it. A small helper reads each text; files stay where they are."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [[(str(k), str(v)) for k, v in read_config(t or "").items()] for t in batch.to_pylist()]
+            yield pa.array(found, pa.map_(pa.string(), pa.string()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.arrow_udf(run, "map<string,string>")("value").alias("m")).select("path", F.explode("m").alias("entry", "value"))
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*", labels: bool = True) -> DataFrame:
     """SRC-09, BIT-01: path, size, SHA-256, split and label taken from the last folders (``split/label/file``)."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
@@ -145,11 +162,16 @@ def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, append:
     df.write.mode("append" if append else "overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:
+    """A file of ``text`` a row, each in a folder ``key=value`` of its own; written by the tasks that hold the rows."""
+    df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("value")).repartition("key").write.mode("overwrite").partitionBy("key").text(path)
+
+
 def write_documents(df: DataFrame, path: str, key: str, each: bool = False) -> None:
     """SNK-04: a JSON document a row, NULLs kept. Lines, many to a file; with ``each`` a folder ``key=value`` a document, for readers that want files, which suits small tables."""
     doc = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
     if each:
-        doc.repartition("key").write.mode("overwrite").partitionBy("key").text(path)
+        write_texts(doc, path, "key", "value")
     else:
         doc.select("value").write.mode("overwrite").text(path)
 

@@ -9,9 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.pose import _settled
 from tarn.session import cut
 
 
@@ -49,24 +50,74 @@ def hamming():
     return F.bit_count(F.col("a_hi").bitwiseXOR(F.col("b_hi"))) + F.bit_count(F.col("a_lo").bitwiseXOR(F.col("b_lo")))
 
 
-def near_pairs(hashes: DataFrame, most: int) -> DataFrame:
-    """DUP-02 and DUP-03: pairs at most ``most`` bits apart that share one of four 16-bit bands. One row a distinct hash (min key) goes
-    in, so copies never multiply. What shares a band differs in at most ``most`` of the other 48 bits, so of ``most`` + 1 parts of these one is equal as well: pairs meet on
-    band and part together (24 bits for 5), and are kept in the first band and first part they share, which needs no distinct."""
+def _part(value: Column, at: int, bits: int) -> Column:
+    return F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _without(value: Column, at: int, bits: int) -> Column:
+    """The number without ``bits`` bits from bit ``at`` on."""
+    return F.shiftleft(F.shiftrightunsigned(value, at + bits), at).bitwiseOR(value.bitwiseAND(F.lit((1 << at) - 1)))
+
+
+def _spans(total: int, parts: int) -> list[tuple[int, int]]:
+    width = total // parts
+    return [(i * width, width if i < parts - 1 else total - (parts - 1) * width) for i in range(parts)]
+
+
+def _rest(band: int, hi: str, lo: str) -> Column:
+    """The 48 bits of a hash beside one of its four bands of 16."""
+    h, low = F.col(hi), F.col(lo)
+    if band < 2:
+        return F.shiftleft(h.bitwiseAND(F.lit(65535)) if band == 0 else F.shiftright(h, 16), 32).bitwiseOR(low)
+    return F.shiftleft(h, 16).bitwiseOR(low.bitwiseAND(F.lit(65535)) if band == 2 else F.shiftright(low, 16))
+
+
+#: hashes of a bucket from which it is split further
+FULL = 2_000
+
+
+def candidates(one: DataFrame, most: int, full: int = FULL) -> DataFrame:
+    """(a_key, a_hi, a_lo, b_key, b_hi, b_lo, bucket, third) of hashes that meet; a pair may meet several times. ``one``: key, hi, lo, distinct hashes.
+
+    Pairs share one of four bands of 16 bits, and of the other 48 bits one of ``most`` + 1 parts (24 bits together for ``most`` 5). A bucket of more than ``full`` hashes is split by the bits that are left: what differs in at most
+    ``most`` of them shares one of ``most`` + 1 parts of these too. Candidates of N evenly spread hashes grow as N squared / 2^24, and those of a full bucket fall by another 2^6. Rows that are shuffled are a number for the bucket and the hash itself."""
+    spans = _spans(48, most + 1)
+    value = [F.shiftright("hi", 16), F.col("hi").bitwiseAND(F.lit(65535)), F.shiftright("lo", 16), F.col("lo").bitwiseAND(F.lit(65535))]
+    # per band: its value and number in the high bits, and the rest of the hash
+    bands = F.explode(F.array(*(F.struct(F.shiftleft(F.shiftleft(v, 2) + k, 34).alias("band"), _rest(k, "hi", "lo").alias("rest")) for k, v in enumerate(value)))).alias("s")
+    each = one.select("key", "hi", "lo", bands).select("key", "hi", "lo", "s.band", "s.rest")
+    met = each.select("key", "hi", "lo", "rest", F.explode(F.array(*(F.col("band") + F.lit(i << 24) + _part(F.col("rest"), at, bits) for i, (at, bits) in enumerate(spans)))).alias("bucket"))
+    sized = _settled(met.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1"))
+    part = F.shiftright("bucket", 24).bitwiseAND(F.lit(1023))
+    left = F.coalesce(*(F.when(part == i, _without(F.col("rest"), at, bits)) for i, (at, bits) in enumerate(spans)))
+    thirds = _spans(48 - max(bits for _, bits in spans), most + 1)
+    sized = _settled(sized.select("key", "hi", "lo", "bucket", F.when(F.col("n") > full, left).alias("left")))
+    third = F.when(F.col("left").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array(*(F.lit(i << 32) + _part(F.col("left"), at, bits) for i, (at, bits) in enumerate(thirds))))
+    split = sized.select("key", "hi", "lo", "bucket", F.explode(third).alias("third"))
+    side = lambda p: split.select(*(F.col(c).alias(f"{p}_{c}") for c in ("key", "hi", "lo")), "bucket", "third")
+    return side("a").join(side("b"), ["bucket", "third"]).filter("a_key < b_key")
+
+
+def near_pairs(hashes: DataFrame, most: int, full: int = FULL) -> DataFrame:
+    """DUP-02 and DUP-03: pairs at most ``most`` bits apart that share one of four 16-bit bands. One row a distinct hash (min key) goes in, so copies never multiply; a pair is kept where it meets in the first
+    band, first part and, in a full bucket, first third part that it shares, which needs no distinct."""
     one = hashes.groupBy("hi", "lo").agg(F.min("key").alias("key"))
-    bands = F.array(F.shiftright("hi", 16), F.col("hi").bitwiseAND(F.lit(65535)), F.shiftright("lo", 16), F.col("lo").bitwiseAND(F.lit(65535)))
-    width = 48 // (most + 1)
-    spans = [(i * width, width if i < most else 48 - most * width) for i in range(most + 1)]
-    part = lambda c, at, bits: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << bits) - 1))
-    rest = F.aggregate(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: k != F.col("band")), F.lit(0).cast("bigint"), lambda acc, k: F.shiftleft(acc, 16) + F.get("bands", k))
-    banded = one.withColumn("bands", bands).select("key", "hi", "lo", "bands", F.posexplode("bands").alias("band", "v")).withColumn("rest", rest)
-    parted = banded.select("key", "hi", "lo", "bands", "band", "v", "rest", F.posexplode(F.array(*(part(F.col("rest"), at, bits) for at, bits in spans))).alias("part", "u"))
-    side = lambda p: parted.select(*(F.col(c).alias(f"{p}_{c}") for c in ("key", "hi", "lo", "bands", "rest")), "band", "v", "part", "u")
-    pairs = side("a").join(side("b"), ["band", "v", "part", "u"]).filter("a_key < b_key")
-    first = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), True) - 1
-    gap = F.col("a_rest").bitwiseXOR(F.col("b_rest"))
-    first_part = F.coalesce(*(F.when(part(gap, at, bits) == 0, i) for i, (at, bits) in enumerate(spans)))
-    return pairs.filter((first == F.col("band")) & (first_part == F.col("part"))).withColumn("distance", hamming()).filter(F.col("distance") <= most).select("a_key", "b_key", "distance")
+    near = candidates(one, most, full).withColumn("distance", hamming()).filter(F.col("distance") <= most)
+    spans = _spans(48, most + 1)
+    thirds = _spans(48 - max(bits for _, bits in spans), most + 1)
+    x, y = F.col("hi"), F.col("lo")
+    near = _settled(near.select("a_key", "b_key", "distance", "bucket", "third", F.col("a_hi").bitwiseXOR(F.col("b_hi")).alias("hi"), F.col("a_lo").bitwiseXOR(F.col("b_lo")).alias("lo")))
+    gaps = (F.shiftright(x, 16), x.bitwiseAND(F.lit(65535)), F.shiftright(y, 16), y.bitwiseAND(F.lit(65535)))
+    band = F.coalesce(*(F.when(g == 0, k) for k, g in enumerate(gaps)))
+    rest = F.coalesce(*(F.when(F.col("band") == k, _rest(k, "hi", "lo")) for k in range(4)))
+    near = _settled(_settled(near.withColumn("band", band)).withColumn("rest", rest))
+    part = F.coalesce(*(F.when(_part(F.col("rest"), at, bits) == 0, i) for i, (at, bits) in enumerate(spans)))
+    near = _settled(near.withColumn("part", part))
+    left = F.coalesce(*(F.when(F.col("part") == i, _without(F.col("rest"), at, bits)) for i, (at, bits) in enumerate(spans)))
+    near = _settled(near.withColumn("left", left))
+    first = F.coalesce(*(F.when(_part(F.col("left"), at, bits) == 0, i) for i, (at, bits) in enumerate(thirds)))
+    here = (F.shiftright("bucket", 34).bitwiseAND(F.lit(3)) == F.col("band")) & (F.shiftright("bucket", 24).bitwiseAND(F.lit(1023)) == F.col("part")) & ((F.col("third") < 0) | (F.shiftright("third", 32) == first))
+    return near.filter(here).select("a_key", "b_key", "distance")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.geometry import decimals
+from tarn.operators import pose
 
 SURE = 0.25
 
@@ -46,8 +47,14 @@ def _relative(p: str) -> dict[str, Column]:
 def correspondence(df: DataFrame, thorough: bool = False) -> DataFrame:
     """QC-02 (three checks) and QC-03 (``thorough``: five, and ``flags``, the checks that fired with their numbers, joined by ``; ``, or CLEAN; STR-08). Adds ``score`` and ``verdict``."""
     a, b = _relative("a"), _relative("b")
-    ratio = b["area"] / F.greatest(a["area"], F.lit(0.001))
-    gap = F.abs(a["nose"] - b["nose"])
+    measures = {"_ratio": b["area"] / F.greatest(a["area"], F.lit(0.001)), "_gap": F.abs(a["nose"] - b["nose"]), "_a_span": a["span"], "_b_span": b["span"]}
+    if thorough:
+        measures |= {"_rise": b["rise"] / F.greatest(a["rise"], F.lit(1.0)), "_a_centre": a["centre"], "_b_centre": b["centre"]}
+    columns = df.columns
+    # numbers once; the texts of the checks name them many times
+    df = pose._settled(df.withColumns(measures))
+    ratio, gap = F.col("_ratio"), F.col("_gap")
+    a, b = ({k: F.col(f"_{p}_{k}") for k in ("span", "centre")} for p in "ab")
 
     def says(text: str, *values: tuple[Column, int]) -> Column:
         return F.format_string(text, *(decimals(c, n) for c, n in values)) if values else F.lit(text)
@@ -59,7 +66,7 @@ def correspondence(df: DataFrame, thorough: bool = False) -> DataFrame:
         [((a["span"] > 0.30) & (b["span"] > 0.30), says("BOTH_FRONTAL_SPAN(c1=%s,c2=%s)", (a["span"], 3), (b["span"], 3)), 3)],
     ]
     if thorough:
-        rise = b["rise"] / F.greatest(a["rise"], F.lit(1.0))
+        rise = F.col("_rise")
         checks[2].append(((b["span"] > 0.25) & a["span"].isNotNull(), says("LATERAL_WIDE_SPAN(c2=%s)", (b["span"], 3)), 1))
         checks.append([((rise > 2.0) | (rise < 0.5), says("TORSO_V_EXTREME(ratio=%s)", (rise, 2)), 2)])
         checks.append([((a["centre"] <= 0.2) | (a["centre"] >= 0.8), says("C1_OFF_CENTER"), 1)])
@@ -72,4 +79,4 @@ def correspondence(df: DataFrame, thorough: bool = False) -> DataFrame:
         said = [F.initcap(F.col(f"{p}_has").cast("string")) for p in "ab"]
         df = df.withColumn("flags", F.when(~both, F.format_string("C1_target=%s, C2_target=%s", *said)).when(F.size(flags) == 0, "CLEAN").otherwise(F.array_join(flags, "; ")))
     s = F.col("score")
-    return df.withColumn("verdict", F.when(~both, "NO_TARGET").when(s == 0, "SAME_PERSON").when(s <= 2, "LIKELY_SAME").when(s <= 4, "SUSPICIOUS").otherwise("WRONG_PERSON"))
+    return df.select(*columns, "score", *(["flags"] if thorough else []), F.when(~both, "NO_TARGET").when(s == 0, "SAME_PERSON").when(s <= 2, "LIKELY_SAME").when(s <= 4, "SUSPICIOUS").otherwise("WRONG_PERSON").alias("verdict"))

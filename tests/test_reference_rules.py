@@ -142,8 +142,8 @@ def test_simhash_and_pairs(spark):
         near.append((v >> 32, v & 0xFFFFFFFF))
     hashes = base + near
     rows = spark.createDataFrame([(i, h, l) for i, (h, l) in enumerate(hashes)], "key long, hi long, lo long")
-    for most in (5, 3):
-        found = {(r.a_key, r.b_key): r.distance for r in dedup.near_pairs(rows, most).collect()}
+    for most, full in ((5, 2000), (5, 1), (3, 1), (3, 2000)):
+        found = {(r.a_key, r.b_key): r.distance for r in dedup.near_pairs(rows, most, full).collect()}
         want, least = {}, {}
         for i, h in enumerate(hashes):
             least.setdefault(h, i)
@@ -157,6 +157,21 @@ def test_simhash_and_pairs(spark):
         assert found == want and len(want) > 40
 
 
+def test_full_buckets_of_hashes_are_split(spark):
+    """3,000 hashes share one band and one part: met all with all they would be 4.5 million candidates; split further they are a 64th part or so, and no pair is lost."""
+    rng = random.Random(6)
+    seen = {(0xABCD << 16 | rng.getrandbits(16), 0x77 << 24 | rng.getrandbits(24)) for _ in range(3000)}
+    close = {(h ^ 1 << rng.randrange(16), low ^ 1 << rng.randrange(24) ^ 1 << rng.randrange(24)) for h, low in list(seen)[:200]}
+    hashes = sorted(seen | close)
+    rows = spark.createDataFrame([(i, h, low) for i, (h, low) in enumerate(hashes)], "key long, hi long, lo long")
+    whole, split = (dedup.candidates(rows, 5, full) for full in (10**6, 500))
+    n, m = whole.count(), split.count()
+    assert n > 4_000_000 and m < n / 8
+    pairs = lambda full: {tuple(r) for r in dedup.near_pairs(rows, 5, full).collect()}
+    found = dedup.near_pairs(rows, 5, 500).collect()
+    assert pairs(500) == pairs(10**6) and len(pairs(500)) == len(found) >= 200  # each pair once
+
+
 def test_tracker_controls_and_stream(spark, tmp_path):
     frames = tables.frames(spark, SF).withColumn("control", F.when(F.col("event_id") % 5 == 3, "calibrate"))
     got = {r.event_id: r for r in tracker.follow(frames).collect()}

@@ -160,6 +160,12 @@ def report_text(spark, d):
     return spark.createDataFrame([(files.markdown(T.read(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")),)], "report string")
 
 
+@query("""SELECT 0::BIGINT AS nth, '| c_custkey | c_name | c_acctbal |' AS line UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT 1 + row_number() OVER (ORDER BY c_custkey), '| ' || c_custkey || ' | ' || c_name || ' | ' || c_acctbal || ' |' FROM customer""")
+def report_lines(spark, d):
+    """SNK-05: a report of a whole table, line by line, made by many tasks."""
+    return files.report_lines(T.read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_custkey")
+
+
 # --- columns and texts ----------------------------------------------------------------------------------------------
 
 

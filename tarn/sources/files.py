@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tarn.operators.relational import in_order
+
 #: selected_person and keypoints_2d documents; unknown fields are ignored, missing ones are NULL
 PERSON = "image_id string, capture_id string, has_target boolean, has_pose boolean, selected_cand_idx int, composite_score double, bbox array<double>, keypoints array<array<double>>, confidences array<double>"
 SPACE = "capture_id string, calibration_id string, valid_core_joints int, keypoints_3d_m array<array<double>>"
@@ -30,7 +32,8 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = N
 def read_documents(spark: SparkSession, path: str, schema: str, suffix: str = "", glob: str | None = None) -> DataFrame:
     """SRC-03, SRC-05: one row a JSON document with ``key``: the value of its folder ``key=...`` where it lies in one (as ``write_texts`` puts it), else its file name without ``suffix`` and .json. Literal NaN is accepted and a broken document is a row of NULLs."""
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob or f"*{suffix}.json")
-    folder = F.nullif(F.url_decode(F.regexp_extract("_metadata.file_path", r"/key=([^/]+)/[^/]+$", 1)), F.lit(""))
+    # folders are escaped once by their writer and once more in the path
+    folder = F.nullif(F.url_decode(F.url_decode(F.replace(F.regexp_extract("_metadata.file_path", r"/key=([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%252B")))), F.lit(""))
     key = F.coalesce(folder, F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*?)" + suffix + r"\.json$", 1))
     return text.select(key.alias("key"), F.from_json("value", schema, {"allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}).alias("doc"))
 
@@ -185,6 +188,23 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 
 
+def _cells(df: DataFrame) -> Column:
+    cell = lambda c: F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |"))
+
+
+def report_lines(df: DataFrame, *order: str) -> DataFrame:
+    """SNK-05 for reports of any length: (nth, line) of a table with its two head lines, rows in ``order``, which must leave no ties. No task holds the report, and nothing of it comes to the driver."""
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    lines = in_order(df, *order).select((F.col("_at") + 2).cast("bigint").alias("nth"), _cells(df).alias("line"))
+    return df.sparkSession.createDataFrame(list(enumerate(head)), "nth bigint, line string").unionByName(lines)
+
+
+def write_report(df: DataFrame, path: str, *order: str) -> None:
+    """``report_lines`` as text files whose names are in the order of the lines."""
+    report_lines(df, *order).repartitionByRange("nth").sortWithinPartitions("nth").select("line").write.mode("overwrite").text(path)
+
+
 def reset(spark: SparkSession, source: str, target: str) -> None:
     """SNK-07: a new version of a Parquet table with its columns and no rows, never in place."""
     spark.read.parquet(source).limit(0).write.mode("errorifexists").parquet(target)

@@ -103,3 +103,24 @@ def test_checks(spark):
         audit.require(audit.expectations(df, {"set": F.col("v") > 0}))
     assert audit.with_defaults(df, chair="none", V=1).columns == ["k", "v", "chair"]
     assert audit.next_id(spark.createDataFrame([], "id string"), "id", "CAP", 6).first().next_id == "CAP000001"
+
+
+def test_a_report_in_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i == 3 else f"a|{i}") for i in range(50)], "k long, v string").repartition(4)
+    files.write_report(df, f"file://{tmp_path}/r", "k")
+    text = [r.value for p in sorted((tmp_path / "r").glob("part-*")) for r in spark.read.text(f"file://{p}").collect()]
+    assert text == ["| k | v |", "|---|---|", *(f"| {i} | {'' if i == 3 else f'a{chr(92)}|{i}'} |" for i in range(50))]
+    assert "\n".join(text) == files.markdown(df.orderBy("k"))
+    assert [r.line for r in files.report_lines(df.limit(0), "k").orderBy("nth").collect()] == text[:2]
+
+
+def test_configurations_and_keys_in_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("a b", "x: 1\ny: [2, z]"), ("c", ""), ("d", None)], "name string, text string")
+    files.write_texts(rows, f"file://{tmp_path}/c", "name", "text")
+    got = {(r.path.split("/key=")[1].split("/")[0], r.entry, r["value"]) for r in files.read_configs(spark, f"file://{tmp_path}/c", "*.txt").collect()}
+    assert {(e, v) for _, e, v in got} == {("x", "1"), ("y", "[2, 'z']")}
+    docs = spark.createDataFrame([("k/1+ %", '{"image_id": "i", "composite_score": NaN}'), ("k2", '{"image_id": "br'), ("k3", "")], "name string, text string")
+    files.write_texts(docs, f"file://{tmp_path}/d", "name", "text")
+    read = {r.key: r.doc for r in files.read_documents(spark, f"file://{tmp_path}/d", files.PERSON, glob="*.txt").collect()}
+    assert read["k/1+ %"].image_id == "i" and read["k/1+ %"].composite_score != read["k/1+ %"].composite_score
+    assert read["k2"] is None or read["k2"].image_id is None

@@ -132,7 +132,7 @@ def _step(df: DataFrame, keep: list[str], **made: str) -> DataFrame:
 
 
 def lift(pairs: DataFrame, rigs: Rig | dict[str, Rig], guard: bool = False) -> DataFrame:
-    """A row a joint of each pair: ``pair`` (a number that names the pair's row), ``rest`` (the pair's other columns), ``j``, ``ok`` (both views are sure, from 0.25 on, and the joint has a place), x, y, z in the first
+    """A row a joint of each pair: ``pair`` (128 bits of hash that stand for the pair's row, so it is the same if a task runs again; equal rows share it), ``rest`` (the pair's other columns), ``j``, ``ok`` (both views are sure, from 0.25 on, and the joint has a place), x, y, z in the first
     camera's frame, rx, ry, rz in the rectified one, and reprojection errors e1, e2 in pixels at calibration size (GEO-08 to 13); NaN where there is no place. A pair without 17 joints, or without a rig, has no joint that is ok;
     NULL and NaN coordinates have no place, a missing confidence isn't sure. ``guard`` replaces a vanishing weight by 1e-7 (GEO-11)."""
     arrays = ("p1", "p2", "c1", "c2")
@@ -140,7 +140,8 @@ def lift(pairs: DataFrame, rigs: Rig | dict[str, Rig], guard: bool = False) -> D
     for c in arrays:
         fits = fits & F.coalesce(F.size(c) == JOINTS, F.lit(False))
     own = ["calibration_id"] if isinstance(rigs, dict) else []
-    numbered = pairs.select(F.monotonically_increasing_id().alias("pair"), F.struct(*(c for c in pairs.columns if c not in arrays)).alias("rest"), *own, *arrays)
+    whole = [F.col(f"`{c}`") for c in pairs.columns]
+    numbered = pairs.select(F.struct(F.xxhash64(*whole).alias("a"), F.xxhash64(F.lit("pair"), *whole).alias("b")).alias("pair"), F.struct(*(c for c in pairs.columns if c not in arrays)).alias("rest"), *own, *arrays)
     df = numbered.select("pair", "rest", *own, F.posexplode_outer(F.when(fits, F.arrays_zip(*arrays))).alias("j", "s"))
     df = with_rigs(df, rigs)
     base, nan = ["pair", "rest", "j", "sure", "rig"], "double('NaN')"
@@ -217,12 +218,13 @@ def final_quality(pairs: DataFrame, rigs: Rig | dict[str, Rig], keep: float = 65
     df = df.withColumns({"fine": F.coalesce(F.col("seen") & (F.col("e") <= keep), F.lit(False))})
     deep_enough = F.col("fine") & (F.col("rz") > 0.4) & (F.col("rz") < 8.0)
     df = df.groupBy("pair").agg(
-        F.first("rest").alias("rest"), F.count_if("seen").alias("total"), F.count_if("fine").alias("core"), F.coalesce(F.max(F.when(F.col("seen") & ~F.col("fine"), F.col("e"))), F.lit(0.0)).alias("worst"),
+        F.first("rest").alias("rest"), _copies(), F.count_if("seen").alias("total"), F.count_if("fine").alias("core"), F.coalesce(F.max(F.when(F.col("seen") & ~F.col("fine"), F.col("e"))), F.lit(0.0)).alias("worst"),
         F.avg(F.when(F.col("fine"), F.col("e"))).alias("core_err"), F.avg(F.when(deep_enough, F.col("rz"))).alias("depth"),
         *(F.max(F.when(F.col("fine") & (F.col("j") == j), F.col(f"r{a}"))).alias(f"{a}_{j}") for j in CORE for a in "xyz"),
     )
     shoulder, torso = _lengths({j: {a: F.col(f"{a}_{j}") for a in "xyz"} for j in CORE}, ("x", "y", "z"))
     names = [c for c in pairs.columns if c not in ("p1", "p2", "c1", "c2")]
+    df = _repeated(df.withColumns({c: F.col(c) / F.col("copies") for c in ("total", "core")}))
     df = df.select(*(F.col("rest")[c].alias(c) for c in names), *(F.col(c).cast("int").alias(c) for c in ("total", "core")), "worst", "core_err", "depth", shoulder.alias("shoulder"), torso.alias("torso"))
     deep = F.coalesce(F.col("depth").between(0.50, 3.80), F.lit(False))
     span = lambda c, lo, hi: F.col(c).isNull() | F.col(c).between(lo, hi)
@@ -248,13 +250,24 @@ def final_quality(pairs: DataFrame, rigs: Rig | dict[str, Rig], keep: float = 65
     return df.select("capture_id", "calibration_id", "verdict", pick(1).alias("decision"), pick(2).alias("status"), pick(3).alias("reason"), *(late(c).alias(n) for n, c in measures.items()))
 
 
+def _copies() -> Column:
+    """How many equal rows a pair stands for."""
+    return F.count_if(F.coalesce(F.col("j"), F.lit(0)) == 0).alias("copies")
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """A row for each of the ``copies``."""
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("_copy", "copies")
+
+
 def live_pose(pairs: DataFrame, rig: Rig | dict[str, Rig]) -> DataFrame:
     """QC-08: joints x{j}, y{j}, z{j} in the first camera's frame (NULL where unsure or not deeper than 0.2), ``core_err`` and ``code``,
     the first failing check of one live pair or VALID_3D. Only the first camera's reprojection counts."""
     df = lift(pairs, rig, guard=True)
     there = F.col("ok") & (F.col("z") > 0.2)
     at = lambda j, c, when=None: F.max(F.when((F.col("j") == j) & (F.lit(True) if when is None else when), F.col(c)))
-    df = df.groupBy("pair").agg(F.first("rest").alias("rest"), *(at(j, a, there).alias(f"{a}{j}") for j in range(JOINTS) for a in "xyz"), *(at(j, "e1").alias(f"e_{j}") for j in CORE))
+    df = df.groupBy("pair").agg(F.first("rest").alias("rest"), _copies(), *(at(j, a, there).alias(f"{a}{j}") for j in range(JOINTS) for a in "xyz"), *(at(j, "e1").alias(f"e_{j}") for j in CORE))
+    df = _repeated(df)
     gone = F.coalesce(*(F.when(F.col(f"z{j}").isNull(), F.lit(f"REJECT_3D_INVALID_CORE_JOINT_{j}")) for j in CORE))
     torso = _lengths({j: {a: F.col(f"{a}{j}") for a in "xyz"} for j in CORE}, ("x", "y", "z"))[1]
     err = (F.col("e_5") + F.col("e_6") + F.col("e_11") + F.col("e_12")) / 4

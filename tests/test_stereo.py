@@ -90,7 +90,10 @@ def test_odd_pairs(spark):
         (5, "near", None, full(b), sure, sure), (6, "near", [[None, 1.0]] + full(a)[1:], [b, [float("nan"), 2.0]] + full(b)[2:], [0.9, 0.9, None, float("nan"), 0.1] + sure[5:], sure), (7, "near", full([]), full(b), sure, sure), (8, "near", full(a), full(b), [0.25] * 17, [0.2499] * 17),
     ]
     got = stereo.lift(spark.createDataFrame(rows, PAIRS), {"near": rig}).groupBy("pair", "rest.capture_id").agg(F.count_if("ok").alias("n")).collect()
-    assert sorted((r.capture_id, r.n) for r in got) == [(1, 17), (1, 17), (2, 0), (3, 0), (4, 0), (5, 0), (6, 12), (7, 0), (8, 0)]
+    assert sorted((r.capture_id, r.n) for r in got) == [(1, 34), (2, 0), (3, 0), (4, 0), (5, 0), (6, 12), (7, 0), (8, 0)]
+    twice = spark.createDataFrame(rows[:2] + rows[7:8], PAIRS).withColumns({"verdict": F.lit("SAME_PERSON"), "score": F.lit(0), "posture": F.lit("upright")})
+    assert sorted((r.capture_id, r.total, r.core) for r in stereo.final_quality(twice, {"near": rig}).collect()) == [(1, 17, 17), (1, 17, 17), (7, 0, 0)]
+    assert sorted(r.capture_id for r in stereo.live_gate(twice, rig).collect()) == [1, 1, 7]
     empty = spark.createDataFrame([], PAIRS + ", verdict string, score int, posture string")
     assert stereo.final_quality(empty, {"near": rig}).collect() == [] and stereo.live_gate(empty, rig).collect() == []
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.relational import ACCURACY, _numbers, in_order
 from tarn.session import cut
 
 #: gain under which a node stays a leaf
@@ -225,12 +226,62 @@ def best_split(g: np.ndarray, h: np.ndarray, allowed: np.ndarray, params: Params
     return found
 
 
-def quantile_cuts(df: DataFrame, features: list[str], bins: int) -> list[list[float]]:
-    """Distinct values at the i-th of ``bins`` quantiles of each feature, all in one scan."""
-    clean = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
-    points = [i / bins for i in range(1, bins)]
-    row = df.agg(*(F.percentile_approx(clean(c), points, 10_000).alias(f"q{i}") for i, c in enumerate(features))).first()
-    return [sorted({float(v) for v in q or ()}) for q in row]
+def _spans(edges: list[float], low: list[bool], high: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """(lows, highs) of the brackets from their edges by turns, those that touch joined; an edge that is not needed is infinite."""
+    lows = [-np.inf if far else v for v, far in zip(edges[::2], low, strict=True)]
+    highs = [np.inf if far else v for v, far in zip(edges[1::2], high, strict=True)]
+    out: list[list[float]] = []
+    for a, b in sorted(zip(lows, highs, strict=True)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return np.array([a for a, _ in out], float), np.array([b for _, b in out], float)
+
+
+def _counted(x: DataFrame, spans: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(c, slot, v, m): how often column number c has the value v within its bracket (slot 2j + 1), and how many values lie in the gap before it (slot 2j, v -inf); counted by batch only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for c, (lows, highs) in enumerate(spans):
+                v = batch.column(c).drop_null().to_numpy(zero_copy_only=False)
+                slot = 2 * np.searchsorted(highs, v, "left")
+                slot += v >= np.append(lows, np.inf)[slot // 2]
+                slot[slot > 2 * len(highs)] = 2 * len(highs)  # +inf above the last bracket
+                gaps = np.bincount(slot[slot % 2 == 0], minlength=1)
+                at = np.flatnonzero(gaps)
+                own, first, times = np.unique(v[slot % 2 == 1], return_index=True, return_counts=True)
+                parts.append((np.full(len(at) + len(own), c), np.concatenate([at, slot[slot % 2 == 1][first]]), np.concatenate([np.full(len(at), -np.inf), own + 0.0]), np.concatenate([gaps[at], times])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], ["c", "slot", "v", "m"])
+
+    return x.mapInArrow(run, "c int, slot int, v double, m bigint")
+
+
+def quantile_cuts(df: DataFrame, features: list[str], bins: int, slack: float = 2.0) -> list[list[float]]:
+    """Distinct values of each feature at the ranks ceil(i * n / bins), 0 < i < bins, of its n values; exact, in two scans.
+
+    One scan sketches all features and brackets each rank by ``slack`` times the sketch's error; a second counts value by value within brackets, and one row a gap between them. So a few ten-thousandths of the distinct values a rank are
+    left to be numbered in order, range by range, and only the cuts come here. If a rank isn't within its bracket, all are widened, in the end to all values."""
+    x, _ = _numbers(df, features, [])
+    names = x.columns
+    while True:
+        share = slack / ACCURACY
+        low, high = ([i / bins + s for i in range(1, bins)] for s in (-share, share))
+        points = [min(1.0, max(0.0, p)) for pair in zip(low, high, strict=True) for p in pair]
+        row = x.agg(*(F.struct(F.count(v).alias("n"), F.percentile_approx(v, points, ACCURACY).alias("q")).alias(v) for v in names)).first()
+        sizes = [row[v].n for v in names]
+        spans = [_spans(row[v].q, [p <= 0 for p in low], [p >= 1 for p in high]) if row[v].n else (np.array([]), np.array([])) for v in names]
+        numbered = in_order(_counted(x, spans).groupBy("c", "slot", "v").agg(F.sum("m").alias("m")), "c", "slot", "v", before="m")
+        n, first = (F.get(F.array(*(F.lit(k).cast("bigint") for k in ks)), F.col("c")) for ks in (sizes, [sum(sizes[:i]) for i in range(len(sizes))]))
+        # how many of the ranks are among the values up to here
+        passed = lambda seen: F.least(F.floor(seen * bins / n), F.lit(bins - 1))
+        numbered = numbered.withColumn("before", F.col("before") - first)
+        found = numbered.filter(passed(F.col("before") + F.col("m")) > passed(F.col("before"))).select("c", "slot", "v").collect()
+        if all(r.slot % 2 for r in found):
+            return [sorted({r.v for r in found if r.c == c}) for c in range(len(features))]
+        slack = max(2.0, slack * 16)
 
 
 @dataclass
